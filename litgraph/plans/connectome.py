@@ -1,0 +1,41 @@
+"""The three end-to-end flows as single DataFrame plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from litgraph.operators import entities as E
+from litgraph.operators import pairs as PR
+from litgraph.operators import paths as PT
+from litgraph.operators.joins import union_sources
+
+
+def refresh(claims: DataFrame, extractions: DataFrame, entities: DataFrame, pathway_nodes: DataFrame,
+            pathway_edges: DataFrame, min_support: int = 1):
+    """Claims and mechanisms to triples, resolved, expanded to mentions and aggregated to edges."""
+    rows = union_sources(E.claim_triples(claims, extractions), E.mechanism_triples(extractions))
+    triples = E.resolve_entities(E.latest_per(rows, "triple_id", [F.asc("source_mechanism_index")]), entities)
+    mentions = E.expand_mentions(triples, entities)
+    return triples, mentions, E.build_entity_edges(triples, mentions, entities, pathway_nodes, pathway_edges, min_support)
+
+
+def discovery(seeds: DataFrame, targets: DataFrame | None, entities: DataFrame, edges: DataFrame, triples: DataFrame,
+              discovered: DataFrame, run_id: str = "run", max_hops=4, min_hops=1, path_limit=500, min_cross_ops=0,
+              keep_top=25) -> DataFrame:
+    """Seeds to ranked, scored paths."""
+    start = PT.resolve_seeds(seeds, entities, edges, discovered)
+    goal = None if targets is None else PT.resolve_seeds(targets, entities, edges, discovered)
+    found = PT.enumerate_paths(edges, start, goal, max_hops, min_hops, path_limit, min_cross_ops)
+    ends = found.select(F.element_at("path_keys", 1).alias("endpoint_a"), F.element_at("path_keys", -1).alias("endpoint_b"))
+    scored = PT.score_paths(found, PT.co_mentions(triples, ends))
+    return PT.rank_paths(scored.withColumn("run_id", F.lit(run_id)), "run_id", keep_top)
+
+
+def connection_candidates(pe: DataFrame, claims: DataFrame, mechs: DataFrame, pm: DataFrame, papers: DataFrame,
+                          vectors: DataFrame | None = None, limit: int = 50) -> DataFrame:
+    """All pair finders, merged; the strongest pairs with titles."""
+    found = [PR.shared_entity_pairs(pe), PR.convergent_claim_pairs(claims), PR.shared_mechanism_pairs(mechs),
+             PR.method_pairs(pm)]
+    if vectors is not None:
+        found.append(PR.similar_pairs(vectors).withColumn("shared_entities", F.array().cast("array<string>")))
+    return PR.top_candidates(PR.merge_candidates(*found), papers, limit)

@@ -165,62 +165,53 @@ def mention_dictionary(entities: DataFrame) -> DataFrame:
     )
 
 
+PIECES = "[A-Za-z0-9]+|[^A-Za-z0-9]"
+
+
 def find_mentions(texts: DataFrame, entities: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Leftmost-longest, non-overlapping dictionary terms of each text, ignoring case.
 
-    A term counts only between non-alphanumeric characters. Every place where a term may start
-    is cut at the lengths that occur in the dictionary; the cuts are looked up by an equi join,
-    so neither dictionary nor texts are collected. Only hits come together again per text.
+    A term counts only between non-alphanumeric characters. Texts and terms are cut into pieces,
+    alphanumeric runs and single other characters, so a term can only start and end with a piece.
+    Runs of as many pieces as dictionary terms have are looked up by an equi join: neither the
+    dictionary nor the texts are collected. Only hits come together again per text.
     """
     words = mention_dictionary(entities)
-    lengths = [r.n for r in words.select(F.length("term").alias("n")).distinct().orderBy(F.desc("n")).collect()]
-    if not lengths:
-        lengths = [0]
-    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    marks = F.translate(F.col(text_col), alnum, "A" * len(alnum))  # A: alphanumeric
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(PIECES), F.lit(0))
+    # The distinct piece counts of terms: a handful of small numbers.
+    sizes = [r.n for r in words.select(F.size(pieces(F.col("term"))).alias("n")).distinct().orderBy("n").collect()]
+    alnum = lambda x: x.rlike("^[A-Za-z0-9]")
+    free = lambda i: ~F.coalesce(alnum(F.get("_p", i)), F.lit(False))
+    runs = F.transform(
+        F.filter(F.lit(sizes or [0]), lambda n: (F.col("at") + n <= F.size("_p")) & free(F.col("at") + n)),
+        lambda n: F.struct(n.alias("n"), F.array_join(F.slice("_p", F.col("at") + 1, n), "").alias("match_text")))
     cuts = (
-        texts.select(id_col, F.col(text_col).alias("_text"), marks.alias("_marks"))
-        .filter(F.length("_text") > 0)
-        .select(
-            id_col, "_text", "_marks",
-            F.explode(F.filter(
-                F.sequence(F.lit(1), F.length("_text")),
-                lambda p: (p == 1) | (F.substring("_marks", p - 1, F.lit(1)) != "A"),
-            )).alias("pos"),
-        )
-        .withColumn("n", F.explode(F.filter(
-            F.lit(lengths),
-            lambda n: (F.col("pos") + n - 1 <= F.length("_text"))
-            & edge_after(F.col("_marks"), F.col("pos") + n),
-        )))
-        .select(id_col, "pos", "n", F.substring("_text", F.col("pos"), F.col("n")).alias("match_text"))
-        .withColumn("term", F.lower("match_text"))
+        texts.select(id_col, pieces(F.col(text_col)).alias("_p"))
+        .filter(F.size("_p") > 0)
+        .select(id_col, "_p", F.explode(F.filter(
+            F.sequence(F.lit(0), F.size("_p") - 1), lambda i: (i == 0) | free(i - 1))).alias("at"))
+        .select(id_col, "at", F.explode(runs).alias("r"))
+        .select(id_col, "at", "r.n", "r.match_text", F.lower("r.match_text").alias("term"))
     )
     hits = cuts.join(words, "term").groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct(
-            "pos", (-F.col("n")).alias("neg_n"), "match_text", "entity_id", "source",
+            "at", (-F.col("n")).alias("neg_n"), "match_text", "entity_id", "source",
         ))).alias("hits")
     )
     kept = F.aggregate(
         "hits",
         F.struct(F.lit(0).alias("upto"), F.slice("hits", 1, 0).alias("kept")),
         lambda s, h: F.when(
-            h["pos"] > s["upto"],
-            F.struct((h["pos"] - h["neg_n"] - 1).alias("upto"),
-                     F.concat(s["kept"], F.array(h)).alias("kept")),
+            h["at"] >= s["upto"],
+            F.struct((h["at"] - h["neg_n"]).alias("upto"), F.concat(s["kept"], F.array(h)).alias("kept")),
         ).otherwise(s),
         lambda s: s["kept"],
     )
     return hits.select(id_col, F.explode(kept).alias("h")).select(
-        id_col, F.col("h.pos").alias("pos"), "h.match_text", "h.entity_id", "h.source"
+        id_col, F.col("h.at").alias("at"), "h.match_text", "h.entity_id", "h.source"
     )
 
 
-def edge_after(marks, pos):
-    """No alphanumeric at ``pos``; past the end counts as an edge."""
-    return F.substring(marks, pos, F.lit(1)) != "A"
-
-
 def expand_mentions(triples: DataFrame, entities: DataFrame, only_new=False, existing: DataFrame | None = None) -> DataFrame:
     """Entity mentions inside the subjects and objects of triples.
 

@@ -44,36 +44,61 @@ def key_pairs(df: DataFrame, key, id_col: str, df_min: int = 2, df_cap: int | No
     return met.filter((F.col("a") < F.col("b")) & once).drop("_i", "_j", "_pa", "_pb")
 
 
-def hottest(df: DataFrame, key: str) -> int:
-    return df.groupBy(key).count().agg(F.max("count")).head()[0] or 0
-
-
 def shared_counts(df: DataFrame, key: str, id_col: str, min_shared: int, df_cap: int | None = None,
-                  block: int = BLOCK) -> DataFrame:
+                  block: int = BLOCK, prefix: bool = False) -> DataFrame:
     """Pairs of ids with at least ``min_shared`` keys in common, and how many.
 
-    With hot keys, the ``min_shared - 1`` commonest keys of each id do not make candidates: two
+    With ``prefix``, the ``min_shared - 1`` commonest keys of each id do not make candidates: two
     ids with enough in common still share a rarer key. Counts are then taken over all keys.
     """
-    if df_cap is not None or min_shared < 2 or hottest(df, key) <= block:
+    if not prefix:
         pairs = key_pairs(df, key, id_col, df_cap=df_cap, block=block)
         return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_count")).filter(
             F.col("shared_count") >= min_shared)
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    sized = df.join(sizes, key)
-    common = top_per(sized, id_col, [F.desc("_n"), F.asc(key)], min_shared - 1).select(id_col, key)
-    rare = df.join(common, [id_col, key], "left_anti")
-    # The rarest shared key has at least min_shared - 1 commoner ones after it on either side,
-    # so it is never among the keys left out.
-    cand = key_pairs(rare, key, id_col, block=block).select("a", "b").distinct()
-    left = cand.join(df.select(F.col(id_col).alias("a"), key), "a")
+    able = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= min_shared)
+    some = df.join(able.select(id_col), id_col, "left_semi")
+    sizes = some.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    sized = some.join(sizes, key)
+    rare = sized
+    if min_shared > 1:
+        # The rarest shared key has at least min_shared - 1 commoner ones after it on either
+        # side, so it is never among the keys left out.
+        common = top_per(sized, id_col, [F.desc("_n"), F.asc(key)], min_shared - 1).select(id_col, key)
+        rare = sized.join(common, [id_col, key], "left_anti")
+    cand = key_pairs(rare.select(key, id_col), key, id_col, block=block).select("a", "b").distinct()
+    left = cand.join(sized.select(F.col(id_col).alias("a"), key), "a")
     return (
-        left.join(df.select(F.col(id_col).alias("b"), key), ["b", key])
+        left.join(sized.select(F.col(id_col).alias("b"), key), ["b", key])
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_count"))
         .filter(F.col("shared_count") >= min_shared)
     )
 
 
+PAIR_BUDGET = 50_000_000  # pairs a single pass may make before rarer keys are tried first
+
+
+def top_shared(df: DataFrame, key: str, id_col: str, min_shared: int, limit: int) -> DataFrame:
+    """The ``limit`` pairs with most keys in common, at least ``min_shared``; exact.
+
+    If pairing out every key would make too many pairs, high counts are tried first: they leave
+    only rare keys to pair. The search ends at the first bound that ``limit`` pairs reach, since
+    every other pair has fewer keys in common.
+    """
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    made = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).head()[0] or 0
+    if made <= PAIR_BUDGET:
+        return _top_pairs(shared_counts(df, key, id_col, min_shared), limit)
+    most = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0]
+    bound = min_shared
+    while bound * 2 <= most:
+        bound *= 2
+    while True:
+        top = cut_lineage(_top_pairs(shared_counts(df, key, id_col, bound, prefix=True), limit))
+        if bound <= min_shared or top.count() >= limit:
+            return top
+        bound = max(min_shared, bound // 2)
+
+
 def shared_names(pairs: DataFrame, df: DataFrame, key: str, id_col: str, n: int | None = None) -> DataFrame:
     """Add the sorted shared keys of each (few) pairs; only the first ``n`` when given."""
     left = pairs.select("a", "b").join(df.select(F.col(id_col).alias("a"), key), "a")
@@ -98,7 +123,7 @@ def shared_entity_pairs(pe: DataFrame, min_shared: int = 2, limit: int = 500, ke
                         method: str = "shared_entities") -> DataFrame:
     """Papers with at least ``min_shared`` entities in common."""
     df = pe.select("paper_id", key).distinct()
-    top = _top_pairs(shared_counts(df, key, "paper_id", min_shared), limit)
+    top = top_shared(df, key, "paper_id", min_shared, limit)
     return _as_candidates(shared_names(top, df, key, "paper_id"), method)
 
 
@@ -213,7 +238,7 @@ def shared_mechanism_pairs(mechs: DataFrame, limit: int = 300, match_interaction
         same = same | F.coalesce(F.col(f"{f}_a") == F.col(f"{f}_b"), F.lit(False))
     names = (
         top.join(x, "a").join(y, "b").filter(same).groupBy("a", "b")
-        .agg(F.sort_array(F.collect_set("name")).alias("shared_entities"))
+        .agg(F.sort_array(F.collect_set("name_a")).alias("shared_entities"))
     )
     return _as_candidates(top.join(names, ["a", "b"]), "shared_mechanisms")
 

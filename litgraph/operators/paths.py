@@ -121,9 +121,9 @@ def enumerate_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame | Non
     ranking = order or [F.asc("hops"), F.asc("contra_load"), F.asc("path_key")]
     if path_limit is None:
         return found
-    if carry:
-        return top_per(found, carry, ranking, path_limit)
-    return cap(found, ranking, path_limit)
+    best = top_per(found, carry, ranking, path_limit) if carry else cap(found, ranking, path_limit)
+    # A limited result is small and read several times over (endpoints, scores, ranks).
+    return cut_lineage(best)
 
 
 def traverse(edges, seed, target=None, max_hops=4, limit: int | None = 100, min_cross_ops=0) -> DataFrame:

@@ -1 +1,810 @@
-"""placeholder"""
+"""Catalog: entity graph, pairs, paths, briefs and vectors (A09-A15, G, D, X01-X03)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from litgraph.operators import briefs as B
+from litgraph.operators import entities as E
+from litgraph.operators import kb as K
+from litgraph.operators import pairs as PR
+from litgraph.operators import paths as PT
+from litgraph.operators import reports as R
+from litgraph.operators import search as S
+from litgraph.operators import worksets as W
+from litgraph.plans.registry import case
+from litgraph.runtime import cut_lineage
+
+JOIN = lambda c: F.array_join(c, "|")
+
+# Paper triples through entity mentions, as edges see them.
+FACTS = """
+select t.paper_id, t.predicate_type, t.direction, t.primary_operation, t.confidence, s.entity_id as sid, o.entity_id as oid,
+ a.canonical_name as sname, b.canonical_name as oname, a.primary_operation as sop, b.primary_operation as oop
+from fx_triples t join fx_mentions s on s.triple_id = t.triple_id and s.role = 'subject'
+join fx_mentions o on o.triple_id = t.triple_id and o.role = 'object'
+join fx_entities a on a.entity_id = s.entity_id join fx_entities b on b.entity_id = o.entity_id where s.entity_id <> o.entity_id"""
+LIT = f"""
+select sname as source_entity_name, oname as target_entity_name, predicate_type, count(distinct paper_id) as support_count,
+ round(avg(confidence) + 1e-9, 4) as mean_confidence, max(confidence) as max_confidence,
+ coalesce(min(sop), min(usual)) as source_operation, coalesce(min(oop), min(usual)) as target_operation,
+ count(distinct case when predicate_type = 'blocks' then paper_id end) as contradiction_load
+from (select f.*, first_value(op1) over (partition by sname, oname, predicate_type order by n desc, op1) as usual from (
+  select g.*, count(primary_operation) over (partition by sname, oname, predicate_type, primary_operation) as n,
+   primary_operation as op1 from ({FACTS}) g) f) h
+group by sname, oname, predicate_type"""
+
+
+@case("A09_literature_edges", f"select source_entity_name, target_entity_name, predicate_type, support_count, mean_confidence, max_confidence, contradiction_load from ({LIT}) e")
+def _(t):
+    return E.literature_edges(t.triples, t.mentions, t.nested_entities()).select(
+        *E.EDGE_KEY, "support_count", F.round(F.col("mean_confidence") + 1e-9, 4).alias("mean_confidence"), "max_confidence", "contradiction_load")
+
+
+@case("A09_edge_operations", f"""
+with f as ({FACTS}), n as (select sname, oname, predicate_type, primary_operation as op, count(*) as c from f where primary_operation is not null group by 1, 2, 3, 4),
+u as (select * from (select *, row_number() over (partition by sname, oname, predicate_type order by c desc, op) rn from n) x where rn = 1)
+select f.sname as source_entity_name, f.oname as target_entity_name, f.predicate_type, coalesce(min(f.sop), min(u.op)) as source_operation, coalesce(min(f.oop), min(u.op)) as target_operation
+from f left join u on u.sname = f.sname and u.oname = f.oname and u.predicate_type = f.predicate_type group by 1, 2, 3""")
+def _(t):
+    return E.literature_edges(t.triples, t.mentions, t.nested_entities()).select(*E.EDGE_KEY, "source_operation", "target_operation")
+
+
+@case("A09_edge_papers", f"select distinct sname as source_entity_name, oname as target_entity_name, predicate_type, paper_id from ({FACTS}) f")
+def _(t):
+    return E.edge_papers(t.triples, t.mentions, t.nested_entities())
+
+
+TRIPLE_EDGES = """
+select subject as source_entity_name, object as target_entity_name, predicate_type, count(*) as support_count,
+ max(primary_operation) as source_operation, max(secondary_operation) as target_operation, max(confidence) as max_confidence,
+ avg(confidence) as mean_confidence from fx_triples group by subject, object, predicate, predicate_type, direction"""
+
+
+@case("A10_triple_edges", f"""
+select source_entity_name, target_entity_name, predicate_type, support_count, source_operation, target_operation, max_confidence,
+ abs(mean_confidence) > 0 as has_mean from ({TRIPLE_EDGES}) e""")
+def _(t):
+    return E.triple_edges(t.triples).select(
+        *E.EDGE_KEY, "support_count", "source_operation", "target_operation", "max_confidence",
+        (F.abs("mean_confidence") > 0).alias("has_mean"))
+
+
+ENDS = """
+select paper_id, primary_operation, subject_normalized_id as entity_id from fx_triples where subject_normalized_id is not null
+union all select paper_id, primary_operation, object_normalized_id from fx_triples where object_normalized_id is not null
+ and object_normalized_id is distinct from subject_normalized_id"""
+
+
+@case("A11_entity_stats", f"select entity_id, count(distinct paper_id) as paper_count, count(*) as triple_count from ({ENDS}) e group by entity_id")
+def _(t):
+    return E.entity_stats(t.entities, t.triples)
+
+
+@case("A12_operation_distribution", f"""
+select entity_id, string_agg(concat(primary_operation, '=', cast(n as string)), '|' order by primary_operation) as distribution from (
+ select entity_id, primary_operation, count(*) as n from ({ENDS}) e where primary_operation is not null group by 1, 2) d group by entity_id""")
+def _(t):
+    d = F.transform(F.map_entries("operation_distribution"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return E.operation_distribution(t.entities, t.triples).select("entity_id", JOIN(F.sort_array(d)).alias("distribution"))
+
+
+@case("A13_bridge_score", f"""
+select entity_id, round(least(1.0, count(distinct primary_operation) / 8.0 * least(1.0, ln(1 + count(*)) / 10.0)), 6) as bridge_score
+from ({ENDS}) e where primary_operation is not null group by entity_id""")
+def _(t):
+    return E.operation_distribution(t.entities, t.triples).select("entity_id", F.round("bridge_score", 6).alias("bridge_score"))
+
+
+FORMS = """
+select extraction_id, paper_id, lower(concat('E', cast(k1 as string))) as canonical_text, 'gene' as kind, conf from fx_ext
+union all select extraction_id, paper_id, lower(concat('E', cast(k2 as string))), 'protein', conf from fx_ext
+union all select extraction_id, paper_id, lower(concat('E', cast(k3 as string))), 'disease', conf from fx_ext"""
+
+
+@case("A14_discovered_entities", f"""
+select canonical_text, upper(canonical_text) as display_text, count(*) as mention_count, count(distinct paper_id) as paper_count, round(avg(conf) + 1e-9, 4) as confidence_avg
+from ({FORMS}) f group by canonical_text""")
+def _(t):
+    return E.discovered_entities(t.nested_extractions()).select(
+        "canonical_text", "display_text", "mention_count", "paper_count", F.round(F.col("confidence_avg") + 1e-9, 4).alias("confidence_avg"))
+
+
+@case("A15_entity_mentions", f"select paper_id, canonical_text, max(conf) as confidence from ({FORMS}) f group by paper_id, canonical_text")
+def _(t):
+    return E.entity_mentions(t.nested_extractions())
+
+
+VERBS = """case lower(verb) when 'activates' then 'activates' when 'reduces' then 'downregulates' when 'blocks' then 'blocks' when 'binds' then 'correlates_with'
+ when 'up-regulates' then 'correlates_with' when 'depends on' then 'requires' else 'rescues' end"""
+EVIDENCE = """case study_design when 'rct' then 'RCT' when 'cohort' then 'cohort' when 'in vitro' then 'in_vitro' when 'Case-Control' then 'case_control' end"""
+PRED = "replace(replace(lower(verb), '-', '_'), ' ', '_')"
+
+
+@case("G01_mechanism_triples", f"""
+select paper_id, concat('E', cast(k1 as string)) as subject, {PRED} as predicate, concat('E', cast(k2 as string)) as object, min({VERBS}) as predicate_type,
+ max(case context when 'liver tissue' then 'tissue' when 'type 2 diabetes' then 'disease_state' when 'hepatocyte' then 'cell_type' when 'fasting' then 'condition' when 'mouse model' then 'organism' end) is not null as has_context
+from fx_ext group by 1, 2, 3, 4""")
+def _(t):
+    return E.mechanism_triples(t.nested_extractions()).select(
+        "paper_id", "subject", "predicate", "object", "predicate_type", F.col("context_type").isNotNull().alias("has_context"))
+
+
+@case("G01_context_types", """
+select context, case context when 'liver tissue' then 'tissue' when 'type 2 diabetes' then 'disease_state' when 'hepatocyte' then 'cell_type' when 'fasting' then 'condition'
+ when 'mouse model' then 'organism' end as context_type, count(*) as n from fx_mechs group by context""")
+def _(t):
+    from litgraph.functions import vocab
+
+    return t.mechs.groupBy("context", vocab.context_type(F.col("context")).alias("context_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@case("G02_claim_triples", f"""
+with l as (select * from (select *, row_number() over (partition by paper_id order by created_date desc, extraction_id) rn from fx_ext) x where rn = 1)
+select c.paper_id, concat('E', cast(c.k1 as string)) as subject, {PRED.replace('verb', 'c.verb')} as predicate, concat('E', cast(c.k3 as string)) as object,
+ min({VERBS.replace('verb', 'c.verb')}) as predicate_type, min(l.primary_operation) as primary_operation, min({EVIDENCE.replace('study_design', 'l.study_design')}) as evidence_type
+from fx_ext c left join l on l.paper_id = c.paper_id group by 1, 2, 3, 4""")
+def _(t):
+    claims = t.claims.withColumn("operations", F.array().cast("array<string>"))
+    return E.claim_triples(claims, t.nested_extractions()).select(
+        "paper_id", "subject", "predicate", "object", "predicate_type", "primary_operation", "evidence_type")
+
+
+@case("G03_claims_from_json", """
+select extraction_id, case when ln % 2 = 0 then concat('E', cast(k1 as string), ' says') else concat('E', cast(k3 as string), ' claims') end as claim_text,
+ case when qty % 2 = 0 then conf else 0.0 end as confidence from fx_ext where ln % 4 <> 3""")
+def _(t):
+    obj = F.when(F.col("ln") % 4 == 3, F.to_json(F.struct(F.lit(" ").alias("text")))).when(
+        F.col("ln") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("E"), F.col("k1"), F.lit(" says")).alias("text"),
+                                                 F.when(F.col("qty") % 2 == 0, F.col("conf")).alias("confidence")))
+    ).otherwise(F.to_json(F.struct(F.concat(F.lit("E"), F.col("k3"), F.lit(" claims")).alias("claim"),
+                                   F.when(F.col("qty") % 2 == 0, F.col("conf")).alias("confidence"))))
+    ext = t.ext.withColumn("claims_json", F.concat(F.lit("["), obj, F.lit("]")))
+    return E.claims_from_json(ext).select("extraction_id", "claim_text", "confidence")
+
+
+@case("G04_resolve_entities", """
+with keys as (select key, min_by(entity_id, r || entity_id) as entity_id from (
+  select lower(canonical_name) as key, '0' as r, entity_id from fx_entities union all select replace(lower(alias1), '-', '-'), '1', entity_id from fx_entities
+  union all select lower(alias2), '1', entity_id from fx_entities) k group by key)
+select m.extraction_id, s.entity_id as subject_normalized_id, o.entity_id as object_normalized_id
+from (select extraction_id, lower(upstream_entity) as sk, case when ln % 3 = 0 then concat('factor-', substr(downstream_entity, 2)) when ln % 3 = 1 then lower(downstream_entity) else 'nothing known' end as ok from fx_mechs) m
+left join keys s on s.key = m.sk left join keys o on o.key = m.ok""")
+def _(t):
+    obj = F.when(F.col("ln") % 3 == 0, F.concat(F.lit(" Factor-"), F.expr("substring(downstream_entity, 2)"))).when(
+        F.col("ln") % 3 == 1, F.concat(F.col("downstream_entity"), F.lit(" !"))).otherwise(F.lit("nothing known"))
+    rows = t.mechs.select("extraction_id", F.col("upstream_entity").alias("subject"), obj.alias("object"))
+    return E.resolve_entities(rows, t.nested_entities()).select("extraction_id", "subject_normalized_id", "object_normalized_id")
+
+
+@case("G05_expand_mentions", """
+select triple_id, concat('C', cast(k1 as string)) as entity_id, 'subject' as role, subject as match_text, 'canonical_exact' as match_source from fx_prose
+union select triple_id, concat('C', cast(k2 as string)), 'object', concat('e', cast(k2 as string)), 'canonical_substring' from fx_prose
+union select triple_id, concat('C', cast(k3 as string)), 'object', concat('Factor-', cast(k3 as string)), 'alias_substring' from fx_prose""")
+def _(t):
+    return E.expand_mentions(t.prose, t.nested_entities())
+
+
+@case("G05_document_mentions")
+def _(t):
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter(F.length("w") > 3)
+    names = words.groupBy("w").count().select(
+        F.md5("w").alias("entity_id"), F.col("w").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
+    found = E.find_mentions(t.docs, names, "paper_id", "abstract")
+    return found.groupBy("paper_id").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("entity_id").alias("entities"))
+
+
+@case("G06_build_entity_edges", f"""
+select source_entity_name, target_entity_name, predicate_type, support_count, cast(null as string) as pathway_id, 'literature' as edge_source from ({LIT}) l where support_count >= 2
+union all select distinct a.canonical_name, b.canonical_name, case when p_size % 3 = 0 then 'is_upstream_of' when p_size % 3 = 1 then 'inhibits' else 'correlates_with' end, cast(1 as bigint), concat('pw', cast(p_size % 10 as string)), 'backbone'
+from part join fx_entities a on a.entity_id = concat('C', cast(p_partkey as string)) join fx_entities b on b.entity_id = concat('C', cast((p_partkey * 3 + 1) % (select count(*) from part) as string))""")
+def _(t):
+    n = t.part.count()
+    pathway = F.concat(F.lit("pw"), (F.col("p_size") % 10).cast("string"))
+    name = lambda k: F.concat(F.lit("E"), k.cast("string"))
+    nodes = t.part.select(pathway.alias("pathway_id"), F.explode(F.array("p_partkey", (F.col("p_partkey") * 3 + 1) % n)).alias("k")).distinct().select(
+        "pathway_id", F.col("k").cast("string").alias("node_id"), name(F.col("k")).alias("name"), F.lit("Defense").alias("operation"))
+    edges = t.part.select(
+        pathway.alias("pathway_id"), F.col("p_partkey").cast("string").alias("from_node"),
+        ((F.col("p_partkey") * 3 + 1) % n).cast("string").alias("to_node"), F.col("p_partkey").cast("string").alias("edge_id"),
+        F.when(F.col("p_size") % 3 == 0, "converts_to").when(F.col("p_size") % 3 == 1, "degrades").otherwise("touches").alias("edge_type"))
+    return E.build_entity_edges(t.triples, t.mentions, t.nested_entities(), nodes, edges, 2).select(
+        *E.EDGE_KEY, "support_count", "pathway_id", "edge_source")
+
+
+@case("G07_extended_edges", f"""
+select source_entity_name, target_entity_name, predicate_type, support_count, edge_source from fx_edges
+union all select source_entity_name, target_entity_name, predicate_type, support_count, 'triple' from ({TRIPLE_EDGES}) t""")
+def _(t):
+    edges = t.edges.withColumns({"direction": F.lit("causal"), "max_confidence": F.col("mean_confidence"), "pathway_id": F.lit(None).cast("string")})
+    return E.extended_edges(edges, t.triples).select(*E.EDGE_KEY, "support_count", "edge_source")
+
+
+# --- pairs ---------------------------------------------------------------------------------------
+
+SHARED = """
+with pe as (select distinct paper_id, {key} as k from {table}),
+p as (select a.paper_id as a, b.paper_id as b, count(*) as n, string_agg(a.k, '|' order by a.k) as names from pe a join pe b on a.k = b.k and a.paper_id < b.paper_id group by 1, 2 having count(*) >= {least})
+select a as paper_a_id, b as paper_b_id, n as shared_count, names as shared_entities from p order by n desc, a, b limit {limit}"""
+
+
+@case("G09_shared_entity_pairs", SHARED.format(key="entity", table="fx_pe", least=2, limit=500))
+def _(t):
+    return PR.shared_entity_pairs(t.pe).select("paper_a_id", "paper_b_id", "shared_count", JOIN("shared_entities").alias("shared_entities"))
+
+
+CLAIM_PAIRS = """
+with c as (select paper_id, claim_type, count(*) as n from fx_claims where claim_type <> 'descriptive' group by 1, 2)
+select a.paper_id as paper_a_id, b.paper_id as paper_b_id, cast(sum(a.n + b.n) as bigint) as shared_count, min(a.claim_type) as claim_type
+from c a join c b on a.claim_type = b.claim_type and a.paper_id < b.paper_id group by 1, 2 order by shared_count desc, paper_a_id, paper_b_id limit 300"""
+
+
+@case("G10_convergent_claim_pairs", CLAIM_PAIRS)
+def _(t):
+    return PR.convergent_claim_pairs(t.claims).select("paper_a_id", "paper_b_id", "shared_count", "claim_type")
+
+
+@case("G11_shared_mechanism_pairs", """
+with m as (select paper_id, extraction_id, upstream_entity as u, downstream_entity as d from fx_mechs),
+j as (select a.paper_id as a, b.paper_id as b, a.extraction_id as x, b.extraction_id as y from m a join m b on a.u = b.u and a.paper_id < b.paper_id
+ union select a.paper_id, b.paper_id, a.extraction_id, b.extraction_id from m a join m b on a.d = b.d and a.paper_id < b.paper_id)
+select a as paper_a_id, b as paper_b_id, count(*) as shared_count from j group by 1, 2 order by shared_count desc, a, b limit 300""")
+def _(t):
+    return PR.shared_mechanism_pairs(t.mechs, match_interaction=False).select("paper_a_id", "paper_b_id", "shared_count")
+
+
+@case("G12_method_pairs", SHARED.format(key="method", table="fx_pm", least=2, limit=200))
+def _(t):
+    return PR.method_pairs(t.pm).select("paper_a_id", "paper_b_id", "shared_count", JOIN("shared_entities").alias("shared_entities"))
+
+
+@case("G13_merge_candidates", f"""
+with e as (select * from ({SHARED.format(key="entity", table="fx_pe", least=2, limit=500)}) x), m as (select * from ({SHARED.format(key="method", table="fx_pm", least=2, limit=200)}) y),
+c as (select * from ({CLAIM_PAIRS}) z),
+u as (select paper_a_id, paper_b_id, shared_count, 'shared_entities' as method from e union all select paper_a_id, paper_b_id, shared_count, 'methodological_parallels' from m
+ union all select paper_a_id, paper_b_id, shared_count, 'convergent_claims' from c)
+select paper_a_id, paper_b_id, max(shared_count) as shared_count, string_agg(distinct method, ',' order by method) as discovery_method from u group by 1, 2""")
+def _(t):
+    return PR.merge_candidates(
+        PR.shared_entity_pairs(t.pe), PR.method_pairs(t.pm), PR.convergent_claim_pairs(t.claims)
+    ).select("paper_a_id", "paper_b_id", "shared_count", "discovery_method")
+
+
+@case("G14_top_candidates", f"""
+with c as (select * from ({CLAIM_PAIRS}) z) select c.paper_a_id, c.paper_b_id, a.title as paper_a_title, b.title as paper_b_title from
+ (select * from c order by shared_count desc, paper_a_id, paper_b_id limit 50) c join fx_papers a on a.paper_id = c.paper_a_id join fx_papers b on b.paper_id = c.paper_b_id""")
+def _(t):
+    return PR.top_candidates(PR.convergent_claim_pairs(t.claims), t.papers).select(
+        "paper_a_id", "paper_b_id", "paper_a_title", "paper_b_title")
+
+
+COOC = """
+with pe as (select distinct paper_id, entity from {table} where length(entity) > 2), f as (select entity from pe group by entity having count(*) between 2 and {cap}),
+k as (select pe.* from pe join f on f.entity = pe.entity),
+p as (select a.paper_id as a, b.paper_id as b, count(*) as n, list_sort(list(a.entity)) as names from k a join k b on a.entity = b.entity and a.paper_id < b.paper_id group by 1, 2 having count(*) >= {least}),
+s as (select p.*, x.source = y.source as same from p join fx_papers x on x.paper_id = p.a join fx_papers y on y.paper_id = p.b)
+"""
+
+
+@case("G15_cooccurrence", COOC.format(table="fx_pe", cap=200, least=2) + """
+select a as paper_a_id, b as paper_b_id, concat('Papers share ', cast(n as string), ' entities: ', array_to_string(names[1:5], ', ')) as description,
+ cast(round(least(n / 10.0, 1.0), 6) as double) as confidence, cast(case when same then 0.15 else 0.3 end as double) as novelty_score from s where n >= case when same then 3 else 2 end
+ and not exists (select 1 from fx_connections c where c.connection_type = 'entity_cooccurrence' and c.paper_a_id = s.a and c.paper_b_id = s.b)""")
+def _(t):
+    return PR.cooccurrence(t.pe, t.papers, t.connections, same=3, cross=2).select(
+        "paper_a_id", "paper_b_id", "description", F.round("confidence", 6).alias("confidence"), "novelty_score")
+
+
+@case("G16_cooccurrence_boost", COOC.format(table="fx_pe", cap=500, least=2) + """
+select a as paper_a_id, b as paper_b_id, cast(round(least(0.95, 0.5 + n * 0.05), 3) as double) as confidence, cast(case when same then 0.1 else 0.3 end as double) as novelty_score
+from s where n >= case when same then 3 else 2 end and not exists (select 1 from fx_connections c where c.paper_a_id = s.a and c.paper_b_id = s.b)
+order by n desc, a, b limit 500""")
+def _(t):
+    return PR.cooccurrence_boost(t.pe, t.papers, t.connections, same=3, cross=2, max_new=500).select(
+        "paper_a_id", "paper_b_id", "confidence", "novelty_score")
+
+
+@case("G17_drop_type", "select connection_id from fx_connections where connection_type <> 'replicates'")
+def _(t):
+    return PR.drop_type(t.connections).select("connection_id")
+
+
+@case("G18_papers_sharing", """
+with pe as (select distinct paper_id, entity from fx_pe) select b.paper_id, count(*) as shared from pe a join pe b on a.entity = b.entity
+where a.paper_id = 42 and b.paper_id <> 42 group by b.paper_id order by shared desc, b.paper_id limit 20""")
+def _(t):
+    return PR.papers_sharing(42, t.pe)
+
+
+# --- graph ---------------------------------------------------------------------------------------
+
+G19 = """
+with recursive n as (select entity_id as id, canonical_name as name from fx_entities),
+l as (select source_entity_id as x, target_entity_id as y from fx_edges union select target_entity_id, source_entity_id from fx_edges),
+w as (select id as source, id as node, 0 as hops from n where contains(lower(name), 'e123')
+ union select w.source, l.y, w.hops + 1 from w join l on l.x = w.node where w.hops < 4),
+d as (select source, node, min(hops) as hops from w group by 1, 2)
+select d.source, d.node as target, cast(d.hops as bigint) as hops from d join n on n.id = d.node where contains(lower(n.name), 'e77') and d.source <> d.node
+order by d.hops, d.source, d.node limit 5"""
+
+
+def _graph(t):
+    nodes = t.entities.select(F.col("entity_id").alias("id"), F.lit("Entity").alias("label"), F.col("canonical_name").alias("text"))
+    return nodes, t.edges.select(F.col("source_entity_id").alias("src"), F.col("target_entity_id").alias("dst"))
+
+
+@case("G19_shortest_paths", G19)
+def _(t):
+    nodes, edges = _graph(t)
+    return PT.shortest_paths(nodes, edges, "E123", "E77").select("source", "target", F.col("hops").cast("long").alias("hops"))
+
+
+NEAR = """
+with h as (select * from fx_half where connection_type <> 'replicates'), n1 as (select connection_id, other from h where me = 7),
+n2 as (select h.connection_id, h.other from h join (select distinct other as me from n1 union select 7) m on m.me = h.me)
+"""
+
+
+@case("G20_neighborhood_links", NEAR + "select distinct connection_id from n2")
+def _(t):
+    return PT.neighborhood(7, t.connections, t.papers)[1].select("connection_id")
+
+
+@case("G20_neighborhood_nodes", NEAR + """
+, e as (select distinct h.me as paper_id from h where h.connection_id in (select connection_id from n2))
+select paper_id, cast(case when paper_id = 7 then 15 else 5 end as bigint) as val from e""")
+def _(t):
+    return PT.neighborhood(7, t.connections, t.papers)[0].select("paper_id", F.col("val").cast("long").alias("val"))
+
+
+TOP = """select me as paper_id, count(distinct connection_id) as n from fx_half where connection_type <> 'replicates' group by me order by n desc, me limit 200"""
+
+
+@case("G21_graph_overview_nodes", f"select o.paper_id, p.title as label, least(n, 20) as val from ({TOP}) o join fx_papers p on p.paper_id = o.paper_id")
+def _(t):
+    return PT.graph_overview(t.connections, t.papers)[0].select("paper_id", "label", "val")
+
+
+@case("G21_graph_overview_links", f"""
+with o as ({TOP}) select connection_id from fx_connections where connection_type <> 'replicates' and paper_a_id in (select paper_id from o)
+ and paper_b_id in (select paper_id from o) order by confidence desc, connection_id limit 2000""")
+def _(t):
+    return PT.graph_overview(t.connections, t.papers)[1].select("connection_id")
+
+
+CLUSTER = """select p.paper_id, coalesce(d.n, 0) as n from fx_papers p left join (select me, count(distinct connection_id) as n from fx_half group by me) d on d.me = p.paper_id
+where p.source = '1-URGENT' or contains(lower(p.journal), '1-urgent') order by n desc, p.paper_id limit 100"""
+
+
+@case("G22_cluster_nodes", f"select paper_id, least(greatest(n, 1), 20) as val from ({CLUSTER}) c")
+def _(t):
+    return PT.cluster(t.connections, t.papers, "1-URGENT")[0].select("paper_id", "val")
+
+
+@case("G22_cluster_links", f"""
+with c as ({CLUSTER}) select connection_id from fx_connections where connection_type <> 'replicates' and paper_a_id in (select paper_id from c) and paper_b_id in (select paper_id from c)""")
+def _(t):
+    return PT.cluster(t.connections, t.papers, "1-URGENT")[1].select("connection_id")
+
+
+@case("G23_ego", """
+with f as (select * from fx_half where me = 7 order by confidence desc, connection_id limit 15)
+select other, connection_id from (select *, row_number() over (partition by other order by confidence desc, connection_id) rn from f) x where rn = 1""")
+def _(t):
+    return PT.ego(7, t.connections).select("other", "connection_id")
+
+
+BOTH = """select a.paper_id from (select distinct paper_id from fx_pe where contains(entity, 'red')) a join (select distinct paper_id from fx_pe where contains(entity, 'ring')) b on a.paper_id = b.paper_id"""
+
+
+@case("G24_concept_bridge_papers", f"select paper_id, title from fx_papers where paper_id in ({BOTH}) order by paper_id limit 10")
+def _(t):
+    return S.concept_bridge(t.pe, t.mechs, t.connections, t.papers, "RED", "ring")["bridge_papers"].select("paper_id", "title")
+
+
+@case("G24_concept_bridge_connections", f"""
+select connection_id, confidence from fx_connections where paper_a_id in ({BOTH}) and paper_b_id in ({BOTH}) order by confidence desc, connection_id limit 5""")
+def _(t):
+    return S.concept_bridge(t.pe, t.mechs, t.connections, t.papers, "RED", "ring")["connections"].select("connection_id", "confidence")
+
+
+@case("G24_concept_bridge_mechanisms", """
+select description, paper_id from fx_mechs where contains(lower(description), 'e12') and contains(lower(description), 'liver') order by description, paper_id limit 5""")
+def _(t):
+    return S.concept_bridge(t.pe, t.mechs, t.connections, t.papers, "E12", "liver")["mechanisms"].select("description", "paper_id")
+
+
+@case("G25_concept_neighbors", """
+select entity, entity_type, count(distinct paper_id) as paper_count from fx_pe where contains(entity, 'widget') group by 1, 2 order by paper_count desc, entity, entity_type limit 10""")
+def _(t):
+    return S.concept_neighbors(t.pe, t.claims, "Widget")[0]
+
+
+@case("G25_concept_claims", """
+select claim_id from fx_claims where contains(lower(claim_text), 'e77') or contains(lower(subject), 'e77') or contains(lower(object), 'e77') order by claim_id limit 10""")
+def _(t):
+    return S.concept_neighbors(t.pe, t.claims, "E77")[1].select("claim_id")
+
+
+@case("G26_concept_pathway", """
+select description, paper_id from fx_mechs where contains(lower(description), 'pathway 7') or contains(lower(upstream_entity), 'pathway 7')
+ or contains(lower(downstream_entity), 'pathway 7') or contains(lower(pathway), 'pathway 7') order by description, paper_id limit 10""")
+def _(t):
+    return S.concept_pathway(t.mechs, "Pathway 7").select("description", "paper_id")
+
+
+@case("G27_fallback_papers", """
+select paper_id from fx_papers where (contains(lower(title), 'paper 1') or contains(lower(abstract), 'paper 1')) and (contains(lower(title), 'urgent') or contains(lower(abstract), 'urgent'))
+order by published_date desc nulls last, paper_id limit 10""")
+def _(t):
+    return S.bridge_fallback(t.papers, t.kb, "PAPER 1", "urgent")[0].select("paper_id")
+
+
+@case("G27_fallback_kb", """
+select entry_id from fx_kb where (contains(lower(title), 'e12') or contains(lower(content), 'e12')) and (contains(lower(title), 'binds') or contains(lower(content), 'binds')) order by entry_id limit 10""")
+def _(t):
+    return S.bridge_fallback(t.papers, t.kb, "E12", "binds")[1].select("entry_id")
+
+
+@case("G28_bridge_report_papers", """
+select paper_id, title from fx_papers where contains(lower(title), 'paper 12') or contains(lower(abstract), 'paper 12') order by paper_id limit 10""")
+def _(t):
+    nodes, edges = _graph(t)
+    return S.bridge_report(nodes, edges, t.papers, None, "paper 12", "E77")["papers_a"]
+
+
+KB = """
+with l as (select * from (select *, row_number() over (partition by paper_id order by created_date desc, extraction_id) rn from fx_ext) x where rn = 1)
+select l.paper_id, 'claim' as entry_type, case claim_type when 'causal' then 'Conduction' when 'mechanistic' then 'Transduction' when 'associative' then 'Reception' else 'Synthesis' end as operation,
+ case strength when 'strong' then 'body' when 'moderate' then 'soul' else 'spirit' end as density, concat('E', cast(k1 as string), ' ', verb, ' E', cast(k3 as string)) as title
+from l join (select 0 as i union all select 1) n on n.i = 0 or l.qty % 2 = 0
+union all select l.paper_id, 'mechanism', 'Transduction', case when conf >= 0.8 then 'body' when conf >= 0.5 then 'soul' else 'spirit' end, concat('E', cast(k1 as string), ' ', verb, ' E', cast(k2 as string), ' in ', context) from l
+union all select l.paper_id, 'finding', 'Synthesis', 'soul', concat('finding ', cast(qty as string)) from l where ln > 3
+union all select p.paper_id, 'raw_paper', 'Reception', 'soul', p.title from fx_papers p where length(trim(p.abstract)) >= 50 and not exists (select 1 from fx_ext e where e.paper_id = p.paper_id)"""
+
+
+@case("G29_kb_entries", KB)
+def _(t):
+    return K.kb_entries(t.nested_papers(), t.nested_extractions()).select("paper_id", "entry_type", "operation", "density", "title")
+
+
+@case("P15_kb_content", """
+with l as (select * from (select *, row_number() over (partition by paper_id order by created_date desc, extraction_id) rn from fx_ext) x where rn = 1)
+select l.paper_id, md5(concat_ws(chr(10), concat('Source: ', p.title), concat('Journal: ', p.journal, ' (', cast(p.pub_year as string), ')'), 'DOI: ' || p.doi, '',
+ concat('Mechanism: E', cast(k1 as string), ' ', verb, ' E', cast(k2 as string), ' in ', context), concat('Pathway: E', cast(k1 as string), ' ', verb, ' E', cast(k2 as string)),
+ concat('Pathway context: pathway ', cast(s % 20 as string)), concat('Biological context: ', context))) as content_md5
+from l join fx_papers p on p.paper_id = l.paper_id""")
+def _(t):
+    rows = K.kb_entries(t.nested_papers(), t.nested_extractions()).filter(F.col("entry_type") == "mechanism")
+    return rows.select("paper_id", F.md5("content").alias("content_md5"))
+
+
+FIT = """select c.*, a.doi as da, b.doi as db from fx_connections c join fx_papers a on a.paper_id = c.paper_a_id join fx_papers b on b.paper_id = c.paper_b_id
+where c.confidence >= 0.7 and coalesce(c.novelty_score, 0) >= 0.3 and c.connection_type <> 'extends'"""
+
+
+def _bridged(t):
+    done = t.connections.filter(F.col("connection_type") == "extends").select("connection_id")
+    return K.bridge_connections(t.connections, t.papers, t.kb, done, None)
+
+
+@case("G30_bridge_entries", f"""
+select connection_id, case when confidence >= 0.8 then 'body' else 'soul' end as density, confidence >= 0.8 and novelty_score >= 0.5 as is_high_priority, confidence >= 0.9 as immediate from ({FIT}) f""")
+def _(t):
+    return _bridged(t)[0].select("connection_id", "density", "is_high_priority", "immediate")
+
+
+@case("G30_bridge_signals", f"""
+with f as (select * from ({FIT}) x where novelty_score >= 0.75), n as (select concat('10.1000/p', cast(paper_id as string)) as doi, count(*) as n from fx_kb group by 1)
+select f.connection_id, case when f.confidence >= 0.8 then 'high' else 'medium' end as priority, coalesce(x.n, 0) + coalesce(y.n, 0) as related_kb_entries
+from f left join n x on x.doi = f.da left join n y on y.doi = f.db""")
+def _(t):
+    return _bridged(t)[1].select("connection_id", "priority", "related_kb_entries")
+
+
+# --- paths ---------------------------------------------------------------------------------------
+
+def _named(t, *names):
+    return t.entities.filter(F.col("canonical_name").isin(*names)).select(F.col("canonical_name").alias("resolved_name"))
+
+
+PATHS = """
+with recursive p as (
+ select [lower(source_entity_name), lower(target_entity_name)] as keys, [source_entity_name, target_entity_name] as names, [predicate_type] as preds,
+  [edge_source] as sources, [support_count] as supports, [mean_confidence] as confs, [source_operation, target_operation] as ops, contradiction_load as contra, 1 as hops,
+  case when source_operation <> target_operation then 1 else 0 end as crossings
+ from fx_edges where lower(source_entity_name) in ({seeds})
+ union all select list_append(p.keys, lower(e.target_entity_name)), list_append(p.names, e.target_entity_name), list_append(p.preds, e.predicate_type),
+  list_append(p.sources, e.edge_source), list_append(p.supports, e.support_count), list_append(p.confs, e.mean_confidence), list_append(p.ops, e.target_operation), p.contra + e.contradiction_load, p.hops + 1,
+  p.crossings + case when p.ops[len(p.ops)] <> e.target_operation then 1 else 0 end
+ from p join fx_edges e on lower(e.source_entity_name) = p.keys[len(p.keys)] where p.hops < {hops} and not list_contains(p.keys, lower(e.target_entity_name))),
+q as (select *, array_to_string(list_concat(list_concat(keys, preds), sources), '|') as path_key from p)
+"""
+
+
+@case("D02_enumerate_paths", PATHS.format(seeds="'e1', 'e2', 'e3'", hops=4) + """
+select array_to_string(names, '|') as path, cast(hops as bigint) as hops, cast(contra as bigint) as contra_load, cast(crossings as bigint) as op_boundary_crossings
+from q order by hops, contra, path_key limit 500""")
+def _(t):
+    return PT.enumerate_paths(t.edges, _named(t, "E1", "E2", "E3")).select(
+        JOIN("path_names").alias("path"), F.col("hops").cast("long").alias("hops"), "contra_load",
+        F.col("op_boundary_crossings").cast("long").alias("op_boundary_crossings"))
+
+
+@case("D02_paths_to_targets", PATHS.format(seeds="select lower(canonical_name) from fx_entities where entity_type = 'ECONOMY'", hops=4) + """
+select array_to_string(names, '|') as path, cast(hops as bigint) as hops from q
+where keys[len(keys)] in (select lower(canonical_name) from fx_entities where alias2 = 'small ring') and hops >= 2 and crossings >= 1 order by hops, contra, path_key limit 500""")
+def _(t):
+    name = F.col("canonical_name").alias("resolved_name")
+    seeds = t.entities.filter(F.col("entity_type") == "ECONOMY").select(name)
+    targets = t.entities.filter(F.col("alias2") == "small ring").select(name)
+    return PT.enumerate_paths(t.edges, seeds, targets, 4, 2, 500, 1).select(
+        JOIN("path_names").alias("path"), F.col("hops").cast("long").alias("hops"))
+
+
+@case("D01_resolve_seeds", """
+with s as (select lower(p_name) as seed from part union select lower(concat('e', cast(p_partkey as string))) from part union select 'no such thing'),
+k as (select lower(canonical_name) as key, canonical_name from fx_entities union select lower(alias1), canonical_name from fx_entities union select lower(alias2), canonical_name from fx_entities)
+select distinct k.canonical_name as resolved_name from s join k on k.key = s.seed""")
+def _(t):
+    seeds = t.part.select(F.explode(F.array("p_name", F.concat(F.lit("e"), F.col("p_partkey").cast("string")), F.lit("no such thing"))).alias("seed"))
+    found = E.discovered_entities(t.nested_extractions()).select("canonical_text")
+    return PT.resolve_seeds(seeds, t.nested_entities(), t.edges, found)
+
+
+CO = """
+co as (select a, b, count(distinct x.paper_id) as n from (select distinct keys[1] as a, keys[len(keys)] as b from q) e
+ join fx_triples x on lower(x.subject) = a or lower(x.object) = a join fx_triples y on y.paper_id = x.paper_id and y.triple_id <> x.triple_id
+ and (lower(y.subject) = b or lower(y.object) = b) group by a, b)"""
+SCORED = PATHS.format(seeds="'e1', 'e2', 'e3', 'e5', 'e8'", hops=3) + f""", {CO},
+s as (select q.*, coalesce(co.n, 0) as co, 1 - 1 / (1 + exp(-(ln(1 + coalesce(co.n, 0)) - 2))) as novelty,
+ least(1.0, exp(list_sum(list_transform(confs, lambda c: ln(greatest(c, 0.01)))) / len(confs)) * (1 + 0.3 * (crossings / hops))) as coherence,
+ 0.5 + 0.5 * (len(list_filter(sources, lambda z: z = 'backbone')) / len(sources)) as plausibility, least(1.0, contra / (hops * 2)) as cn
+ from q left join co on co.a = keys[1] and co.b = keys[len(keys)]),
+f as (select s.*, novelty * coherence * plausibility / (1 + cn) as composite, list_min(supports) as weakest_edge_support, list_position(supports, list_min(supports)) - 1 as weakest_edge_idx from s)
+"""
+
+
+def _scored(t, names=("E1", "E2", "E3", "E5", "E8")):
+    found = PT.enumerate_paths(t.edges, _named(t, *names), max_hops=3, path_limit=None)
+    found = cut_lineage(found)
+    ends = found.select(F.element_at("path_keys", 1).alias("endpoint_a"), F.element_at("path_keys", -1).alias("endpoint_b"))
+    return PT.score_paths(found, PT.co_mentions(t.triples, ends))
+
+
+@case("D03_score_paths", SCORED + """
+select path_key, round(novelty, 3) as novelty, round(plausibility, 3) as plausibility, cast(weakest_edge_idx as bigint) as weakest_edge_idx, weakest_edge_support,
+ round(composite, 2) as composite from f""")
+def _(t):
+    return _scored(t).select(
+        "path_key", F.round("novelty", 3).alias("novelty"), F.round("plausibility", 3).alias("plausibility"),
+        F.col("weakest_edge_idx").cast("long").alias("weakest_edge_idx"), "weakest_edge_support", F.round("composite", 2).alias("composite"))
+
+
+@case("D04_co_mentions", f"""
+with pairs as (select distinct lower(subject) as a, lower(object) as b from fx_triples),
+n as (select a, b, count(distinct x.paper_id) as n from pairs join (select paper_id, triple_id, lower(subject) as e from fx_triples union select paper_id, triple_id, lower(object) from fx_triples) x on x.e = a
+ join (select paper_id, triple_id, lower(subject) as e from fx_triples union select paper_id, triple_id, lower(object) from fx_triples) y on y.e = b and y.paper_id = x.paper_id and y.triple_id <> x.triple_id group by a, b)
+select p.a as endpoint_a, p.b as endpoint_b, coalesce(n.n, 0) as co_mentions from pairs p left join n on n.a = p.a and n.b = p.b""")
+def _(t):
+    return PT.co_mentions(t.triples, t.triples.select(F.col("subject").alias("endpoint_a"), F.col("object").alias("endpoint_b")))
+
+
+@case("W04_rank_paths", SCORED + """
+select path_key, rn as rank from (select path_key, row_number() over (partition by keys[1] order by round(composite, 4) desc, hops, path_key) rn from f) x where rn <= 3""")
+def _(t):
+    scored = _scored(t).withColumn("run_id", F.element_at("path_keys", 1))
+    return PT.rank_paths(scored, "run_id", 3).select("path_key", F.col("rank").cast("long").alias("rank"))
+
+
+@case("D05_flag_weak_edges", SCORED + """
+select distinct names[weakest_edge_idx + 1] as source_entity, names[weakest_edge_idx + 2] as target_entity, preds[weakest_edge_idx + 1] as predicate_type,
+ ops[weakest_edge_idx + 1] as source_op, ops[weakest_edge_idx + 2] as target_op from f where weakest_edge_support <= 1 and ops[weakest_edge_idx + 1] <> ops[weakest_edge_idx + 2]""")
+def _(t):
+    scored = _scored(t).withColumn("run_id", F.lit("r"))
+    ranked = PT.rank_paths(scored, "run_id", 1 << 30)
+    return PT.flag_weak_edges(ranked).select("source_entity", "target_entity", "predicate_type", "source_op", "target_op")
+
+
+@case("D06_traverse", PATHS.format(seeds="'e17'", hops=4) + """
+select path_key, cast(hops as bigint) as hops, cast(crossings as bigint) as crossings, round(list_product(confs), 6) as path_conf from q""")
+def _(t):
+    return PT.traverse(t.edges, "E17", limit=None).select(
+        "path_key", F.col("hops").cast("long").alias("hops"), F.col("op_boundary_crossings").cast("long").alias("crossings"),
+        F.round("path_conf", 6).alias("path_conf"))
+
+
+MISSING = """
+with s as (select distinct paper_id, subject_normalized_id as e from fx_triples where subject_normalized_id is not null),
+c as (select a.e as ea, b.e as eb, count(*) as n from s a join s b on a.paper_id = b.paper_id and a.e < b.e group by 1, 2 having count(*) >= 2)
+select x.canonical_name as entity_a, x.primary_operation as op_a, y.canonical_name as entity_b, y.primary_operation as op_b, c.n as co_paper_count from c
+join fx_entities x on x.entity_id = c.ea join fx_entities y on y.entity_id = c.eb where x.primary_operation <> y.primary_operation
+and not exists (select 1 from fx_edges e where (e.source_entity_id = c.ea and e.target_entity_id = c.eb) or (e.source_entity_id = c.eb and e.target_entity_id = c.ea))
+"""
+
+
+@case("D07_missing_edges", MISSING + "order by n desc, entity_a, entity_b limit 25")
+def _(t):
+    return PT.missing_edges(t.triples, t.entities, t.edges)
+
+
+@case("D07_missing_edges_all", MISSING)
+def _(t):
+    return PT.missing_edges(t.triples, t.entities, t.edges, limit=None)
+
+
+def _ranked(t):
+    return cut_lineage(PT.rank_paths(_scored(t).withColumn("run_id", F.element_at("path_keys", 1)), "run_id", 10))
+
+
+RANKED = SCORED + """, r as (select * from (select *, row_number() over (partition by keys[1] order by round(composite, 4) desc, hops, path_key) rn from f) x where rn <= 10)
+"""
+
+
+@case("D08_hypothesis_brief", RANKED + """
+select keys[1] as run_id, concat(names[1], ' is mechanistically linked to ', names[len(names)], ' through a ', cast(hops as string), '-hop cascade (',
+ array_to_string(list_filter(ops, lambda o, i: i = 1 or o <> ops[i - 1]), ' → '), ') in which ', keys[1], ' ',
+ case when len(list_filter(preds, lambda z: z in ('activates', 'upregulates', 'induces', 'is_upstream_of'))) > len(list_filter(preds, lambda z: z in ('inhibits', 'blocks', 'downregulates', 'is_downstream_of'))) then 'drives changes that ultimately influence'
+  when len(list_filter(preds, lambda z: z in ('activates', 'upregulates', 'induces', 'is_upstream_of'))) < len(list_filter(preds, lambda z: z in ('inhibits', 'blocks', 'downregulates', 'is_downstream_of'))) then 'disrupts a cascade that modulates'
+  else 'is associated with changes in' end, ' ', keys[len(keys)], '.') as thesis from r where rn = 1""")
+def _(t):
+    return B.hypothesis_brief(_ranked(t), t.edges).select("run_id", "thesis")
+
+
+@case("D08_brief_documents")
+def _(t):
+    return B.brief_markdown(B.hypothesis_brief(_ranked(t), t.edges))
+
+
+@case("D08_brief_evidence", RANKED + """
+, h as (select distinct keys[1] as run_id, keys[i] as s, keys[i + 1] as o, preds[i] as pred from r, unnest(range(1, 4)) as g(i) where rn = 1 and i <= hops)
+select distinct h.run_id, t.paper_id from h join fx_triples t on lower(t.subject) = h.s and lower(t.object) = h.o""")
+def _(t):
+    papers = t.triples.select(F.col("subject").alias("source_entity_name"), F.col("object").alias("target_entity_name"), "paper_id", "predicate_type")
+    hops = _ranked(t)
+    # Derived edges and triples use different verbs, so the verb is taken from the path.
+    verbs = hops.select(F.explode("preds").alias("predicate_type")).distinct()
+    any_verb = papers.drop("predicate_type").distinct().join(F.broadcast(verbs))
+    return B.brief_evidence(hops, any_verb, t.papers.select("paper_id"))
+
+
+@case("D09_promote", RANKED + """
+select keys[1] as run_id, concat('How does it work — ', names[1], ' → ', names[len(names)]) as title from r where rn = 1""")
+def _(t):
+    brief = B.hypothesis_brief(_ranked(t), t.edges)
+    evidence = t.papers.limit(0).withColumn("run_id", F.lit(""))
+    return B.promote(brief, evidence, "How does it work?")[0].select("run_id", "title")
+
+
+@case("D10_decompose", """
+with q as (select conv_id, turn, case turn % 5 when 0 then 'how does it spread' when 1 then 'what causes it' when 2 then 'mechanism of action' when 3 then 'why do they form' else 'tell me more' end as ask from conversations)
+select conv_id, turn, ask, case turn % 5 when 0 then 'progression' when 1 then 'etiology' when 2 then 'mechanism' when 3 then 'initiation' else 'generic' end as pattern,
+ cast(case turn % 5 when 0 then 3 when 1 then 3 when 2 then 3 when 3 then 4 else 2 end as bigint) as n_targets from q""")
+def _(t):
+    asks = ("how does it spread", "what causes it", "mechanism of action", "why do they form")
+    ask = F.lit("tell me more")
+    for i, a in enumerate(asks):
+        ask = F.when(F.col("turn") % 5 == i, a).otherwise(ask)
+    out = B.decompose(t.conversations.select("conv_id", "turn", ask.alias("ask")), "ask")
+    return out.select("conv_id", "turn", "ask", "pattern", F.size("targets").cast("long").alias("n_targets"))
+
+
+FRAMES = """
+frames as (select concat('fr', cast(r_regionkey as string)) as frame_id, r_regionkey as r from region),
+seeds as (select f.frame_id, lower(e.canonical_name) as k from frames f join fx_entities e on cast(substr(e.entity_id, 2) as bigint) % 50 = f.r),
+goals as (select f.frame_id, lower(e.canonical_name) as k from frames f join fx_entities e on cast(substr(e.entity_id, 2) as bigint) % 7 = f.r)"""
+FRAME_PATHS = f"""
+with recursive {FRAMES},
+p as (select s.frame_id, [lower(source_entity_name), lower(target_entity_name)] as keys, [predicate_type] as preds, [edge_source] as sources, [mean_confidence] as confs,
+  target_operation as op, contradiction_load as contra, 1 as hops, case when source_operation <> target_operation then 1 else 0 end as crossings from fx_edges join seeds s on s.k = lower(source_entity_name)
+ union all select p.frame_id, list_append(p.keys, lower(e.target_entity_name)), list_append(p.preds, e.predicate_type), list_append(p.sources, e.edge_source), list_append(p.confs, e.mean_confidence), e.target_operation,
+  p.contra + e.contradiction_load, p.hops + 1, p.crossings + case when p.op <> e.target_operation then 1 else 0 end
+ from p join fx_edges e on lower(e.source_entity_name) = p.keys[len(p.keys)] where p.hops < 3 and not list_contains(p.keys, lower(e.target_entity_name))),
+q as (select p.*, array_to_string(list_concat(list_concat(keys, preds), sources), '|') as path_key from p join goals g on g.frame_id = p.frame_id and g.k = keys[len(keys)] where hops >= 2 and crossings >= 1),
+c as (select * from (select *, row_number() over (partition by frame_id order by hops, contra, path_key) rn from q) x where rn <= 200),
+s as (select *, round((1 - 1 / (1 + exp(2.0))) * least(1.0, exp(list_sum(list_transform(confs, lambda z: ln(greatest(z, 0.01)))) / len(confs)) * (1 + 0.3 * (crossings / hops)))
+  * (0.5 + 0.5 * (len(list_filter(sources, lambda z: z = 'backbone')) / len(sources))) / (1 + least(1.0, contra / (hops * 2))), 4) as composite from c),
+r as (select * from (select frame_id, keys, hops, composite, path_key, row_number() over (partition by frame_id order by composite desc, hops, path_key) rank from s) y where rank <= 20)
+"""
+
+
+def _frames(t):
+    ids = t.entities.withColumn("k", F.expr("cast(substring(entity_id, 2) as bigint)"))
+    frames = t.region.select(F.concat(F.lit("fr"), F.col("r_regionkey").cast("string")).alias("frame_id"), "r_regionkey",
+                             F.col("r_name").alias("label"), F.lit("why?").alias("frame_question"),
+                             (F.col("r_regionkey") % 2 == 0).alias("patient_variable"))
+    pick = lambda m, n: frames.join(ids, F.col("k") % m == F.col("r_regionkey")).groupBy("frame_id").agg(
+        F.collect_list("canonical_name").alias(n))
+    return frames.join(pick(50, "default_seeds"), "frame_id").join(pick(7, "target_templates"), "frame_id")
+
+
+@case("D11_frame_paths", FRAME_PATHS + "select frame_id, path_key, cast(hops as bigint) as hops from r")
+def _(t):
+    return B.frame_paths(_frames(t), "x", t.edges).select("frame_id", "path_key", F.col("hops").cast("long").alias("hops"))
+
+
+MIDS = """, m as (select distinct frame_id, unnest(keys[2:-2]) as node from r), n as (select node, count(*) as frame_count, string_agg(frame_id, '|' order by frame_id) as frames from m where length(node) > 2 group by node)
+"""
+
+
+@case("D12_synthesize_nodes", FRAME_PATHS + MIDS + """
+select node, frame_count, frames, 'convergent' as kind from n where frame_count >= 3
+union all select * from (select node, frame_count, frames, 'bridge' from n where frame_count = 2 order by node limit 40) b""")
+def _(t):
+    frames = _frames(t)
+    return B.synthesize(B.frame_paths(frames, "x", t.edges), frames)[0].select("node", "frame_count", JOIN("frames").alias("frames"), "kind")
+
+
+@case("D12_frame_stats", FRAME_PATHS + """
+select f.frame_id, count(r.path_key) as paths_scored, count(r.path_key) < 3 as thin from frames f left join r on r.frame_id = f.frame_id group by f.frame_id""")
+def _(t):
+    frames = _frames(t)
+    return B.synthesize(B.frame_paths(frames, "x", t.edges), frames)[1].select("frame_id", "paths_scored", "thin")
+
+
+@case("D12_patient_factors", FRAME_PATHS + MIDS + """
+select node, frame_count from n where frame_count >= 2 and (contains(frames, 'fr0') or contains(frames, 'fr2') or contains(frames, 'fr4')) order by frame_count desc, node limit 25""")
+def _(t):
+    frames = _frames(t)
+    return B.patient_factors(B.frame_paths(frames, "x", t.edges), frames).select("node", "frame_count")
+
+
+@case("D13_template_brief")
+def _(t):
+    frames = _frames(t)
+    nodes, stats = B.synthesize(B.frame_paths(frames, "x", t.edges), frames)
+    return B.template_brief(nodes, stats, "Why?", "x")
+
+
+@case("D14_runs", "select extraction_id as run_id from fx_ext where starts_with(extraction_id, '77') order by created_date desc, extraction_id limit 20")
+def _(t):
+    all_runs = t.ext.select(F.col("extraction_id").alias("run_id"), F.col("created_date").alias("created_at"))
+    return B.runs(all_runs, "77").select("run_id")
+
+
+# --- vectors -------------------------------------------------------------------------------------
+
+COS = "list_cosine_similarity(a.embedding, b.embedding)"
+
+
+@case("X01_similar_pairs", f"""
+with e as (select vec_id, cast(embedding as double[]) as embedding from embeddings)
+select a.vec_id as paper_a_id, b.vec_id as paper_b_id, round({COS}, 5) as similarity from e a join e b on a.vec_id < b.vec_id
+where {COS} >= 0.35 order by {COS} desc, a.vec_id, b.vec_id limit 500""")
+def _(t):
+    return PR.similar_pairs(t.embeddings, 0.35).select("paper_a_id", "paper_b_id", F.round("similarity", 5).alias("similarity"))
+
+
+@case("X01_similar_pairs_lsh")
+def _(t):
+    return PR.similar_pairs_lsh(t.embeddings, 0.35)
+
+
+@case("X02_similar_to", f"""
+with e as (select vec_id, cast(embedding as double[]) as embedding from embeddings)
+select b.vec_id as paper_id, round({COS}, 5) as similarity from e a join e b on a.vec_id = 3 and b.vec_id <> 3 order by {COS} desc, b.vec_id limit 20""")
+def _(t):
+    return PR.similar_to(t.embeddings, 3).select("paper_id", F.round("similarity", 5).alias("similarity"))
+
+
+@case("X03_missing_embeddings", "select extraction_id from fx_ext where ln % 2 = 0 order by created_date desc, extraction_id limit 200")
+def _(t):
+    ext = t.ext.select("extraction_id", F.col("created_date").alias("created_at"), F.when(F.col("ln") % 2 != 0, F.array(F.lit(1.0))).alias("embedding"))
+    return W.missing_embeddings(ext).select("extraction_id")
+
+
+@case("A22_graph_counts", """
+select 'entity' as name, 'node' as kind, count(*) as n from fx_entities union all select predicate_type, 'edge', count(*) from fx_edges group by predicate_type""")
+def _(t):
+    nodes = t.entities.select(F.lit("entity").alias("label"))
+    return R.graph_counts(nodes, t.edges.select(F.col("predicate_type").alias("type")))
+
+
+@case("X09_paper_context", """
+with b as (select * from (select *, row_number() over (partition by me order by confidence desc, connection_id) rn from fx_half where connection_type <> 'replicates') x where rn <= 20)
+select p.paper_id, coalesce(count(b.connection_id), 0) as connections, max(c.overall_quality) as overall_quality from fx_papers p left join b on b.me = p.paper_id
+left join fx_critiques c on c.paper_id = p.paper_id and coalesce(c.brief_confidence, '') <> 'insufficient' group by p.paper_id""")
+def _(t):
+    ctx = S.paper_context(t.nested_papers(), t.nested_extractions(), t.connections, t.critiques)
+    return ctx.select("paper_id", F.coalesce(F.size("connections"), F.lit(0)).cast("long").alias("connections"),
+                      F.col("critique.overall_quality").alias("overall_quality"))

@@ -40,7 +40,7 @@ def canonical_form(c: Column) -> Column:
 
 def paren_extras(c: Column) -> Column:
     """the 2-30 character parentheticals of a text, as an array."""
-    inner = F.transform(F.regexp_extract_all(c, F.lit(r"\(([^)]+)\)"), F.lit(1)), F.trim)
+    inner = F.transform(F.regexp_extract_all(c, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda x: F.trim(x))
     return F.filter(inner, lambda x: F.length(x).between(2, 30))
 
 

@@ -48,7 +48,8 @@ def merge_fulltext(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     upgrade = ~F.coalesce(has_old, F.lit(False)) & F.coalesce(has_new, F.lit(False))
     tag = F.when(F.coalesce(has_new, F.lit(False)), "full_text_pmc").otherwise("abstract_only")
     new_status = F.when(F.length("_abstract") > 0, "fetched").otherwise("queued")
-    pick = lambda c, new: F.when(upgrade, new).otherwise(F.coalesce(F.col(c), new))
+    known = F.col("paper_id").isNotNull() & ~upgrade
+    pick = lambda c, new: F.when(known, F.col(c)).otherwise(new)
     return existing.join(inc, ["source", "external_id"], "full").select(
         "source", "external_id", F.coalesce("paper_id", "_paper_id").alias("paper_id"),
         F.coalesce("title", "_title").alias("title"), F.coalesce("abstract", "_abstract").alias("abstract"),

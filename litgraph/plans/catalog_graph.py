@@ -658,14 +658,12 @@ def _(t):
 
 @case("D08_brief_evidence", RANKED + """
 , h as (select distinct keys[1] as run_id, keys[i] as s, keys[i + 1] as o, preds[i] as pred from r, unnest(range(1, 4)) as g(i) where rn = 1 and i <= hops)
-select distinct h.run_id, t.paper_id from h join fx_triples t on lower(t.subject) = h.s and lower(t.object) = h.o""")
-def _(t):
-    papers = t.triples.select(F.col("subject").alias("source_entity_name"), F.col("object").alias("target_entity_name"), "paper_id", "predicate_type")
-    hops = _ranked(t)
-    # Derived edges and triples use different verbs, so the verb is taken from the path.
-    verbs = hops.select(F.explode("preds").alias("predicate_type")).distinct()
-    any_verb = papers.drop("predicate_type").distinct().join(F.broadcast(verbs))
-    return B.brief_evidence(hops, any_verb, t.papers.select("paper_id"))
+select distinct h.run_id, p.paper_id from h join fx_edges e on lower(e.source_entity_name) = h.s and lower(e.target_entity_name) = h.o and e.predicate_type = h.pred
+join fx_pe p on concat('C', cast(p.entity_id as string)) = e.source_entity_id""")
+def _(t):
+    behind = t.pe.select(F.concat(F.lit("C"), F.col("entity_id").cast("string")).alias("source_entity_id"), "paper_id")
+    support = t.edges.join(behind, "source_entity_id").select(*E.EDGE_KEY, "paper_id")
+    return B.brief_evidence(_ranked(t), support, t.papers.select("paper_id"))
 
 
 @case("D09_promote", RANKED + """

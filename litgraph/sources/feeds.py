@@ -78,7 +78,7 @@ def normalize_preprints(df: DataFrame, server: str, categories=L.PREPRINT_CATEGO
     out = df.select(
         F.lit(server).alias("source"), clean("doi").alias("external_id"), clean("title").alias("title"),
         clean("abstract").alias("abstract"),
-        _filled(F.transform(F.split(F.coalesce("authors", F.lit("")), ";"), F.trim)).alias("authors"),
+        _filled(F.transform(F.split(F.coalesce("authors", F.lit("")), ";"), lambda x: F.trim(x))).alias("authors"),
         F.lit("medRxiv" if server == "medrxiv" else "bioRxiv").alias("journal"),
         day.alias("pub_date"), _year(day).alias("pub_year"), clean("doi").alias("doi"),
         F.lower(clean("category")).alias("category"),

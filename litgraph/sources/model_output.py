@@ -24,12 +24,12 @@ operation struct<primary:string,secondary:string,confidence:string,reasoning:str
 
 
 def _split(c: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
 def _texts(items: Column) -> Column:
-    trimmed = F.transform(F.coalesce(items, F.array().cast("array<string>")), F.trim)
+    trimmed = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x))
     return F.filter(trimmed, lambda x: F.length(x) > 0)
 
 

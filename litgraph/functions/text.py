@@ -17,6 +17,11 @@ def nonempty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def strip(c: Column) -> Column:
+    """The text without white space at its ends (``trim`` takes blanks only)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def regex_any(words) -> str:
     """One alternation that matches any of the literal ``words``."""
     return "|".join(re.escape(w).replace(r"\ ", " ") for w in words)
@@ -50,7 +55,7 @@ def is_null_word(c: Column) -> Column:
 
 def clean_entity(c: Column) -> Column:
     """trimmed entity text; null words and texts over 200 characters become null."""
-    s = F.trim(c)
+    s = strip(c)
     return F.when(~is_null_word(s) & (F.length(s) <= 200), s)
 
 
@@ -109,7 +114,7 @@ def strip_comments(c: Column) -> Column:
 
 def strip_fences(c: Column) -> Column:
     """drop code-fence lines from a model answer."""
-    return F.trim(F.regexp_replace(F.trim(c), r"(?m)^\s*```.*$\n?", ""))
+    return strip(F.regexp_replace(strip(c), r"(?m)^\s*```.*$\n?", ""))
 
 
 @F.pandas_udf(T.StringType())

@@ -182,16 +182,22 @@ def find_mentions(texts: DataFrame, entities: DataFrame, id_col: str, text_col:
     sizes = [r.n for r in words.select(F.size(pieces(F.col("term"))).alias("n")).distinct().orderBy("n").collect()]
     alnum = lambda x: x.rlike("^[A-Za-z0-9]")
     free = lambda i: ~F.coalesce(alnum(F.get("_p", i)), F.lit(False))
-    runs = F.transform(
-        F.filter(F.lit(sizes or [0]), lambda n: (F.col("at") + n <= F.size("_p")) & free(F.col("at") + n)),
-        lambda n: F.struct(n.alias("n"), F.array_join(F.slice("_p", F.col("at") + 1, n), "").alias("match_text")))
+    fits = lambda i: F.filter(
+        F.lit(sizes or [0]), lambda n: (i + n <= F.size("_p")) & free(i + n))
+    run = lambda i, n: F.struct(
+        i.alias("at"), n.alias("n"),
+        F.when(n == 1, F.get("_p", i)).otherwise(F.array_join(F.slice("_p", i + 1, n), "")).alias("match_text"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: (i == 0) | free(i - 1))
+    # The runs of a text are made in one array, so that exploded rows do not carry the text along.
+    # explode_outer: for explode, the optimizer would add a filter on the array and push it below
+    # the cutting into pieces, which would then be done again for every element.
     cuts = (
-        texts.select(id_col, pieces(F.col(text_col)).alias("_p"))
-        .filter(F.size("_p") > 0)
-        .select(id_col, "_p", F.explode(F.filter(
-            F.sequence(F.lit(0), F.size("_p") - 1), lambda i: (i == 0) | free(i - 1))).alias("at"))
-        .select(id_col, "at", F.explode(runs).alias("r"))
-        .select(id_col, "at", "r.n", "r.match_text", F.lower("r.match_text").alias("term"))
+        texts.filter(F.length(text_col) > 0)
+        .select(id_col, pieces(F.col(text_col)).alias("_p"))
+        .select(id_col, F.flatten(F.transform(
+            starts, lambda i: F.transform(fits(i), lambda n: run(i, n)))).alias("_runs"))
+        .select(id_col, F.explode_outer("_runs").alias("r"))
+        .select(id_col, "r.at", "r.n", "r.match_text", F.lower("r.match_text").alias("term"))
     )
     hits = cuts.join(words, "term").groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct(

@@ -45,58 +45,76 @@ def key_pairs(df: DataFrame, key, id_col: str, df_min: int = 2, df_cap: int | No
 
 
 def shared_counts(df: DataFrame, key: str, id_col: str, min_shared: int, df_cap: int | None = None,
-                  block: int = BLOCK, prefix: bool = False) -> DataFrame:
-    """Pairs of ids with at least ``min_shared`` keys in common, and how many.
+                  block: int = BLOCK) -> DataFrame:
+    """Pairs of ids with at least ``min_shared`` keys in common, and how many."""
+    pairs = key_pairs(df, key, id_col, df_cap=df_cap, block=block)
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_count")).filter(
+        F.col("shared_count") >= min_shared)
 
-    With ``prefix``, the ``min_shared - 1`` commonest keys of each id do not make candidates: two
-    ids with enough in common still share a rarer key. Counts are then taken over all keys.
+
+def pairs_made(df: DataFrame, key: str) -> float:
+    """How many pairs pairing out every key would make."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return n.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).head()[0] or 0.0
+
+
+def rare_keys(df: DataFrame, key: str, id_col: str, min_shared: int) -> DataFrame:
+    """(key, id) rows that are enough to find all pairs with ``min_shared`` keys in common.
+
+    Of ids with enough keys, all but the ``min_shared - 1`` commonest: the rarest key that two ids
+    share has at least that many commoner ones after it on either side, so it is kept on both.
     """
-    if not prefix:
-        pairs = key_pairs(df, key, id_col, df_cap=df_cap, block=block)
-        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_count")).filter(
-            F.col("shared_count") >= min_shared)
     able = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= min_shared)
     some = df.join(able.select(id_col), id_col, "left_semi")
-    sizes = some.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    sized = some.join(sizes, key)
-    rare = sized
-    if min_shared > 1:
-        # The rarest shared key has at least min_shared - 1 commoner ones after it on either
-        # side, so it is never among the keys left out.
-        common = top_per(sized, id_col, [F.desc("_n"), F.asc(key)], min_shared - 1).select(id_col, key)
-        rare = sized.join(common, [id_col, key], "left_anti")
-    cand = key_pairs(rare.select(key, id_col), key, id_col, block=block).select("a", "b").distinct()
-    left = cand.join(sized.select(F.col(id_col).alias("a"), key), "a")
+    sized = some.join(some.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
+    common = top_per(sized, id_col, [F.desc("_n"), F.asc(key)], min_shared - 1).select(id_col, key)
+    return sized.filter(F.col("_n") > 1).join(common, [id_col, key], "left_anti").select(key, id_col)
+
+
+def verified_counts(df: DataFrame, rare: DataFrame, key: str, id_col: str, min_shared: int, block: int = BLOCK) -> DataFrame:
+    """Pairs that meet on a rare key, counted over all keys."""
+    cand = key_pairs(rare, key, id_col, block=block).select("a", "b").distinct()
+    left = cand.join(df.select(F.col(id_col).alias("a"), key), "a")
     return (
-        left.join(sized.select(F.col(id_col).alias("b"), key), ["b", key])
+        left.join(df.select(F.col(id_col).alias("b"), key), ["b", key])
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_count"))
         .filter(F.col("shared_count") >= min_shared)
     )
 
 
-PAIR_BUDGET = 50_000_000  # pairs a single pass may make before rarer keys are tried first
+PAIR_BUDGET = 20_000_000  # pairs a single pass may make before rarer keys are tried first
 
 
-def top_shared(df: DataFrame, key: str, id_col: str, min_shared: int, limit: int) -> DataFrame:
+def top_shared(df: DataFrame, key: str, id_col: str, min_shared: int, limit: int, budget: int = PAIR_BUDGET) -> DataFrame:
     """The ``limit`` pairs with most keys in common, at least ``min_shared``; exact.
 
     If pairing out every key would make too many pairs, high counts are tried first: they leave
     only rare keys to pair. The search ends at the first bound that ``limit`` pairs reach, since
     every other pair has fewer keys in common.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    made = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).head()[0] or 0
-    if made <= PAIR_BUDGET:
+    made = pairs_made(df, key)
+    if made <= budget or min_shared < 2:
         return _top_pairs(shared_counts(df, key, id_col, min_shared), limit)
-    most = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0]
-    bound = min_shared
-    while bound * 2 <= most:
+    # A bound can only be reached if at least two ids have that many keys.
+    sizes = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    most = max([min_shared, *[r.n for r in sizes.orderBy(F.desc("n")).limit(2).collect()][1:]])
+    bound = min(2 * min_shared, most)
+    rare, few = _rare_within(df, key, id_col, bound)
+    while few > budget and bound * 2 <= most:
         bound *= 2
-    while True:
-        top = cut_lineage(_top_pairs(shared_counts(df, key, id_col, bound, prefix=True), limit))
+        rare, few = _rare_within(df, key, id_col, bound)
+    while few * bound <= made:  # else rare keys are no saving: count all at once
+        top = cut_lineage(_top_pairs(verified_counts(df, rare, key, id_col, bound), limit))
         if bound <= min_shared or top.count() >= limit:
             return top
-        bound = max(min_shared, bound // 2)
+        bound = max(min_shared, bound // 2 if bound > 5 else bound - 1)
+        rare, few = _rare_within(df, key, id_col, bound)
+    return _top_pairs(shared_counts(df, key, id_col, min_shared), limit)
+
+
+def _rare_within(df: DataFrame, key: str, id_col: str, bound: int) -> tuple[DataFrame, float]:
+    rare = cut_lineage(rare_keys(df, key, id_col, bound))
+    return rare, pairs_made(rare, key)
 
 
 def shared_names(pairs: DataFrame, df: DataFrame, key: str, id_col: str, n: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from litgraph.operators.worksets import contains_any, degree
 def term_index(papers: DataFrame, cols=("title", "abstract")) -> DataFrame:
     """Inverted index (term, paper_id, tf) over the whole texts."""
     words = tokens(F.concat_ws(" ", *cols))
-    return papers.select("paper_id", F.explode(words).alias("term")).groupBy("term", "paper_id").agg(
+    return papers.select("paper_id", F.explode_outer(words).alias("term")).filter(F.col("term").isNotNull()).groupBy("term", "paper_id").agg(
         F.count(F.lit(1)).alias("tf"))
 
 
@@ -39,7 +39,7 @@ def search(papers, conns, query, mode="and", limit=20) -> DataFrame:
     """
     want, avoid = parse_query(query, mode)
     either = mode == "prefix_or" or (mode == "web" and re.search(r"\bor\b", query.lower()) is not None)
-    words = papers.select("paper_id", F.explode(tokens(F.concat_ws(" ", "title", "abstract"))).alias("word"))
+    words = papers.select("paper_id", F.explode_outer(tokens(F.concat_ws(" ", "title", "abstract"))).alias("word"))
     if mode == "prefix_or":
         hit = F.explode(F.filter(F.lit(want), lambda t: F.col("word").startswith(t)))
         hits = words.withColumn("term", hit)

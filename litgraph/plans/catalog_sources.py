@@ -340,7 +340,7 @@ def _(t):
     return t.part.select("p_partkey", X.canonical_form(raw).alias("form"), JOIN(X.paren_extras(raw)).alias("extra"))
 
 
-@case("F03_clean_entity", "select doc_id, case when length(trim(text)) <= 200 then length(trim(text)) end as n from documents")
+@case("F03_clean_entity", r"select doc_id, case when length(s) between 1 and 200 then length(s) end as n from (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as s from documents) d")
 def _(t):
     return t.documents.select("doc_id", F.length(X.clean_entity(F.col("text"))).cast("long").alias("n"))
 

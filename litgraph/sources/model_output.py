@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from litgraph import lookups as L
 from litgraph.functions import vocab
-from litgraph.functions.text import balanced_object, clean_value, nonempty, strip_comments, strip_fences
+from litgraph.functions.text import balanced_object, clean_value, nonempty, strip, strip_comments, strip_fences
 
 EXTRACTION_XML = """
 study_design string, sample_size string, population string, intervention string, comparator string,
@@ -24,12 +24,12 @@ operation struct<primary:string,secondary:string,confidence:string,reasoning:str
 
 
 def _split(c: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x))
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), strip)
     return F.filter(parts, lambda x: x != "")
 
 
 def _texts(items: Column) -> Column:
-    trimmed = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x))
+    trimmed = F.transform(F.coalesce(items, F.array().cast("array<string>")), strip)
     return F.filter(trimmed, lambda x: F.length(x) > 0)
 
 
@@ -43,11 +43,11 @@ def parse_extraction_xml(raw: DataFrame, col: str = "response") -> DataFrame:
     block = strip_comments(F.regexp_extract(F.col(col), r"(?s)(<extraction>.*?</extraction>)", 1))
     x = raw.withColumn("x", F.from_xml(nonempty(block), EXTRACTION_XML))
     conf = lambda v: vocab.clamp_confidence(v)
-    value = lambda v: nonempty(F.trim(v))
+    value = lambda v: nonempty(strip(v))
     said = lambda c: F.coalesce(value(c["text"]), value(c["_VALUE"]))
     known_op = lambda o: F.when(o.isin(*L.OPERATIONS), o)
     entity = lambda e: F.struct(
-        F.trim(e["_VALUE"]).alias("text"), F.coalesce(e["_type"], F.lit("unknown")).alias("entity_type"),
+        strip(e["_VALUE"]).alias("text"), F.coalesce(e["_type"], F.lit("unknown")).alias("entity_type"),
         conf(e["_confidence"]).alias("confidence"))
     claim = lambda c: F.struct(
         said(c).alias("text"), F.coalesce(c["_type"], F.lit("descriptive")).alias("claim_type"),
@@ -55,27 +55,27 @@ def parse_extraction_xml(raw: DataFrame, col: str = "response") -> DataFrame:
         nonempty(c["_object"]).alias("object"), F.coalesce(c["_strength"], F.lit("moderate")).alias("evidence_strength"),
         conf(c["_confidence"]).alias("confidence"), _split(c["_operations"]).alias("operations"))
     mechanism = lambda m: F.struct(
-        F.trim(m["description"]).alias("description"), value(m["pathway"]).alias("pathway"),
+        strip(m["description"]).alias("description"), value(m["pathway"]).alias("pathway"),
         value(m["upstream"]).alias("upstream_entity"), value(m["downstream"]).alias("downstream_entity"),
         value(m["interaction"]).alias("interaction_type"), value(m["context"]).alias("context"),
         conf(m["_confidence"]).alias("confidence"))
-    method = lambda m: F.struct(F.trim(m["_VALUE"]).alias("name"),
+    method = lambda m: F.struct(strip(m["_VALUE"]).alias("name"),
                                 F.coalesce(m["_category"], F.lit("other")).alias("category"))
     return x.withColumns({
         "study_design": vocab.study_design(F.col("x.study_design")),
         "sample_size": vocab.sample_size(F.col("x.sample_size")),
-        **{c: clean_value(F.trim(f"x.{c}")) for c in ("population", "intervention", "comparator", "primary_outcome")},
+        **{c: clean_value(strip(F.col(f"x.{c}"))) for c in ("population", "intervention", "comparator", "primary_outcome")},
         "secondary_outcomes": _split(F.col("x.secondary_outcomes")),
         "key_findings": _texts(F.col("x.key_findings.finding")),
-        "entities": _rows("x.entities.entity", lambda e: F.length(F.trim(e["_VALUE"])) > 0, entity),
+        "entities": _rows("x.entities.entity", lambda e: F.length(strip(e["_VALUE"])) > 0, entity),
         "claims": _rows("x.claims.claim", lambda c: said(c).isNotNull(), claim),
-        "mechanisms": _rows("x.mechanisms.mechanism", lambda m: F.length(F.trim(m["description"])) > 0, mechanism),
-        "methods": _rows("x.methods.method", lambda m: F.length(F.trim(m["_VALUE"])) > 0, method),
+        "mechanisms": _rows("x.mechanisms.mechanism", lambda m: F.length(strip(m["description"])) > 0, mechanism),
+        "methods": _rows("x.methods.method", lambda m: F.length(strip(m["_VALUE"])) > 0, method),
         "limitations": _texts(F.col("x.limitations.limitation")),
-        "primary_operation": known_op(F.trim("x.operation.primary")),
+        "primary_operation": known_op(strip(F.col("x.operation.primary"))),
         "secondary_operations": F.filter(_split(F.col("x.operation.secondary")), lambda o: o.isin(*L.OPERATIONS)),
-        "operation_confidence": F.trim("x.operation.confidence").try_cast("double"),
-        "conflicts_of_interest": clean_value(F.trim("x.conflicts")),
+        "operation_confidence": strip(F.col("x.operation.confidence")).try_cast("double"),
+        "conflicts_of_interest": clean_value(strip(F.col("x.conflicts"))),
     }).drop("x", col)
 
 

@@ -82,7 +82,7 @@ def verified_counts(df: DataFrame, rare: DataFrame, key: str, id_col: str, min_s
     )
 
 
-PAIR_BUDGET = 20_000_000  # pairs a single pass may make before rarer keys are tried first
+PAIR_BUDGET = 5_000_000  # pairs a single pass may make before rarer keys are tried first
 
 
 def top_shared(df: DataFrame, key: str, id_col: str, min_shared: int, limit: int, budget: int = PAIR_BUDGET) -> DataFrame:

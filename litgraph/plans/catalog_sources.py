@@ -699,3 +699,71 @@ select case when confidence >= 0.9 then 'immediate' else 'nightly' end as route,
 def _(t):
     now, later = T.split_immediate(t.connections)
     return R.count_by(J.union_sources(now.select(F.lit("immediate").alias("route")), later.select(F.lit("nightly").alias("route"))), "route")
+
+
+# --- remaining building blocks ---------------------------------------------------------------------
+
+@case("F04_norm_predicate", "select verb, replace(replace(lower(verb), '-', '_'), ' ', '_') as predicate, count(*) as n from fx_ext group by verb")
+def _(t):
+    return t.ext.groupBy("verb", V.norm_predicate(F.col("verb")).alias("predicate")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@case("F06_direction", """
+select predicate_type, case when predicate_type = 'requires' then 'mechanistic' when predicate_type = 'correlates_with' then 'associative' else 'causal' end as direction, count(*) as n from fx_edges group by 1""")
+def _(t):
+    return t.edges.groupBy("predicate_type", V.direction(F.col("predicate_type")).alias("direction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@case("F07_context_type", """
+select p_name, case when contains(p_name, 'cold') then 'condition' else 'unknown' end as context_type, count(*) as n from part group by 1, 2
+union all select concat('aged ', p_name), 'condition', count(*) from part group by 1""")
+def _(t):
+    names = t.part.select(F.explode(F.array(F.col("p_name"), text("aged ", F.col("p_name")))).alias("p_name"))
+    return names.groupBy("p_name", V.context_type(F.col("p_name")).alias("context_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@case("F09_pathway_edge_types", """
+select p_partkey, case p_size % 4 when 0 then 'is_upstream_of' when 1 then 'requires' when 2 then 'inhibits' else 'correlates_with' end as predicate_type,
+ case p_size % 4 when 0 then 'mechanistic' when 1 then 'mechanistic' when 2 then 'associative' else 'associative' end as direction from part""")
+def _(t):
+    kind = F.when(F.col("p_size") % 4 == 0, "converts_to").when(F.col("p_size") % 4 == 1, "transports").when(F.col("p_size") % 4 == 2, "degrades").otherwise("binds")
+    return t.part.select("p_partkey", V.pathway_predicate(kind).alias("predicate_type"), V.pathway_direction(kind).alias("direction"))
+
+
+@case("F19_scores", """
+select extraction_id, round(1 / (1 + exp(-(conf - nov))), 6) as sig, round(exp((ln(greatest(conf, 0.01)) + ln(greatest(nov, 0.01))) / 2), 6) as geo from fx_ext""")
+def _(t):
+    return t.ext.select("extraction_id", F.round(scores.sigmoid(F.col("conf") - F.col("nov")), 6).alias("sig"),
+                        F.round(scores.geomean(F.array("conf", "nov")), 6).alias("geo"))
+
+
+@case("L04_cap", "select connection_id, confidence from fx_connections order by confidence desc, connection_id limit 500")
+def _(t):
+    return J.cap(t.connections.select("connection_id", "confidence"), [F.desc("confidence"), F.asc("connection_id")], 500)
+
+
+@case("J15_self_extend", """
+select a.edge_key as first, b.edge_key as second from fx_edges a join fx_edges b on b.source_entity_name = a.target_entity_name where b.target_entity_name <> a.source_entity_name""")
+def _(t):
+    from litgraph.operators.paths import self_extend
+
+    e = t.edges.withColumn("pred", F.col("edge_key"))
+    steps = e.select(F.lower("source_entity_name").alias("from_key"), F.lower("target_entity_name").alias("to_key"), F.col("target_entity_name").alias("to_name"), "pred",
+                     F.col("target_operation").alias("to_op"), F.col("edge_source").alias("src"), F.col("support_count").alias("support"),
+                     F.col("mean_confidence").alias("conf"), F.col("contradiction_load").alias("contra"))
+    start = e.select(F.array(F.lower("source_entity_name"), F.lower("target_entity_name")).alias("path_keys"), F.array("source_entity_name", "target_entity_name").alias("path_names"),
+                     F.array("pred").alias("preds"), F.array("source_operation", "target_operation").alias("ops"), F.array("edge_source").alias("edge_sources"),
+                     F.array("support_count").alias("supports"), F.array("mean_confidence").alias("confs"), F.col("contradiction_load").alias("contra_load"),
+                     F.lower("target_entity_name").alias("last_key"), F.lit(1).alias("hops"))
+    out = self_extend(start, steps)
+    return out.select(F.element_at("preds", 1).alias("first"), F.element_at("preds", 2).alias("second"))
+
+
+@case("J08_close_pairs", """
+with e as (select vec_id, cast(embedding as double[]) as v from embeddings)
+select a.vec_id as paper_a_id, b.vec_id as paper_b_id, cast(round_even(list_cosine_similarity(a.v, b.v) * 10, 0) as bigint) as shared_count from e a join e b on a.vec_id < b.vec_id
+where list_cosine_similarity(a.v, b.v) >= 0.3""")
+def _(t):
+    from litgraph.operators.pairs import similar_pairs
+
+    return similar_pairs(t.embeddings, 0.3, 1_000_000).select("paper_a_id", "paper_b_id", "shared_count")

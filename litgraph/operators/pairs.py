@@ -118,7 +118,11 @@ def _rare_within(df: DataFrame, key: str, id_col: str, bound: int) -> tuple[Data
 
 
 def shared_names(pairs: DataFrame, df: DataFrame, key: str, id_col: str, n: int | None = None) -> DataFrame:
-    """Add the sorted shared keys of each (few) pairs; only the first ``n`` when given."""
+    """Add the sorted shared keys of chosen pairs; only the first ``n`` when given.
+
+    The pairs are used twice, so they are kept rather than found again.
+    """
+    pairs = cut_lineage(pairs)
     left = pairs.select("a", "b").join(df.select(F.col(id_col).alias("a"), key), "a")
     both = left.join(df.select(F.col(id_col).alias("b"), key), ["b", key])
     if n is not None:
@@ -127,10 +131,11 @@ def shared_names(pairs: DataFrame, df: DataFrame, key: str, id_col: str, n: int
     return pairs.join(names, ["a", "b"])
 
 
-def _as_candidates(pairs: DataFrame, method: str) -> DataFrame:
+def _as_candidates(pairs: DataFrame, method: str, *extra: str) -> DataFrame:
     return pairs.select(
         F.col("a").alias("paper_a_id"), F.col("b").alias("paper_b_id"), "shared_entities",
-        F.col("shared_count").cast("long").alias("shared_count"), F.lit(method).alias("discovery_method"))
+        F.col("shared_count").cast("long").alias("shared_count"), F.lit(method).alias("discovery_method"),
+        *extra)
 
 
 def _top_pairs(pairs: DataFrame, limit: int) -> DataFrame:
@@ -198,11 +203,7 @@ def convergent_claim_pairs(claims: DataFrame, limit: int = 300) -> DataFrame:
         if mask else F.lit(None).cast("string")
     top = _top_pairs(pairs, limit).withColumn("claim_type", first)
     return _as_candidates(
-        top.withColumn("shared_entities", F.array().cast("array<string>")), "convergent_claims"
-    ).join(
-        top.select(F.col("a").alias("paper_a_id"), F.col("b").alias("paper_b_id"), "claim_type"),
-        ["paper_a_id", "paper_b_id"],
-    )
+        top.withColumn("shared_entities", F.array().cast("array<string>")), "convergent_claims", "claim_type")
 
 
 def _mechanism_scores(mechs: DataFrame, fields, block: int) -> DataFrame:
@@ -247,7 +248,7 @@ def shared_mechanism_pairs(mechs: DataFrame, limit: int = 300, match_interaction
         most = sizes.agg(F.max("size")).head()[0] or 1
         able = sizes.filter(F.col("size") * most >= least)
         scores = _mechanism_scores(m.join(able, "paper_id", "left_semi"), ("up", "down", "act"), block)
-    top = _top_pairs(scores, limit)
+    top = cut_lineage(_top_pairs(scores, limit))
     x = m.select(F.col("paper_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("up", "down", "act", "name")])
     y = m.select(F.col("paper_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("up", "down", "act")])
     fields = ("up", "down", "act") if match_interaction else ("up", "down")

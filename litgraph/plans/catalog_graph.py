@@ -115,6 +115,14 @@ def _(t):
     return E.entity_mentions(t.nested_extractions())
 
 
+@case("G08_import_entities", f"""
+select canonical_text, count(*) as mention_count, count(distinct paper_id) as mention_papers, max(conf) as best from ({FORMS}) f group by canonical_text""")
+def _(t):
+    found, mentions = E.import_entities(t.nested_extractions())
+    per_text = mentions.groupBy("canonical_text").agg(F.count(F.lit(1)).alias("mention_papers"), F.max("confidence").alias("best"))
+    return found.select("canonical_text", "mention_count").join(per_text, "canonical_text")
+
+
 VERBS = """case lower(verb) when 'activates' then 'activates' when 'reduces' then 'downregulates' when 'blocks' then 'blocks' when 'binds' then 'correlates_with'
  when 'up-regulates' then 'correlates_with' when 'depends on' then 'requires' else 'rescues' end"""
 EVIDENCE = """case study_design when 'rct' then 'RCT' when 'cohort' then 'cohort' when 'in vitro' then 'in_vitro' when 'Case-Control' then 'case_control' end"""

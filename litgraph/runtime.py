@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints: the one the cluster names, else a test-only temp one."""
+    """Folder for reliable checkpoints: the one the session names. Unset, a temp one in local mode, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -18,6 +19,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if current.isDefined():
         return current.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="litgraph-ckpt-")
     sc.setCheckpointDir(folder)
     return folder

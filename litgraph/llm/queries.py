@@ -6,10 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litgraph.llm import chat, dac, decontaminate, exact_dedup, packing, sharding, simhash
+from litgraph.llm import chat, dac, decontaminate, exact_dedup, language, packing, sharding, simhash, url_filter
 from litgraph.llm.common import table
 
 
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+URL_MARKS = ("ads", "adult", "bets", "casino", "pills", "spam")
+"""Parts of hosts that label the training URLs."""
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train(url_filter.marked_hosts(pages, URL_MARKS))
+    return url_filter.judge(pages, model, URL_RULES)
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return dac.read_documents(dac.token_files(docs, "tokens", public_tokenizers.path("word_bpe_49k.json"), False, end=2))
@@ -48,6 +59,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -55,12 +70,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op3_token_ids": op3_token_ids,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
 }
 

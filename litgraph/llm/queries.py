@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litgraph.llm import chat, dac, decontaminate, exact_dedup, language, packing, sharding, simhash, url_filter
+from litgraph.llm import chat, dac, decontaminate, exact_dedup, language, packing, repeats, sharding, simhash, url_filter
 from litgraph.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, model, URL_RULES)
 
 
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return dac.read_documents(dac.token_files(docs, "tokens", public_tokenizers.path("word_bpe_49k.json"), False, end=2))
@@ -71,6 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_repeated_strings": op2_repeated_strings,
     "op3_token_ids": op3_token_ids,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,

@@ -180,9 +180,9 @@ def train(
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 30_000,
-    model: Model | None = None,
+    model: Model | None = None, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: ``id_col``, held_out, lang_pred, score, span.
+    """One row per input row: ``id_col``, held_out, lang_pred, score, span, and the columns named in ``carry``.
 
     A text is parsed, segment by segment, into the longest strings that occur in a language's sample. Phrases times
     the bits of a sample position are the cost; the least cost wins, ties go to the first name. ``score`` is one less
@@ -195,12 +195,18 @@ def identify(
     model = model or train(docs, id_col, text_col, lang_col, sample_chars)
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample: its table is 2 * sample_chars rows a language
 
+    rows = docs.select(
+        F.col(id_col).alias("_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("_text"), *carry)
+    names = ["_id", "held_out", "lang_pred", "score", "span", *carry]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, spans = shared.value.predict(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, pa.float64())],
-                ["id", "held_out", "lang_pred", "score", "span"])
-    rows = docs.select(F.col(id_col).alias("id"), is_held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double, span double").withColumnRenamed("id", id_col)
+            said, scores, spans = shared.value.predict(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(scores, pa.float64()),
+                pa.array(spans, pa.float64()), *batch.columns[3:]], names)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = f"_id {kinds['_id']}, held_out boolean, lang_pred string, score double, span double"
+    schema += "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return rows.mapInArrow(run, schema).select(
+        *([] if id_col in carry else [F.col("_id").alias(id_col)]), *names[1:])

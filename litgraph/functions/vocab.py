@@ -22,8 +22,7 @@ def norm_predicate(c: Column) -> Column:
 
 def predicate_type(raw: Column) -> Column:
     """predicate type of a normalised verb."""
-    verbs = {v: t for t, vs in L.VERBS_BY_TYPE.items() for v in vs}
-    return mapped(raw, verbs, L.DEFAULT_PREDICATE_TYPE)
+    return mapped(raw, L.VERB_TYPES, L.DEFAULT_PREDICATE_TYPE)
 
 
 def direction(ptype: Column) -> Column:

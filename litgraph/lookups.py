@@ -14,23 +14,47 @@ MECHANISTIC_TYPES = ("is_upstream_of", "is_downstream_of", "requires", "compensa
 ASSOCIATIVE_TYPES = ("correlates_with", "is_biomarker_for", "predicts")
 PREDICATE_TYPES = CAUSAL_TYPES + MECHANISTIC_TYPES + ASSOCIATIVE_TYPES
 
-# Predicate type -> raw verbs that mean it; every other verb is an association.
-VERBS_BY_TYPE = {
-    "activates": ("activates", "releases", "recruits", "stabilizes", "promotes", "enables",
-                  "transcribes", "translates", "phosphorylates"),
-    "upregulates": ("upregulates", "increases", "enhances"),
-    "induces": ("induces", "triggers", "causes", "produces"),
-    "inhibits": ("inhibits", "disrupts", "impairs", "damages", "suppresses", "sequesters",
-                 "degrades", "cleaves"),
-    "blocks": ("blocks",),
-    "downregulates": ("downregulates", "reduces", "decreases", "ubiquitinates"),
-    "rescues": ("rescues", "restores"),
-    "compensates_for": ("compensates_for", "compensates"),
-    "is_biomarker_for": ("is_biomarker_for",),
-    "predicts": ("predicts",),
-    "requires": ("requires", "depends_on"),
-    "is_upstream_of": ("is_upstream_of",),
-    "is_downstream_of": ("is_downstream_of",),
+# Predicate type of each raw verb; every other verb is an association.
+VERB_TYPES = {
+    "activates": "activates",
+    "releases": "activates",
+    "recruits": "activates",
+    "stabilizes": "activates",
+    "promotes": "activates",
+    "enables": "activates",
+    "transcribes": "activates",
+    "translates": "activates",
+    "phosphorylates": "activates",
+    "upregulates": "upregulates",
+    "increases": "upregulates",
+    "enhances": "upregulates",
+    "induces": "induces",
+    "triggers": "induces",
+    "causes": "induces",
+    "produces": "induces",
+    "inhibits": "inhibits",
+    "disrupts": "inhibits",
+    "impairs": "inhibits",
+    "damages": "inhibits",
+    "suppresses": "inhibits",
+    "sequesters": "inhibits",
+    "degrades": "inhibits",
+    "cleaves": "inhibits",
+    "blocks": "blocks",
+    "downregulates": "downregulates",
+    "reduces": "downregulates",
+    "decreases": "downregulates",
+    "ubiquitinates": "downregulates",
+    "rescues": "rescues",
+    "restores": "rescues",
+    "compensates_for": "compensates_for",
+    "compensates": "compensates_for",
+    "is_biomarker_for": "is_biomarker_for",
+    "predicts": "predicts",
+    "requires": "requires",
+    "depends_on": "requires",
+    "is_upstream_of": "is_upstream_of",
+    "is_downstream_of": "is_downstream_of",
 }
 DEFAULT_PREDICATE_TYPE = "correlates_with"
 

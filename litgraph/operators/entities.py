@@ -510,9 +510,10 @@ def load_backbone(pathways: DataFrame):
 
 
 def merge_aliases(entities: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Add seed entities and widen the alias sets of known ones."""
-    s = seeds.select("canonical_name", *[F.col(c).alias(f"_{c}") for c in
-                                          ("entity_type", "aliases", "primary_operation")])
+    """Add seed entities and widen the alias sets of known ones; seeds of one name are merged first."""
+    s = seeds.groupBy("canonical_name").agg(
+        F.min("entity_type").alias("_entity_type"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("_aliases"),
+        F.min("primary_operation").alias("_primary_operation"))
     return entities.join(s, "canonical_name", "full").select(
         F.coalesce("entity_id", F.md5("canonical_name")).alias("entity_id"), "canonical_name",
         F.coalesce("entity_type", "_entity_type").alias("entity_type"),

@@ -67,9 +67,9 @@ def convergences(conns, papers, min_confidence=0.7, min_connections=2, limit=20)
     return cap(ranked, [F.desc("connection_count"), F.desc("avg_confidence"), F.asc("paper_id")], limit)
 
 
-def convergence_descriptions(conv: DataFrame, conns: DataFrame) -> DataFrame:
-    """A04 (detail): the distinct descriptions behind each convergence, as rows."""
-    ends = half_edges(conns.filter(F.col("connection_type") != "replicates"))
+def convergence_descriptions(conv: DataFrame, conns: DataFrame, min_confidence: float = 0.7) -> DataFrame:
+    """A04 (detail): the distinct descriptions of the sure connections behind each convergence, as rows."""
+    ends = half_edges(conns.filter((F.col("connection_type") != "replicates") & (F.col("confidence") >= min_confidence)))
     return (
         ends.join(conv.select(F.col("paper_id").alias("me")), "me", "left_semi")
         .select(F.col("me").alias("paper_id"), "description")

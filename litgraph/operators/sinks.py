@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from litgraph.functions.text import author_name, flexible_date, nonempty
 from litgraph.operators.joins import canonical_pair, latest_per
@@ -41,7 +41,12 @@ def ingest_report(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def merge_fulltext(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Papers keep text they have; else the arriving text, now parsed; else a new paper."""
+    """Papers keep text they have; else the arriving text, now parsed; else a new paper.
+
+    Of arriving rows with one key, one with a full text is taken, the first by paper_id.
+    """
+    incoming = latest_per(incoming, ["source", "external_id"], [
+        F.desc(F.coalesce(F.length("full_text") > 0, F.lit(False))), F.asc("paper_id")])
     inc = incoming.select("external_id", "source", *[F.col(c).alias(f"_{c}") for c in
                           ("paper_id", "title", "abstract", "full_text")])
     has_old, has_new = F.length("full_text") > 0, F.length("_full_text") > 0
@@ -58,14 +63,17 @@ def merge_fulltext(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def patch_parsed(papers: DataFrame, parsed: DataFrame, fields=("title", "abstract", "journal", "doi", "full_text"),
-                 arrays=("references_list",), cap_refs: int = 500) -> DataFrame:
-    """Only non-empty parsed fields replace what a paper has; references are capped."""
+                 arrays=("references_list",), cap_refs: int | None = 500) -> DataFrame:
+    """Only non-empty parsed fields replace what a paper has; lists keep ``cap_refs`` items (None: all)."""
     names = [c for c in (*fields, *arrays) if c in parsed.columns and c in papers.columns]
-    inc = parsed.select("paper_id", *[F.col(c).alias(f"_{c}") for c in names])
+    # Of several parsed rows of a paper, each field takes the first non-empty value, the order being a hash of the value.
+    filled = lambda c: F.when(F.size(c) > 0, F.col(c)) if c in arrays else nonempty(F.col(c))
+    inc = parsed.select("paper_id", *[filled(c).alias(c) for c in names]).groupBy("paper_id").agg(
+        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.xxhash64(c))).alias(f"_{c}") for c in names])
     out = papers.join(inc, "paper_id", "left")
     for c in names:
         new = F.col(f"_{c}")
-        new = F.when(F.size(new) > 0, F.slice(new, 1, cap_refs)) if c in arrays else nonempty(new)
+        new = F.slice(new, 1, cap_refs) if c in arrays and cap_refs is not None else new
         out = out.withColumn(c, F.coalesce(new, F.col(c)))
     return out.drop(*[f"_{c}" for c in names])
 
@@ -75,12 +83,13 @@ def _joined_authors(sep: str):
 
 
 def export_collection(members: DataFrame, papers: DataFrame, fmt: str = "bibtex") -> DataFrame:
-    """Papers of collections as BibTeX entries or CSV rows; newest first within a collection."""
-    df = members.select("collection_id", "paper_id").join(papers, "paper_id")
+    """Papers of collections as BibTeX entries or CSV rows; ``position`` counts from the newest of a collection."""
+    newest = Window.partitionBy("collection_id").orderBy(F.desc_nulls_last("published_date"), "paper_id")
+    df = members.select("collection_id", "paper_id").join(papers, "paper_id").withColumn("position", F.row_number().over(newest))
     year = F.coalesce(F.year("published_date").cast("string"), F.lit(""))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     if fmt == "csv":
-        return df.select("collection_id", "paper_id", "title", _joined_authors("; ").alias("authors"), "journal",
+        return df.select("collection_id", "position", "paper_id", "title", _joined_authors("; ").alias("authors"), "journal",
                          year.alias("year"), "doi", F.substring(text("abstract"), 1, 200).alias("abstract"))
     doi = nonempty(F.col("doi"))
     key = F.coalesce(F.translate(doi, "/.", "__"), F.substring(F.col("paper_id").cast("string"), 1, 8))
@@ -91,7 +100,7 @@ def export_collection(members: DataFrame, papers: DataFrame, fmt: str = "bibtex"
         F.concat(F.lit("  journal = {"), text("journal"), F.lit("},")),
         F.concat(F.lit("  year = {"), year, F.lit("},")),
         F.concat(F.lit("  doi = {"), doi, F.lit("},")), F.lit("}"), F.lit(""))
-    return df.select("collection_id", "paper_id", "published_date", entry.alias("entry"))
+    return df.select("collection_id", "position", "paper_id", "published_date", entry.alias("entry"))
 
 
 def upsert_latest(existing: DataFrame, new: DataFrame, keys) -> DataFrame:

@@ -361,7 +361,7 @@ def _(t):
 
 @case("A04_convergence_descriptions", f"""
 with conv as ({CONV}) select distinct h.me as paper_id, h.description from fx_half h
-where h.connection_type <> 'replicates' and h.me in (select paper_id from conv)""")
+where h.confidence >= 0.7 and h.connection_type <> 'replicates' and h.me in (select paper_id from conv)""")
 def _(t):
     return R.convergence_descriptions(R.convergences(t.connections, t.papers), t.connections)
 

@@ -39,18 +39,22 @@ def scrape_abstract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def coalesce_metadata(sources: DataFrame, order=SOURCE_ORDER,
                       fields=("title", "abstract", "authors", "journal", "published_date")) -> DataFrame:
-    """Per DOI and field the first non-empty value in source order."""
+    """Per DOI and field the first non-empty value in source order; a row without a DOI is a paper of its own."""
     rank = F.array_position(F.lit(list(order)), F.col("source"))
     ranked = sources.withColumn("_rank", F.when(rank > 0, rank).otherwise(len(order) + 1))
     types = dict(sources.dtypes)
 
-    def best(c):
+    def cleaned(c):
         v = F.col(c)
         if types[c].startswith("array"):
             v = F.when(F.size(v) > 0, v)
         elif types[c] == "string":
             v = nonempty(F.trim(strip_tags(v))) if c == "abstract" else nonempty(F.trim(v))
-        return F.min_by(v, F.when(v.isNotNull(), F.col("_rank"))).alias(c)
-
-    return ranked.groupBy(F.lower(F.trim("doi")).alias("doi")).agg(*[best(c) for c in fields if c in types]).withColumn(
-        "title", F.coalesce("title", F.lit("Unknown")))
+        return v
+
+    have = [c for c in fields if c in types]
+    doi = nonempty(F.lower(F.trim("doi")))
+    named = ranked.filter(doi.isNotNull()).groupBy(doi.alias("doi")).agg(
+        *[F.min_by(cleaned(c), F.when(cleaned(c).isNotNull(), F.col("_rank"))).alias(c) for c in have])
+    alone = ranked.filter(doi.isNull()).select(F.lit(None).cast("string").alias("doi"), *[cleaned(c).alias(c) for c in have])
+    return named.unionByName(alone).withColumn("title", F.coalesce("title", F.lit("Unknown")))

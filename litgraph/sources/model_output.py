@@ -19,8 +19,15 @@ mechanisms struct<mechanism:array<struct<_confidence:string,description:string,u
   interaction:string,pathway:string,context:string>>>,
 methods struct<method:array<struct<_VALUE:string,_category:string>>>,
 limitations struct<limitation:array<string>>,
-operation struct<primary:string,secondary:string,confidence:string,reasoning:string>
+operation struct<primary:string,secondary:string,confidence:string,reasoning:string>,
+_broken string
 """
+# The elements of an answer; other tags are markup inside a text.
+EXTRACTION_TAGS = (
+    "extraction study_design sample_size population intervention comparator primary_outcome secondary_outcomes funding "
+    "conflicts key_findings finding entities entity claims claim text mechanisms mechanism description upstream downstream "
+    "interaction pathway context methods method limitations limitation operation primary secondary confidence reasoning").split()
+MARKUP = rf"</?(?!(?:{'|'.join(EXTRACTION_TAGS)})[\s/>])[A-Za-z][^<>]*>"
 
 
 def _split(c: Column) -> Column:
@@ -39,9 +46,11 @@ def _rows(items: str, keep, shape) -> Column:
 
 
 def parse_extraction_xml(raw: DataFrame, col: str = "response") -> DataFrame:
-    """Extraction rows from answers with an ``<extraction>`` block; rows without one get nulls."""
+    """Extraction rows from answers with an ``<extraction>`` block; rows without one or with broken XML get nulls."""
     block = strip_comments(F.regexp_extract(F.col(col), r"(?s)(<extraction>.*?</extraction>)", 1))
-    x = raw.withColumn("x", F.from_xml(nonempty(block), EXTRACTION_XML))
+    block = F.regexp_replace(block, MARKUP, "")
+    x = raw.withColumn("x", F.from_xml(nonempty(block), EXTRACTION_XML, {"columnNameOfCorruptRecord": "_broken"}))
+    x = x.withColumn("x", F.when(F.col("x._broken").isNull(), F.col("x")))
     conf = lambda v: vocab.clamp_confidence(v)
     value = lambda v: nonempty(strip(v))
     said = lambda c: F.coalesce(value(c["text"]), value(c["_VALUE"]))

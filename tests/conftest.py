@@ -1,19 +1,26 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))  # for Spark's Python workers
 
 
 @pytest.fixture(scope="session")
 def spark():
+    folder = tempfile.mkdtemp(prefix="litgraph-tests-")
     session = (
         SparkSession.builder.master("local[*]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "6g").getOrCreate()
+        .config("spark.checkpoint.dir", folder).config("spark.driver.memory", "6g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    session.stop()
+    shutil.rmtree(folder, ignore_errors=True)

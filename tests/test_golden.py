@@ -276,3 +276,56 @@ def test_schedule_core_ring_first(spark):
 
 def test_scores_stay_in_range(spark):
     assert math.isclose(one(spark, 0.0, lambda c: 1 / (1 + F.exp(-c)), "double"), 0.5)
+
+
+def test_jats_and_bioc_archives(spark):
+    cut = gzip.compress(JATS.encode())[:60]
+    bioc = '{"documents":[{"infons":{"doi":"10.1/b"},"passages":[{"infons":{"type":"title"},"text":"T"}]}]}'
+    rows = [("1", "jats", bytearray(gzip.compress(JATS.encode()))), ("2", "jats", bytearray(cut)), ("3", "bioc", bytearray(gzip.compress(bioc.encode()))),
+            ("4", "bioc", bytearray(bioc.encode())), ("5", "bioc", bytearray(gzip.compress(bioc.encode())[:40])), ("6", "bioc", bytearray(b"\xff\xfe{")), ("7", "jats", None)]
+    df = spark.createDataFrame(rows, "article_id string, fmt string, body binary")
+    got = {r.article_id: (r.title, r.doi) for r in articles.parse_article(df, "fmt", "body").collect()}
+    assert got == {"1": ("A b c", "10.1/x"), "2": (None, None), "3": ("T", "10.1/b"), "4": ("T", "10.1/b"), "5": (None, None), "6": (None, None), "7": (None, None)}
+
+
+def test_jats_parts(spark):
+    xml = """<article><front><journal-id journal-id-type='nlm-ta'>J N</journal-id><article-title/><contrib contrib-type='author'><surname>Solo</surname></contrib>
+    <contrib contrib-type='editor'><surname>Ed</surname></contrib><pub-date pub-type='ppub'><year>2001</year><month>3</month><day>4</day></pub-date>
+    <pub-date pub-type='epub'><month>9</month></pub-date><abstract>No <b>paragraph</b></abstract></front><body><p>Only text</p></body><back><ref-list>
+    <ref id='r1'><person-group person-group-type='author'><name><surname>A</surname><given-names>B</given-names></name><name><surname>C</surname></name></person-group>
+    <source>Book</source><year>1999</year><pub-id pub-id-type='pmid'> 7 </pub-id></ref></ref-list></back></article>"""
+    r = articles.jats_record(xml)
+    assert (r["title"], r["abstract"], r["authors"], r["journal"], r["pub_date"], r["pub_year"]) == ("", "No paragraph", ["Solo"], "J N", "2001-03-04", 2001)
+    assert r["full_text"] == "Only text" and r["sections"] == {} and r["reference_count"] == 1
+    assert r["references"] == [{"ref_id": "r1", "title": "Book", "authors": "B A; C", "year": "1999", "doi": None, "pmid": "7"}] or \
+        r["references"] == [{"ref_id": "r1", "title": "Book", "authors": "A B; C", "year": "1999", "doi": None, "pmid": "7"}]
+
+
+def test_papers_without_doi_stay_apart(spark):
+    rows = [("crossref", " 10.1/X", "A"), ("pubmed", "10.1/x", "B"), ("pubmed", None, "C"), ("pubmed", " ", "D"), ("html", None, None)]
+    df = spark.createDataFrame(rows, "source string, doi string, title string")
+    assert sorted((r.doi or "", r.title) for r in metadata.coalesce_metadata(df).collect()) == [("", "C"), ("", "D"), ("", "Unknown"), ("10.1/x", "A")]
+
+
+def test_broken_answers_and_markup(spark):
+    whole = "<extraction><study_design>rct</study_design><claims><claim type='causal'>IL-6 <i>raises</i> CRP</claim></claims></extraction>"
+    broken = "<extraction><study_design>rct</study_design><claims><claim>x</claims></extraction>"
+    df = spark.createDataFrame([(1, whole), (2, broken)], "id int, response string")
+    good, bad = model_output.parse_extraction_xml(df).orderBy("id").collect()
+    assert good.study_design == "rct" and [c.text for c in good.claims] == ["IL-6 raises CRP"]
+    assert bad.study_design == "unknown" and bad.claims == []
+
+
+def test_repeated_arriving_keys_give_one_row(spark):
+    old = spark.createDataFrame([("s", "1", "p1", "t", "a", "queued", "x", None)], "source string, external_id string, paper_id string, title string, abstract string, status string, data_source string, full_text string")
+    new = spark.createDataFrame([("s", "1", "q", "t", "a", ""), ("s", "1", "r", "t", "a", "text"), ("s", "2", "z", "t", "a", "b"), ("s", "2", "y", "t", "a", "c")],
+                                "source string, external_id string, paper_id string, title string, abstract string, full_text string")
+    assert sorted((r.external_id, r.paper_id, r.full_text) for r in sinks.merge_fulltext(old, new).collect()) == [("1", "p1", "text"), ("2", "y", "c")]
+    papers = spark.createDataFrame([("p", "t", [1])], "paper_id string, title string, references_list array<int>")
+    parsed = spark.createDataFrame([("p", "", [1, 2]), ("p", "new", []), ("p", None, None)], "paper_id string, title string, references_list array<int>")
+    assert [tuple(r) for r in sinks.patch_parsed(papers, parsed, cap_refs=None).collect()] == [("p", "new", [1, 2])]
+    ents = spark.createDataFrame([("1", "A", "gene", ["x"], "Defense")], "entity_id string, canonical_name string, entity_type string, aliases array<string>, primary_operation string")
+    seeds = spark.createDataFrame([("A", "gene", ["y"], None), ("A", "gene", ["z"], None), ("B", "gene", ["b"], None), ("B", "gene", ["c"], "Defense")],
+                                  "canonical_name string, entity_type string, aliases array<string>, primary_operation string")
+    got = {r.canonical_name: sorted(r.aliases) for r in E.merge_aliases(ents, seeds).collect()}
+    assert got == {"A": ["x", "y", "z"], "B": ["b", "c"]}

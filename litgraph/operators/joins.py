@@ -212,9 +212,9 @@ def missed_citations(paper_id, conns: DataFrame, papers: DataFrame, cand: int =
 
 # --- limits and orders -------------------------------------------------------------------
 
-def cap(df: DataFrame, order, n: int) -> DataFrame:
-    """The first ``n`` rows in a total order (a top-n, not a sort)."""
-    return df.orderBy(*order).limit(n)
+def cap(df: DataFrame, order, n: int | None) -> DataFrame:
+    """The first ``n`` rows in a total order (a top-n, not a sort); all rows, unsorted, for None."""
+    return df if n is None else df.orderBy(*order).limit(n)
 
 
 def page(df: DataFrame, order, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -32,11 +32,14 @@ def outreach_eligibility(conns, papers, queued, sends, unsubs, now, min_confiden
         sends.filter(F.col("sent_at") > F.lit(now).cast("timestamp") - F.expr(f"interval {int(cooldown_days)} days"))
         .select(mail("email").alias("email")).distinct().withColumn("_recent", F.lit(True))
     )
+    # Each paper's address is judged once; papers without one take no part in the joins by address.
+    has_mail = F.coalesce(F.length("email"), F.lit(0)) > 0
+    people = people.filter(has_mail).join(gone, "email", "left").join(recent, "email", "left").unionByName(
+        people.filter(~has_mail), allowMissingColumns=True)
     return (
         conns.filter(F.col("confidence") >= min_confidence)
         .join(queued.select("connection_id").distinct(), "connection_id", "left_anti")
         .join(people, "paper_a_id", "left").join(others, "paper_b_id", "left")
-        .join(gone, "email", "left").join(recent, "email", "left")
         .withColumn("reason",
             F.when(F.coalesce(F.length("title_a"), F.lit(0)) == 0, "paper a has no title")
             .when(F.coalesce(F.length("title_b"), F.lit(0)) == 0, "paper b has no title")
@@ -64,9 +67,9 @@ def schedule(queries: DataFrame, total: int) -> DataFrame:
     """Limits of seed queries: core ring first, then priority, until the total is used up."""
     n = queries.count()
     each = max(total // max(n, 1), 10)
-    # A schedule is a handful of configured queries; the global window is over those only.
-    order = Window.orderBy(F.asc("ring"), F.desc("priority"), F.asc("query"))
-    place = F.row_number().over(order)
+    order = [F.asc("ring"), F.desc("priority"), F.asc("query")]
+    queries = cap(queries, order, -(-total // each))  # no others get a share, so the window below is as small
+    place = F.row_number().over(Window.orderBy(*order))
     left = F.lit(total) - (place - 1) * each
     return queries.withColumn("position", place).withColumn(
         "query_limit", F.least(F.lit(each), left)).filter(F.col("query_limit") > 0)

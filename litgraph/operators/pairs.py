@@ -158,52 +158,49 @@ def method_pairs(pm: DataFrame, min_shared: int = 2, limit: int = 200) -> DataFr
 def convergent_claim_pairs(claims: DataFrame, limit: int = 300) -> DataFrame:
     """Papers with most claims of types they share; plain descriptions do not count.
 
-    The total of a pair is a sum over its shared types, so it is the best sum over any set of
-    types both have. Per set of types only the ``limit`` best pairs matter, and those lie among
-    the first ``limit + 1`` papers of that set: no group of papers is paired out in full.
+    Papers are grouped by their set of types. For two sets, the total of a pair is what each paper
+    has of the types that both sets share, so only the first papers of either set matter, and a
+    pair of sets is opened only if its best possible total reaches the limit-th best total of a
+    first probe (pairs of the papers with most claims). Any number of types; nothing is cut.
     """
-    per_type = (
+    papers = cut_lineage(
         claims.filter(F.col("claim_type") != "descriptive")
         .groupBy("paper_id", "claim_type").agg(F.count(F.lit(1)).alias("n"))
-    )
-    types = sorted(r.claim_type for r in per_type.select("claim_type").distinct().limit(13).collect())
-    if len(types) > 12:
-        raise ValueError("claim types are a small vocabulary; map free text to it first")
-    mask = {t: 1 << i for i, t in enumerate(types)}
-    bit = F.lit(0)
-    for t, m in mask.items():
-        bit = F.when(F.col("claim_type") == t, m).otherwise(bit)
-    papers = per_type.withColumn("bit", bit).groupBy("paper_id").agg(
-        F.sum("bit").cast("int").alias("own"),
-        F.collect_list(F.struct("bit", "n")).alias("counts"),
-    )
-    # Every non-empty set of the paper's own types, with the paper's claims of those types.
-    sets = (
-        papers.withColumn("types", F.explode(F.sequence(F.lit(1), F.lit((1 << len(types)) - 1))))
-        .filter(F.col("types").bitwiseAND(F.col("own")) == F.col("types"))
-        .withColumn("n", F.aggregate(
-            F.filter("counts", lambda c: c["bit"].bitwiseAND(F.col("types")) != 0),
-            F.lit(0).cast("long"), lambda s, c: s + c["n"]))
-        .select("types", "paper_id", "n")
-    )
-    w = Window.partitionBy("types").orderBy(F.desc("n"), F.asc("paper_id"))
-    best = sets.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit + 1)
-    x = best.select("types", F.col("paper_id").alias("pa"), F.col("n").alias("na"), F.col("r").alias("ra"))
-    y = best.select("types", F.col("paper_id").alias("pb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-    # A pair ranked (i, j) comes after at least i*j - i*(i+1)/2 - 1 pairs of the same set.
-    ahead = F.col("ra") * F.col("rb") - F.col("ra") * (F.col("ra") + 1) / 2 - 1
-    pairs = (
-        x.join(y, "types")
-        .filter((F.col("ra") < F.col("rb")) & (ahead < limit))
-        .groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        .agg(F.max(F.struct((F.col("na") + F.col("nb")).alias("total"), "types")).alias("m"))
-        .select("a", "b", F.col("m.total").alias("shared_count"), F.col("m.types").alias("types"))
-    )
-    first = F.coalesce(*[F.when(F.col("types").bitwiseAND(F.lit(m)) != 0, t) for t, m in mask.items()]) \
-        if mask else F.lit(None).cast("string")
-    top = _top_pairs(pairs, limit).withColumn("claim_type", first)
+        .groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("claim_type", "n"))).alias("counts"))
+        .select("paper_id", "counts", F.transform("counts", lambda c: c["claim_type"]).alias("own"),
+                F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c["n"]).alias("all")))
+    of = lambda counts, types: F.aggregate(
+        F.filter(counts, lambda c: F.array_contains(types, c["claim_type"])), F.lit(0).cast("long"), lambda s, c: s + c["n"])
+
+    first = cap(papers, [F.desc("all"), F.asc("paper_id")], math.isqrt(2 * limit) + 2)
+    x = first.select(F.col("paper_id").alias("pa"), F.col("counts").alias("ca"), F.explode("own").alias("t"))
+    y = first.select(F.col("paper_id").alias("pb"), F.col("counts").alias("cb"), F.explode("own").alias("t"))
+    probe = x.join(y, "t").filter(F.col("pa") < F.col("pb")).groupBy("pa", "pb", "ca", "cb").agg(F.collect_list("t").alias("ts"))
+    totals = cap(probe.select((of(F.col("ca"), F.col("ts")) + of(F.col("cb"), F.col("ts"))).alias("total")), [F.desc("total")], limit)
+    seen = totals.agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("least")).head()
+    least = seen.least if seen.n >= limit else 1
+
+    most = papers.select("own", F.explode("counts").alias("c")).groupBy("own", F.col("c.claim_type").alias("t")).agg(F.max("c.n").alias("m"))
+    sets = most.join(
+        most.select(F.col("own").alias("own2"), "t", F.col("m").alias("m2")), "t").filter(F.col("own") <= F.col("own2"))
+    wanted = cut_lineage(
+        sets.groupBy("own", "own2").agg(F.sort_array(F.collect_list("t")).alias("types"), F.sum(F.col("m") + F.col("m2")).alias("bound"))
+        .filter(F.col("bound") >= least))
+    views = wanted.select("own", "types").unionByName(wanted.select(F.col("own2").alias("own"), "types")).distinct()
+    w = Window.partitionBy("own", "types").orderBy(F.desc("n"), F.asc("paper_id"))
+    best = papers.join(views, "own").select("own", "types", "paper_id", of(F.col("counts"), F.col("types")).alias("n")).withColumn(
+        "r", F.row_number().over(w)).filter(F.col("r") <= limit + 1)
+    a = best.select("own", "types", F.col("paper_id").alias("pa"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    b = best.select(F.col("own").alias("own2"), "types", F.col("paper_id").alias("pb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    # Of one set, a pair ranked (i, j) comes after i*j - i*(i+1)/2 - 1 pairs at least; of two sets, after i*j - 1.
+    same = F.col("own") == F.col("own2")
+    ahead = F.col("ra") * F.col("rb") - F.when(same, F.col("ra") * (F.col("ra") + 1) / 2).otherwise(0) - 1
+    pairs = wanted.join(a, ["own", "types"]).join(b, ["own2", "types"]).filter(
+        (~same | (F.col("ra") < F.col("rb"))) & (ahead < limit)
+    ).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), (F.col("na") + F.col("nb")).alias("shared_count"),
+             F.array_min("types").alias("claim_type"))
     return _as_candidates(
-        top.withColumn("shared_entities", F.array().cast("array<string>")), "convergent_claims", "claim_type")
+        _top_pairs(pairs, limit).withColumn("shared_entities", F.array().cast("array<string>")), "convergent_claims", "claim_type")
 
 
 def _mechanism_scores(mechs: DataFrame, fields, block: int) -> DataFrame:

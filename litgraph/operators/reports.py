@@ -310,11 +310,16 @@ def briefs(critiques, papers, conns, view=None, topic=None, quality=None, sort="
         "connections": F.desc("connection_count"),
         "date": F.desc("created_at"),
     }
-    counted = df.join(degree(conns), "paper_id", "left").withColumn(
-        "connection_count", F.coalesce("connection_count", F.lit(0))
-    )
-    ordered = counted.orderBy(orders.get(sort, orders["methodology"]), F.asc("critique_id"))
-    return (ordered.offset(skip) if skip else ordered).limit(limit)
+    paged = lambda x: (x.offset(skip) if skip else x).limit(limit)
+    order = [orders.get(sort, orders["methodology"]), F.asc("critique_id")]
+    if sort != "connections":  # only the hubs' order needs all degrees; the others count those of the page
+        df = paged(df.orderBy(*order))
+        ends = half_edges(conns).select(F.col("me").alias("paper_id"), "connection_id").join(df.select("paper_id").distinct(), "paper_id", "left_semi")
+        n = ends.groupBy("paper_id").agg(F.count_distinct("connection_id").alias("connection_count"))
+    else:
+        n = degree(conns)
+    counted = df.join(n, "paper_id", "left").withColumn("connection_count", F.coalesce("connection_count", F.lit(0)))
+    return paged(counted.orderBy(*order)) if sort == "connections" else counted.orderBy(*order)
 
 
 def critiques_list(critiques, papers, conns, quality=None, limit=20, skip=0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,48 +21,87 @@ def term_index(papers: DataFrame, cols=("title", "abstract")) -> DataFrame:
         F.count(F.lit(1)).alias("tf"))
 
 
-def parse_query(query: str, mode: str):
-    """(wanted terms, excluded terms) of a query; ``web`` knows -word and "or"."""
-    parts = query.lower().split()
-    want, avoid = [], []
-    for part in parts:
-        into = avoid if mode == "web" and part.startswith("-") else want
-        into += [t for t in re.findall(r"[^\W_]+", part) if not (mode == "web" and t == "or")]
-    return sorted(set(want)), sorted(set(avoid))
+def parse_query(query: str, mode: str = "web") -> list[dict[str, list]]:
+    """Alternatives of a query, each with wanted ``terms``, ``phrases`` (lists of terms) and excluded terms or phrases ``without``.
 
-
-def search(papers, conns, query, mode="and", limit=20) -> DataFrame:
+    ``web``: words and "quoted phrases" are all wanted, ``-`` excludes the next one, ``or`` begins another alternative,
+    so it binds less tightly than the words beside it, as in the web search syntax of PostgreSQL.
+    """
+    words = lambda s: re.findall(r"[^\W_]+", s)
+    if mode != "web":
+        return [{"terms": sorted(set(words(query.lower()))), "phrases": [], "without": []}]
+    groups = [{"terms": [], "phrases": [], "without": []}]
+    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query.lower()):
+        if word == "or" and not minus:
+            groups.append({"terms": [], "phrases": [], "without": []})
+            continue
+        found = words(phrase or word)
+        if not found:
+            continue
+        if minus or word.startswith("-"):
+            groups[-1]["without"].append(found)
+        else:
+            groups[-1]["terms"] += found
+            if len(found) > 1:
+                groups[-1]["phrases"].append(found)
+    for g in groups:
+        g["terms"] = sorted(set(g["terms"]))
+    return [g for g in groups if g["terms"] or g["without"]]
+
+
+def _holds(phrase: list[str]):
+    """The terms stand side by side in ``at`` (term -> places)."""
+    places = lambda t: F.coalesce(F.element_at("at", F.lit(t)), F.array().cast("array<int>"))
+    follows = [lambda p, i=i, t=t: F.array_contains(places(t), p + i) for i, t in enumerate(phrase)]
+    both = lambda p: reduce(lambda x, y: x & y, [f(p) for f in follows])
+    return F.exists(places(phrase[0]), both)
+
+
+def search(papers, conns, query, mode="and", limit: int | None = 20) -> DataFrame:
     """Papers by the query words, ranked by tf-idf, then by degree.
 
-    ``and``: all words; ``web``: all words, ``-word`` excludes, ``a or b`` takes either;
-    ``prefix_or``: any word that starts with a query word. Only query terms are kept from the
-    token stream, before any shuffle.
+    ``and``: all words; ``web``: see ``parse_query``; ``prefix_or``: any word that starts with a query word. Only query
+    terms are kept from the token stream, before any shuffle; degrees are counted for the papers found.
     """
-    want, avoid = parse_query(query, mode)
-    either = mode == "prefix_or" or (mode == "web" and re.search(r"\bor\b", query.lower()) is not None)
-    words = papers.select("paper_id", F.explode_outer(tokens(F.concat_ws(" ", "title", "abstract"))).alias("word"))
+    groups = parse_query(query, mode)
+    want = sorted({t for g in groups for t in g["terms"]})
+    avoid = sorted({t for g in groups for x in g["without"] for t in x})
+    words = papers.select("paper_id", F.posexplode(tokens(F.concat_ws(" ", "title", "abstract"))).alias("place", "word"))
     if mode == "prefix_or":
-        hit = F.explode(F.filter(F.lit(want), lambda t: F.col("word").startswith(t)))
-        hits = words.withColumn("term", hit)
+        words = words.withColumn("term", F.explode(F.filter(F.lit(want), lambda t: F.col("word").startswith(t))))
     else:
-        hits = words.filter(F.col("word").isin(*want)).withColumn("term", F.col("word"))
-    tf = hits.groupBy("paper_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        words = words.filter(F.col("word").isin(*want, *avoid)).withColumn("term", F.col("word"))
+    hits = words.groupBy("paper_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.collect_list("place").alias("places"))
     total = papers.count()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tf.join(df, "term").groupBy("paper_id").agg(
-        F.count(F.lit(1)).alias("terms"),
-        F.round(F.sum(F.col("tf") * F.log(1.0 + F.lit(float(total)) / F.col("df"))), 6).alias("rank"))
-    if not either:
-        ranked = ranked.filter(F.col("terms") == len(want))
-    if avoid:
-        bad = words.filter(F.col("word").isin(*avoid)).select("paper_id").distinct()
-        ranked = ranked.join(bad, "paper_id", "left_anti")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = F.col("term").isin(*want)
+    ranked = hits.join(df, "term").groupBy("paper_id").agg(
+        F.count_if(wanted).alias("terms"),
+        F.coalesce(F.round(F.sum(F.when(wanted, F.col("tf") * F.log(1.0 + F.lit(float(total)) / F.col("df")))), 6), F.lit(0.0)).alias("rank"),
+        F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+    if any(not g["terms"] for g in groups):  # exclusions alone also fit papers without any of the words
+        ranked = papers.select("paper_id").join(ranked, "paper_id", "left").withColumns({
+            "terms": F.coalesce("terms", F.lit(0)), "rank": F.coalesce("rank", F.lit(0.0)),
+            "at": F.coalesce("at", F.create_map().cast("map<string,array<int>>"))})
+    if mode != "prefix_or":
+        fits = [reduce(lambda x, y: x & y, [
+            *[F.map_contains_key("at", t) for t in g["terms"]], *[_holds(p) for p in g["phrases"]],
+            *[~_holds(p) for p in g["without"]]]) for g in groups]
+        ranked = ranked.filter(reduce(lambda x, y: x | y, fits, F.lit(False)))
+    found = ranked.select("paper_id", "terms", "rank")
+    ends = half_edges(conns).select(F.col("me").alias("paper_id"), "connection_id").join(found.select("paper_id"), "paper_id", "left_semi")
+    counted = ends.groupBy("paper_id").agg(F.count_distinct("connection_id").alias("connection_count"))
     return cap(
-        ranked.join(degree(conns), "paper_id", "left")
-        .withColumn("connection_count", F.coalesce("connection_count", F.lit(0))),
+        found.join(counted, "paper_id", "left").withColumn("connection_count", F.coalesce("connection_count", F.lit(0))),
         [F.desc("rank"), F.desc("connection_count"), F.asc("paper_id")], limit)
 
 
+def search_substring(papers, query: str, limit: int | None = 20) -> DataFrame:
+    """Papers whose title or abstract holds the query as it stands, newest first; for queries without a word."""
+    hit = any_of([contains_ci(F.col("title"), query), contains_ci(F.col("abstract"), query)])
+    return cap(papers.filter(hit), [F.desc_nulls_last("published_date"), F.asc("paper_id")], limit)
+
+
 def related_by_terms(paper_id, papers, extractions, pe: DataFrame, limit=15) -> DataFrame:
     """Papers found by a paper's entity names, re-ranked by shared entities."""
     own = pe.filter((F.col("paper_id") == paper_id) & (F.length("entity") > 4)).select("entity").distinct()

@@ -650,11 +650,11 @@ RANKED = SCORED + """, r as (select * from (select *, row_number() over (partiti
 
 
 @case("D08_hypothesis_brief", RANKED + """
-select keys[1] as run_id, concat(names[1], ' is mechanistically linked to ', names[len(names)], ' through a ', cast(hops as string), '-hop cascade (',
- array_to_string(list_filter(ops, lambda o, i: i = 1 or o <> ops[i - 1]), ' → '), ') in which ', keys[1], ' ',
+select keys[1] as run_id, concat(names[1], ' ',
  case when len(list_filter(preds, lambda z: z in ('activates', 'upregulates', 'induces', 'is_upstream_of'))) > len(list_filter(preds, lambda z: z in ('inhibits', 'blocks', 'downregulates', 'is_downstream_of'))) then 'drives changes that ultimately influence'
   when len(list_filter(preds, lambda z: z in ('activates', 'upregulates', 'induces', 'is_upstream_of'))) < len(list_filter(preds, lambda z: z in ('inhibits', 'blocks', 'downregulates', 'is_downstream_of'))) then 'disrupts a cascade that modulates'
-  else 'is associated with changes in' end, ' ', keys[len(keys)], '.') as thesis from r where rn = 1""")
+  else 'is associated with changes in' end, ' ', names[len(names)], ' over ', cast(hops as string), ' step(s), passing ',
+ array_to_string(list_filter(ops, lambda o, i: i = 1 or o <> ops[i - 1]), ', then '), '.') as thesis from r where rn = 1""")
 def _(t):
     return B.hypothesis_brief(_ranked(t), t.edges).select("run_id", "thesis")
 
@@ -677,9 +677,24 @@ def _(t):
 @case("D09_promote", RANKED + """
 select keys[1] as run_id, concat('How does it work — ', names[1], ' → ', names[len(names)]) as title from r where rn = 1""")
 def _(t):
-    brief = B.hypothesis_brief(_ranked(t), t.edges)
-    evidence = t.papers.limit(0).withColumn("run_id", F.lit(""))
-    return B.promote(brief, evidence, "How does it work?")[0].select("run_id", "title")
+    return _promoted(t)[0].select("run_id", "title")
+
+
+def _promoted(t):
+    behind = t.pe.select(F.concat(F.lit("C"), F.col("entity_id").cast("string")).alias("source_entity_id"), "paper_id")
+    support = t.edges.join(behind, "source_entity_id").select(*E.EDGE_KEY, "paper_id")
+    ranked = cut_lineage(_ranked(t))
+    evidence = B.brief_evidence(ranked, support, t.papers)
+    return B.promote(B.hypothesis_brief(ranked, t.edges), evidence, "How does it work?")
+
+
+@case("D09_promote_evidence", RANKED + """
+, h as (select distinct keys[1] as run_id, keys[i] as s, keys[i + 1] as o, preds[i] as pred from r, unnest(range(1, 4)) as g(i) where rn = 1 and i <= hops)
+select distinct h.run_id, d.source, d.external_id from h join fx_edges e on lower(e.source_entity_name) = h.s and lower(e.target_entity_name) = h.o and e.predicate_type = h.pred
+join fx_pe p on concat('C', cast(p.entity_id as string)) = e.source_entity_id join fx_papers d on d.paper_id = p.paper_id""")
+def _(t):
+    projects, rows = _promoted(t)
+    return rows.join(projects, "project_id").select("run_id", "source", "external_id")
 
 
 @case("D10_decompose", """
@@ -708,8 +723,11 @@ p as (select s.frame_id, [lower(source_entity_name), lower(target_entity_name)]
  from p join fx_edges e on lower(e.source_entity_name) = p.keys[len(p.keys)] where p.hops < 3 and not list_contains(p.keys, lower(e.target_entity_name))),
 q as (select p.*, array_to_string(list_concat(list_concat(keys, preds), sources), '|') as path_key from p join goals g on g.frame_id = p.frame_id and g.k = keys[len(keys)] where hops >= 2 and crossings >= 1),
 c as (select * from (select *, row_number() over (partition by frame_id order by hops, contra, path_key) rn from q) x where rn <= 200),
-s as (select *, round((1 - 1 / (1 + exp(2.0))) * least(1.0, exp(list_sum(list_transform(confs, lambda z: ln(greatest(z, 0.01)))) / len(confs)) * (1 + 0.3 * (crossings / hops)))
-  * (0.5 + 0.5 * (len(list_filter(sources, lambda z: z = 'backbone')) / len(sources))) / (1 + least(1.0, contra / (hops * 2))), 4) as composite from c),
+th as materialized (select paper_id, triple_id, lower(subject) as e from fx_triples union select paper_id, triple_id, lower(object) from fx_triples),
+co as (select a, b, count(distinct x.paper_id) as n from (select distinct keys[1] as a, keys[len(keys)] as b from c) z
+  join th x on x.e = a join th y on y.e = b and y.paper_id = x.paper_id and y.triple_id <> x.triple_id group by a, b),
+s as (select c.*, round((1 - 1 / (1 + exp(-(ln(1 + coalesce(co.n, 0)) - 2)))) * least(1.0, exp(list_sum(list_transform(confs, lambda z: ln(greatest(z, 0.01)))) / len(confs)) * (1 + 0.3 * (crossings / hops)))
+  * (0.5 + 0.5 * (len(list_filter(sources, lambda z: z = 'backbone')) / len(sources))) / (1 + least(1.0, contra / (hops * 2))), 4) as composite from c left join co on co.a = keys[1] and co.b = keys[len(keys)]),
 r as (select * from (select frame_id, keys, hops, composite, path_key, row_number() over (partition by frame_id order by composite desc, hops, path_key) rank from s) y where rank <= 20)
 """
 
@@ -726,7 +744,7 @@ def _frames(t):
 
 @case("D11_frame_paths", FRAME_PATHS + "select frame_id, path_key, cast(hops as bigint) as hops from r")
 def _(t):
-    return B.frame_paths(_frames(t), "x", t.edges).select("frame_id", "path_key", F.col("hops").cast("long").alias("hops"))
+    return B.frame_paths(_frames(t), "x", t.edges, t.triples).select("frame_id", "path_key", F.col("hops").cast("long").alias("hops"))
 
 
 MIDS = """, m as (select distinct frame_id, unnest(keys[2:-2]) as node from r), n as (select node, count(*) as frame_count, string_agg(frame_id, '|' order by frame_id) as frames from m where length(node) > 2 group by node)
@@ -738,27 +756,27 @@ select node, frame_count, frames, 'convergent' as kind from n where frame_count
 union all select * from (select node, frame_count, frames, 'bridge' from n where frame_count = 2 order by node limit 40) b""")
 def _(t):
     frames = _frames(t)
-    return B.synthesize(B.frame_paths(frames, "x", t.edges), frames)[0].select("node", "frame_count", JOIN("frames").alias("frames"), "kind")
+    return B.synthesize(B.frame_paths(frames, "x", t.edges, t.triples), frames)[0].select("node", "frame_count", JOIN("frames").alias("frames"), "kind")
 
 
 @case("D12_frame_stats", FRAME_PATHS + """
 select f.frame_id, count(r.path_key) as paths_scored, count(r.path_key) < 3 as thin from frames f left join r on r.frame_id = f.frame_id group by f.frame_id""")
 def _(t):
     frames = _frames(t)
-    return B.synthesize(B.frame_paths(frames, "x", t.edges), frames)[1].select("frame_id", "paths_scored", "thin")
+    return B.synthesize(B.frame_paths(frames, "x", t.edges, t.triples), frames)[1].select("frame_id", "paths_scored", "thin")
 
 
 @case("D12_patient_factors", FRAME_PATHS + MIDS + """
 select node, frame_count from n where frame_count >= 2 and (contains(frames, 'fr0') or contains(frames, 'fr2') or contains(frames, 'fr4')) order by frame_count desc, node limit 25""")
 def _(t):
     frames = _frames(t)
-    return B.patient_factors(B.frame_paths(frames, "x", t.edges), frames).select("node", "frame_count")
+    return B.patient_factors(B.frame_paths(frames, "x", t.edges, t.triples), frames).select("node", "frame_count")
 
 
 @case("D13_template_brief")
 def _(t):
     frames = _frames(t)
-    nodes, stats = B.synthesize(B.frame_paths(frames, "x", t.edges), frames)
+    nodes, stats = B.synthesize(B.frame_paths(frames, "x", t.edges, t.triples), frames)
     return B.template_brief(nodes, stats, "Why?", "x")
 
 

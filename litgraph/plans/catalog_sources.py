@@ -226,6 +226,10 @@ select 'Paper' as name, 'node' as kind, count(*) as n from fx_papers
 union all select 'Researcher', 'node', count(*) from (select author as a from fx_papers union select concat(author, ' jr') from fx_papers) r
 union all select 'Entity', 'node', count(*) from (select concat('gene', cast(k1 as string)) as e from fx_ext union select concat('protein', cast(k2 as string)) from fx_ext union select concat('disease', cast(k3 as string)) from fx_ext) e
 union all select 'Method', 'node', count(distinct s) from fx_ext
+union all select c.name, c.kind, c.n from (select count(distinct (paper_id, k1, verb, k3)) + count(distinct case when qty % 2 = 0 then (paper_id, k1, verb, k3) end) as n from fx_ext) x,
+ lateral (select 'Claim' as name, 'node' as kind, x.n union all select 'MAKES_CLAIM', 'edge', x.n) c
+union all select c.name, c.kind, c.n from (select count(distinct (paper_id, k1, verb, k2, context)) as n from fx_ext) x,
+ lateral (select 'Mechanism' as name, 'node' as kind, x.n union all select 'DESCRIBES_MECHANISM', 'edge', x.n) c
 union all select 'AUTHORED_BY', 'edge', count(*) * 2 from fx_papers
 union all select 'HAS_ENTITY', 'edge', count(*) from (select paper_id, concat('gene', cast(k1 as string)) as e from fx_ext union select paper_id, concat('protein', cast(k2 as string)) from fx_ext union select paper_id, concat('disease', cast(k3 as string)) from fx_ext) e
 union all select 'USES_METHOD', 'edge', count(*) from (select distinct paper_id, s from fx_ext) m"""
@@ -234,8 +238,7 @@ union all select 'USES_METHOD', 'edge', count(*) from (select distinct paper_id,
 @case("S15_build_graph", GRAPH)
 def _(t):
     nodes, edges = E.build_graph(t.nested_papers(), t.nested_extractions())
-    counts = R.graph_counts(nodes, edges)
-    return counts.filter(~F.col("name").isin("Claim", "Mechanism", "MAKES_CLAIM", "DESCRIBES_MECHANISM")).select("name", "kind", "n")
+    return R.graph_counts(nodes, edges).select("name", "kind", "n")
 
 
 @case("S15_entity_ids", """
@@ -293,14 +296,25 @@ def _(t):
 select paper_id, model_id, extraction_id from (select *, row_number() over (partition by paper_id, model_id order by created_date desc, extraction_id desc) rn from fx_ext) e where rn = 1""")
 def _(t):
     new = t.nested_extractions().withColumn("row_id", F.col("extraction_id"))
-    return K.upsert_extractions(t.nested_extractions().limit(0), new).select("paper_id", "model_id", "extraction_id")
+    old = t.nested_extractions().dropDuplicates(["paper_id", "model_id"]).withColumn("extraction_id", F.lit("old"))  # all replaced
+    return K.upsert_extractions(old, new).select("paper_id", "model_id", "extraction_id")
+
+
+@case("S20_upsert_critiques", """
+select critique_id, case when paper_id % 3 = 0 then 'new' else overall_quality end as overall_quality from fx_critiques""")
+def _(t):
+    old = t.critiques.withColumn("model_id", F.col("critique_id"))
+    new = old.filter(F.col("paper_id") % 3 == 0).withColumns({"overall_quality": F.lit("new"), "row_id": F.col("critique_id")})
+    return K.upsert_critiques(old, new).select("critique_id", "overall_quality")
 
 
 @case("S20_sync_claims", """
-select distinct paper_id, md5(concat('E', cast(k1 as string), ' ', verb, ' E', cast(k3 as string))) as text_hash from fx_ext""")
+select distinct paper_id, md5(concat('E', cast(k1 as string), ' ', verb, ' E', cast(k3 as string))) as text_hash from fx_ext union all select -1, 'kept'""")
 def _(t):
-    none = t.claims.limit(0).select("claim_id", "paper_id", "extraction_id", "claim_text", "claim_type", "subject", "predicate", "object", "confidence").withColumn("text_hash", F.lit(""))
-    return K.sync_claims(t.nested_extractions(), none).select("paper_id", "text_hash")
+    kept = t.claims.select(F.lit("c").alias("claim_id"), F.lit(-1).cast("long").alias("paper_id"), "extraction_id", "claim_text", "claim_type", "subject",
+                           "predicate", "object", "confidence", F.lit("kept").alias("text_hash")).dropDuplicates(["paper_id", "text_hash"])
+    once = K.sync_claims(t.nested_extractions(), kept.drop("claim_id"))
+    return K.sync_claims(t.nested_extractions(), once).select("paper_id", "text_hash")
 
 
 def _scratch(spark, what: str) -> str:
@@ -470,35 +484,51 @@ def _(t):
 TOK = r"list_filter(string_split_regex(lower(concat_ws(' ', title, abstract)), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
 
+DEGREES = "select me, count(distinct connection_id) as n from fx_half group by me"
+
+
 @case("X04_search", f"""
 with w as (select paper_id, unnest({TOK}) as term from fx_docs), tf as (select paper_id, term, count(*) as tf from w where term in ('that', 'the', 'document') group by 1, 2),
 df as (select term, count(*) as df from tf group by 1),
 r as (select tf.paper_id, round(sum(tf.tf * ln(1.0 + (select count(*) from fx_docs)::double / df.df)), 4) as rank from tf join df on df.term = tf.term group by 1 having count(*) = 3)
-select paper_id, rank from r order by rank desc, paper_id limit 20""")
+select r.paper_id, rank, coalesce(d.n, 0) as connection_count from r left join ({DEGREES}) d on d.me = r.paper_id order by rank desc, d.n desc nulls last, r.paper_id limit 20""")
 def _(t):
-    out = S.search(t.docs, t.connections.limit(0), "The that Document", limit=20)
-    return out.select("paper_id", F.round("rank", 4).alias("rank"))
+    out = S.search(t.docs, t.connections, "The that Document", limit=20)
+    return out.select("paper_id", F.round("rank", 4).alias("rank"), "connection_count")
 
 
 @case("X04_search_web", f"""
-with w as (select paper_id, unnest({TOK}) as term from fx_docs), tf as (select paper_id, term, count(*) as tf from w where term in ('und', 'que') group by 1, 2)
-select paper_id, count(*) as terms from tf where paper_id not in (select paper_id from w where term in ('the')) group by 1""")
+with w as (select paper_id, unnest({TOK}) as term from fx_docs), h as (select paper_id, list(distinct term) as ts from w group by 1)
+select h.paper_id, cast(len(list_filter(ts, lambda x: x in ('und', 'que', 'de'))) as bigint) as terms, coalesce(d.n, 0) as connection_count
+from h left join ({DEGREES}) d on d.me = h.paper_id
+where list_contains(ts, 'und') or (list_contains(ts, 'que') and list_contains(ts, 'de') and not list_contains(ts, 'the'))""")
+def _(t):
+    return S.search(t.docs, t.connections, "und or que -the de", mode="web", limit=None).select("paper_id", "terms", "connection_count")
+
+
+@case("X04_search_phrase", f"""
+select paper_id from fx_docs where contains(concat(' ', array_to_string({TOK}, ' '), ' '), ' of the ') and not contains(concat(' ', array_to_string({TOK}, ' '), ' '), ' in the ')""")
+def _(t):
+    return S.search(t.docs, t.connections, '"of the" -"in the"', mode="web", limit=None).select("paper_id")
+
+
+@case("X04_search_substring", "select paper_id from fx_papers where contains(lower(title), 'per 12') or contains(lower(abstract), 'per 12') order by published_date desc nulls last, paper_id limit 20")
 def _(t):
-    return S.search(t.docs, t.connections.limit(0), "und or que -the", mode="web", limit=1 << 30).select("paper_id", "terms")
+    return S.search_substring(t.papers, "PER 12").select("paper_id")
 
 
 @case("X04_search_prefix", f"""
 with w as (select paper_id, unnest({TOK}) as term from fx_docs) select paper_id, count(distinct p) as terms from (
  select paper_id, 'tion' as p from w where starts_with(term, 'tion') union all select paper_id, 'wh' from w where starts_with(term, 'wh')) x group by 1""")
 def _(t):
-    return S.search(t.docs, t.connections.limit(0), "tion wh", mode="prefix_or", limit=1 << 30).select("paper_id", "terms")
+    return S.search(t.docs, t.connections, "tion wh", mode="prefix_or", limit=None).select("paper_id", "terms")
 
 
 @case("X04_term_index", f"""
-with w as (select paper_id, unnest({TOK}) as term from fx_docs) select term, count(distinct paper_id) as df, count(*) as tf from w group by term having count(distinct paper_id) >= 50""")
+with w as (select paper_id, unnest({TOK}) as term from fx_docs) select term, count(distinct paper_id) as df, count(*) as tf from w group by term""")
 def _(t):
     idx = S.term_index(t.docs)
-    return idx.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).filter("df >= 50")
+    return idx.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 RULES = {"confidence in 0..1": lambda: F.col("confidence").between(0.6, 1.0), "known type": lambda: F.col("connection_type").isin("extends", "contradicts"),
@@ -595,11 +625,16 @@ def _drain(t, df, what: str, mode: str = "append"):
     """Run a stream over all its input into parquet and read it back."""
     out, ckpt = _scratch(t.spark, what), _scratch(t.spark, f"{what}-ckpt")
 
+    last = []
+
     def write(batch, i):
         batch.write.mode("overwrite").parquet(os.path.join(out, f"b={i}"))
+        last[:] = [f"b={i}"]
 
     q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
+    if mode == "complete":  # every batch writes the whole table: the last one counts
+        out = os.path.join(out, *last)
     return t.spark.read.option("recursiveFileLookup", "true").schema(df.schema).parquet(out)
 
 
@@ -612,9 +647,7 @@ def _(t):
     live = t.spark.readStream.schema(triples.schema).option("maxFilesPerTrigger", 1).parquet(src)
     entities = t.nested_entities()
     T.refresh_stream(live, entities, out, ckpt, {"availableNow": True}).awaitTermination()
-    store = T.EdgeStore(t.spark, out)
-    last = max(v for v in range(10) if store.exists("edges", v))
-    return store.read("edges", [last]).select("source_entity_name", "target_entity_name", "support_count")
+    return T.EdgeStore(t.spark, out).latest("edges").select("source_entity_name", "target_entity_name", "support_count")
 
 
 @case("T02_dedupe_stream", "select distinct event_type as source, cast(user_id as string) as external_id from events")
@@ -623,10 +656,13 @@ def _(t):
     return _drain(t, T.dedupe_stream(ev, "60 days"), "dedupe").select("source", "external_id")
 
 
-@case("T03_spend_stream", "select cast(ts as date) as day, event_type as task, count(*) as calls, round(sum(value), 2) as cost_usd from events group by 1, 2")
+# Append mode gives a day once the watermark, an hour behind the newest row, has passed its end.
+@case("T03_spend_stream", """
+select cast(ts as date) as day, event_type as task, count(*) as calls, round(sum(value), 2) as cost_usd from events group by 1, 2
+having cast(ts as date) + interval 1 day <= (select max(ts) from events) - interval 1 hour""")
 def _(t):
     ev = _stream(t, "events").select("ts", F.col("event_type").alias("task"), F.col("value").alias("cost_usd"))
-    return _drain(t, T.spend_stream(ev, "60 days"), "spend", "complete").select("day", "task", "calls", F.round("cost_usd", 2).alias("cost_usd"))
+    return _drain(t, T.spend_stream(ev, "1 hour"), "spend").select("day", "task", "calls", F.round("cost_usd", 2).alias("cost_usd"))
 
 
 @case("T04_suppression_stream", """
@@ -647,7 +683,7 @@ def _(t):
 @case("T05_watchlist_matches", """
 select concat('a', cast(c_custkey as string)) as watchlist_id, paper_id from customer join fx_papers on author = concat('Author ', cast(c_custkey as string))
 union all select concat('t', topic), paper_id from (select distinct paper_id, topic from (select paper_id, topic1 as topic from fx_papers union all select paper_id, topic2 from fx_papers) x) y
-union all select 'q', paper_id from fx_papers where abstract like '%urgent%' and regexp_matches(abstract, '(^|[^0-9a-z])12([^0-9a-z]|$)')""")
+union all select 'q', paper_id from fx_papers where regexp_matches(lower(concat_ws(' ', title, abstract)), '(^|[^0-9a-z_])urgent([^0-9a-z_]|$)') and regexp_matches(lower(concat_ws(' ', title, abstract)), '(^|[^0-9a-z_])12([^0-9a-z_]|$)')""")
 def _(t):
     watch = lambda df, i, kind, v: df.select(i.alias("watchlist_id"), F.lit(kind).alias("watch_type"), v.alias("watch_value")).distinct()
     tags = t.nested_papers().select(F.explode("topic_tags").alias("tag"))

@@ -7,6 +7,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from litgraph.functions import text as X, vocab as V
@@ -329,3 +330,110 @@ def test_repeated_arriving_keys_give_one_row(spark):
                                   "canonical_name string, entity_type string, aliases array<string>, primary_operation string")
     got = {r.canonical_name: sorted(r.aliases) for r in E.merge_aliases(ents, seeds).collect()}
     assert got == {"A": ["x", "y", "z"], "B": ["b", "c"]}
+
+
+def test_convergent_claims_of_forty_types(spark):
+    import random
+    rnd = random.Random(3)
+    counts = {}
+    for p in range(60):
+        for t in rnd.sample(range(40), rnd.randint(1, 6)):
+            counts[p, f"t{t:02d}"] = rnd.randint(1, 4)
+    rows = [(p, t) for (p, t), n in counts.items() for _ in range(n)] + [(p, "descriptive") for p in range(60)]
+    df = spark.createDataFrame(rows, "paper_id long, claim_type string")
+    of = {p: {t: n for (q, t), n in counts.items() if q == p} for p in range(60)}
+    want = []
+    for a, b in itertools.combinations(range(60), 2):
+        if both := set(of[a]) & set(of[b]):
+            want.append((-sum(of[a][t] + of[b][t] for t in both), a, b, min(both)))
+    for limit in (5, 40, 10_000):
+        got = pairs.convergent_claim_pairs(df, limit).collect()
+        assert sorted((-r.shared_count, r.paper_a_id, r.paper_b_id) for r in got) == sorted(w[:3] for w in sorted(want)[:limit])
+
+
+# --- streams: several micro-batches, Arrow batches of two rows ------------------------------------
+
+def _run_stream(spark, tmp_path, batches, schema, build):
+    """Rows that a stream over ``batches`` gives; each batch is a file and a micro-batch of its own."""
+    src, out = str(tmp_path / "src"), []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        q = build(live).writeStream.foreachBatch(lambda df, i: out.extend(df.collect()) and None).option(
+            "checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    return out
+
+
+def test_suppression_in_order_of_time(spark, tmp_path):
+    import datetime as dt
+
+    from litgraph.streaming import incremental as T
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    batches = [[("A@x ", day(400)), ("a@x", day(0)), ("a@x", day(300)), ("a@x", day(100)), ("a@x", day(200)), ("b@x", day(0))],
+               [("a@x", day(450)), ("b@x", day(405))], [("a@x", day(491)), ("c@x", day(480)), ("c@x", day(460))]]
+    got = _run_stream(spark, tmp_path, batches, "email string, sent_at timestamp", lambda s: T.suppression_stream(s, 90))
+    flagged = sorted((r.email, (r.sent_at - dt.datetime(2024, 1, 1)).days) for r in got if r.suppressed)
+    assert len(got) == 11 and flagged == [("a@x", 450), ("c@x", 480)]
+
+
+def test_settling_in_order_of_polls(spark, tmp_path):
+    from litgraph.streaming import incremental as T
+    polls = [("s", i, n) for i, n in enumerate((0, 50, 55, 60, 65, 200, 205, 210))]
+    batches = [[polls[3], polls[0], polls[2], polls[1]], [polls[5], polls[4]], [polls[7], polls[6]]]
+    got = _run_stream(spark, tmp_path, batches, "series string, poll long, n long", lambda s: T.settling_stream(s))
+    want = T.settling(spark.createDataFrame(polls, "series string, poll long, n long")).select("poll", "streak").collect()
+    assert sorted((r.poll, r.streak) for r in got) == sorted(map(tuple, want))
+
+
+def test_watchlists_count_a_paper_once(spark, tmp_path):
+    from litgraph.streaming import incremental as T
+    lists = spark.createDataFrame([("w", "entity", "x"), ("w", "author", "Ann"), ("v", "entity", "y")], "watchlist_id string, watch_type string, watch_value string")
+    schema = "paper_id long, title string, abstract string, entities array<string>, authors array<string>"
+    batches = [[(1, "", "", ["X", "x"], ["ann"])], [(1, "", "", ["x"], []), (2, "", "", ["x", "y"], [])], [(2, "", "", ["Y"], ["ANN"])]]
+    got = _run_stream(spark, tmp_path, batches, schema, lambda s: T.watchlist_matches(s, lists))
+    assert sorted((r.watchlist_id, r.paper_id) for r in got) == [("v", 2), ("w", 1), ("w", 2)]
+
+
+def test_dedupe_against_known_papers(spark, tmp_path):
+    from litgraph.streaming import incremental as T
+    known = spark.createDataFrame([("s", "9")], "source string, external_id string")
+    batches = [[("s", "1", "2024-01-01 00:00:00"), ("s", "9", "2024-01-01 00:00:00")], [("s", "1", "2024-01-01 01:00:00"), ("s", "2", "2024-01-01 02:00:00")], [("s", "9", "2024-03-01 00:00:00")]]
+    got = _run_stream(spark, tmp_path, batches, "source string, external_id string, ts string", lambda s: T.dedupe_stream(s, "1 day", known=known))
+    assert sorted(r.external_id for r in got) == ["1", "2"]
+
+
+def test_refresh_over_many_batches_and_lost_versions(spark, tmp_path):
+    import shutil
+
+    from litgraph.streaming import incremental as T
+    ents = spark.createDataFrame([(str(i), f"N{i}", [], "Defense") for i in range(5)], ENTITIES)
+    kind = "triple_id string, paper_id string, subject string, object string, predicate string, predicate_type string, direction string, primary_operation string, confidence double"
+    row = lambda i: (f"t{i}", f"p{i}", f"N{i % 5}", f"N{(i + 1 + i // 5) % 5}", "activates", "activates", "causal", "Defense", 0.5)
+    store = T.EdgeStore(spark, str(tmp_path / "store"))
+    keep = lambda df: sorted(tuple(r) for r in df.select("source_entity_name", "target_entity_name", "support_count").collect())
+    for b in range(12):
+        T.refresh_batch(store, spark.createDataFrame([row(b), row(max(b - 1, 0))], kind), b, ents)
+    whole = T.EdgeStore(spark, str(tmp_path / "whole"))
+    T.refresh_batch(whole, spark.createDataFrame([row(b) for b in range(12)], kind), 0, ents)
+    assert store.versions("edges") == list(range(12)) and keep(store.latest("edges")) == keep(whole.latest("edges"))
+    shutil.rmtree(tmp_path / "store" / "edges" / "v=11")
+    T.refresh_batch(store, spark.createDataFrame([row(3)], kind), 12, ents)
+    assert keep(store.latest("edges")) == keep(whole.latest("edges"))
+    shutil.rmtree(tmp_path / "store" / "triples" / "v=2")
+    with pytest.raises(RuntimeError):
+        T.refresh_batch(store, spark.createDataFrame([row(3)], kind), 13, ents)
+
+
+def test_web_search_syntax():
+    from litgraph.operators.search import parse_query
+    g = lambda t, p=(), w=(): {"terms": sorted(t), "phrases": [list(x) for x in p], "without": [list(x) for x in w]}
+    assert parse_query("alpha beta or gamma") == [g(["alpha", "beta"]), g(["gamma"])]
+    assert parse_query('"beta alpha" -gamma') == [g(["alpha", "beta"], [["beta", "alpha"]], [["gamma"]])]
+    assert parse_query('IL-6 or -"a b"') == [g(["il", "6"], [["il", "6"]]), g([], [], [["a", "b"]])]
+    assert parse_query("a or B", "and") == [g(["a", "b", "or"])]

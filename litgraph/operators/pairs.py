@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from litgraph.functions.scores import cosine
 from litgraph.operators.joins import cap, exclude_pairs, top_per, union_sources, with_titles
-from litgraph.runtime import cut_lineage
+from litgraph.runtime import cut_lineage, has_rows
 
 BLOCK = 2000  # members of one key that meet in one join group
 
@@ -52,69 +52,65 @@ def shared_counts(df: DataFrame, key: str, id_col: str, min_shared: int, df_cap:
         F.col("shared_count") >= min_shared)
 
 
-def pairs_made(df: DataFrame, key: str) -> float:
-    """How many pairs pairing out every key would make."""
-    n = df.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return n.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).head()[0] or 0.0
+def _ranked_keys(df: DataFrame, key: str, id_col: str) -> DataFrame:
+    """(key, id, r): r numbers the keys of an id from the commonest on."""
+    sized = df.select(key, id_col).distinct().join(df.groupBy(key).agg(F.count_distinct(id_col).alias("_n")), key)
+    w = Window.partitionBy(id_col).orderBy(F.desc("_n"), F.asc(key))
+    return cut_lineage(sized.select(key, id_col, F.row_number().over(w).alias("r")))
 
 
-def rare_keys(df: DataFrame, key: str, id_col: str, min_shared: int) -> DataFrame:
-    """(key, id) rows that are enough to find all pairs with ``min_shared`` keys in common.
-
-    Of ids with enough keys, all but the ``min_shared - 1`` commonest: the rarest key that two ids
-    share has at least that many commoner ones after it on either side, so it is kept on both.
-    """
-    able = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= min_shared)
-    some = df.join(able.select(id_col), id_col, "left_semi")
-    sized = some.join(some.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
-    common = top_per(sized, id_col, [F.desc("_n"), F.asc(key)], min_shared - 1).select(id_col, key)
-    return sized.filter(F.col("_n") > 1).join(common, [id_col, key], "left_anti").select(key, id_col)
-
-
-def verified_counts(df: DataFrame, rare: DataFrame, key: str, id_col: str, min_shared: int, block: int = BLOCK) -> DataFrame:
-    """Pairs that meet on a rare key, counted over all keys."""
-    cand = key_pairs(rare, key, id_col, block=block).select("a", "b").distinct()
-    left = cand.join(df.select(F.col(id_col).alias("a"), key), "a")
-    return (
-        left.join(df.select(F.col(id_col).alias("b"), key), ["b", key])
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_count"))
-        .filter(F.col("shared_count") >= min_shared)
-    )
-
-
-PAIR_BUDGET = 5_000_000  # pairs a single pass may make before rarer keys are tried first
+def _pairs_by_bound(ranked: DataFrame, key: str) -> dict[int, float]:
+    """For each bound, how many pairs meet on keys of at least that rank; one row per rank reaches the driver."""
+    w = Window.partitionBy(key).orderBy(F.desc("r"))
+    upto = ranked.groupBy(key, "r").agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.sum("n").over(w).cast("double"))
+    pairs = lambda m: m * (m - 1) / 2
+    step = upto.groupBy("r").agg(F.sum(pairs(F.col("m")) - pairs(F.col("m") - F.col("n"))).alias("more"))
+    made, out = 0.0, {}
+    for row in sorted(step.collect(), key=lambda x: -x.r):
+        made += row.more
+        out[row.r] = made
+    return out
 
 
-def top_shared(df: DataFrame, key: str, id_col: str, min_shared: int, limit: int, budget: int = PAIR_BUDGET) -> DataFrame:
+def top_shared(df: DataFrame, key: str, id_col: str, min_shared: int, limit: int, block: int = BLOCK) -> DataFrame:
     """The ``limit`` pairs with most keys in common, at least ``min_shared``; exact.
 
-    If pairing out every key would make too many pairs, high counts are tried first: they leave
-    only rare keys to pair. The search ends at the first bound that ``limit`` pairs reach, since
-    every other pair has fewer keys in common.
+    Two ids with B keys in common share one that is not among the B - 1 commonest of either, so with bound B only such
+    rarer keys are paired and the pairs found are counted over all keys. The first bound is the least one that makes
+    pairs in proportion to the rows. If it leaves the limit open, bounds go down by one: all pairs with more keys are
+    known then, and of those with exactly B the first in the order of ids are wanted, so the partners of the first ids
+    are tried before those of all.
     """
-    made = pairs_made(df, key)
-    if made <= budget or min_shared < 2:
-        return _top_pairs(shared_counts(df, key, id_col, min_shared), limit)
-    # A bound can only be reached if at least two ids have that many keys.
-    sizes = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    most = max([min_shared, *[r.n for r in sizes.orderBy(F.desc("n")).limit(2).collect()][1:]])
-    bound = min(2 * min_shared, most)
-    rare, few = _rare_within(df, key, id_col, bound)
-    while few > budget and bound * 2 <= most:
-        bound *= 2
-        rare, few = _rare_within(df, key, id_col, bound)
-    while few * bound <= made:  # else rare keys are no saving: count all at once
-        top = cut_lineage(_top_pairs(verified_counts(df, rare, key, id_col, bound), limit))
-        if bound <= min_shared or top.count() >= limit:
-            return top
-        bound = max(min_shared, bound // 2 if bound > 5 else bound - 1)
-        rare, few = _rare_within(df, key, id_col, bound)
-    return _top_pairs(shared_counts(df, key, id_col, min_shared), limit)
-
-
-def _rare_within(df: DataFrame, key: str, id_col: str, bound: int) -> tuple[DataFrame, float]:
-    rare = cut_lineage(rare_keys(df, key, id_col, bound))
-    return rare, pairs_made(rare, key)
+    ranked = _ranked_keys(df, key, id_col)
+    made = _pairs_by_bound(ranked, key)
+    if not made:
+        return _top_pairs(shared_counts(df.limit(0), key, id_col, min_shared), limit)
+    keys_of = cut_lineage(ranked.groupBy(id_col).agg(F.collect_list(key).alias("ks")))
+    rows = ranked.count()
+
+    def counted(cand: DataFrame, least: int) -> DataFrame:
+        a, b = (keys_of.select(F.col(id_col).alias(x), F.col("ks").alias(f"_{x}")) for x in ("a", "b"))
+        n = F.size(F.array_intersect("_a", "_b")).cast("long")
+        return cand.select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", n.alias("shared_count")).filter(
+            F.col("shared_count") >= least)
+
+    least = max(min_shared, 1)
+    cheap = [b for b, n in made.items() if n <= 4 * rows and b >= least]
+    bound = min(cheap, default=max(*made, least))
+    rare = lambda b: ranked.filter(F.col("r") >= b).select(key, id_col)
+    known = cut_lineage(counted(key_pairs(rare(bound), key, id_col, block=block), bound))
+    while bound > least and not has_rows(known, limit):
+        bound -= 1
+        some, found = rare(bound), None
+        for first in (50, 2000):
+            start = some.select(id_col).distinct().orderBy(id_col).limit(first)
+            left = some.join(start, id_col, "left_semi").select(F.col(id_col).alias("a"), key)
+            near = left.join(some.select(F.col(id_col).alias("b"), key), key).filter(F.col("a") < F.col("b"))
+            found = cut_lineage(known.unionByName(counted(near, bound)).distinct())
+            if has_rows(found, limit):
+                return _top_pairs(found, limit)
+        known = cut_lineage(counted(key_pairs(some, key, id_col, block=block), bound))
+    return _top_pairs(known, limit)
 
 
 def shared_names(pairs: DataFrame, df: DataFrame, key: str, id_col: str, n: int | None = None) -> DataFrame:

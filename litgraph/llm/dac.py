@@ -77,8 +77,8 @@ class Block:
         group, word = at // 512, at // 64
         found = ranks[group].astype(np.int64)
         for k in range(RANK_WORDS - 1):
-            before = group * RANK_WORDS + k
-            found += np.where(before < word, np.bitwise_count(words[before]), 0)
+            before = np.minimum(group * RANK_WORDS + k, len(words) - 1)  # the end of a full bitmap has no words behind it
+            found += np.where(group * RANK_WORDS + k < word, np.bitwise_count(words[before]), 0)
         part = words[word] & ((np.uint64(1) << (at % 64).astype(np.uint64)) - np.uint64(1))
         return found + np.bitwise_count(part)
 
@@ -166,7 +166,8 @@ def read_documents(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for r in range(batch.num_rows):
                 block = Block(batch.column(3)[r].as_buffer())
                 bounds = block.bounds.tolist()
-                crcs = [zlib.crc32(block.run(a, b).astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:])]
+                raw = block.run(0, bounds[-1]).astype("<u4").tobytes()  # all of it is wanted, so it is read in one go
+                crcs = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(bounds, bounds[1:])]
                 own = batch.column(2)[r].values
                 yield pa.RecordBatch.from_arrays([
                     own, pa.array([batch.column(0)[r].as_py()] * len(own), pa.int32()),

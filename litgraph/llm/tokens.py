@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -18,6 +19,29 @@ def _needs_whole(text: str) -> bool:
     return "  " in text or text[:1] == " " or text[-1:] == " " or OTHER_SPACE.search(text) is not None
 
 
+PIECE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+|\n")
+"""Runs of letters, digits, marks (but for apostrophes) and line feeds, between which both tokenizers break."""
+
+
+MARKS_IN_A_ROW = re.compile("[!-/:-@\\[-`{-~]{2}")
+
+
+def _spread(text: str, keeps_blanks: bool) -> str | None:
+    """The text with single full stops and commas (and line feeds) as chunks of their own; None if it can't be had so.
+
+    Both tokenizers break between a letter or digit and a mark, but a run of marks is one token. Where blanks count, a
+    zero marks chunks that have none before them; else the text is lower-cased and blanks are put in freely, but for
+    the letter that lower-cases by its place.
+    """
+    if MARKS_IN_A_ROW.search(text):
+        return None
+    if not keeps_blanks:
+        return None if "\u03a3" in text else text.lower().replace("\n", " ").replace(". ", " . ").replace(", ", " , ")
+    if " ." in text or " ," in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] == "\n" or text[-1:] == "\n":
+        return None
+    return "\0" + text.replace("\n", " \0\n \0").replace(". ", " \0. ").replace(", ", " \0, ")
+
+
 class _Codes(dict):
     """Numbers chunks in the order of their first use."""
 
@@ -34,15 +58,19 @@ class _Codes(dict):
 class ChunkEncoder:
     """Ids of whole texts. Both public files break tokens at a single blank, so chunks between blanks are encoded once.
 
-    ``keeps_blanks``: the tokenizer joins a blank to the word behind it (byte_bpe), else white space is dropped
-    (word_bpe). The special tokens' strings in a text are ordinary text. ``remember`` bounds the chunks kept.
+    A new chunk is put together from its pieces (see PIECE), if it is made of these alone; only pieces that are new as
+    well reach the tokenizer. ``keeps_blanks``: the tokenizer joins a blank to the word behind it (byte_bpe), else
+    white space is dropped and letters are lower-cased (word_bpe). The special tokens' strings in a text are ordinary
+    text. ``remember`` bounds the chunks kept; pieces are kept in two ages of that size, so those in use stay.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, remember: int = 300_000) -> None:
+    def __init__(self, path: str, keeps_blanks: bool, remember: int = 400_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.blank = " " if keeps_blanks else ""
+        self.keeps_blanks = keeps_blanks
         self.remember = remember
+        self.pieces: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -50,15 +78,36 @@ class ChunkEncoder:
         self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, chunk: str) -> list[str]:
+        first = chunk[:1] == "\0"
+        chunk = chunk[1:] if first else chunk
+        blank = " " if self.keeps_blanks and not first else ""
+        found = PIECE.findall(chunk)
+        if sum(map(len, found)) != len(chunk) or "\n" in (chunk[:1], chunk[-1:]) or "\n\n" in chunk:
+            return [blank + chunk] if chunk else []
+        if not self.keeps_blanks:
+            return [f.lower() for f in found if f != "\n"]
+        if found:
+            found[0] = blank + found[0]
+        return found
 
     def _learn(self) -> None:
-        found = self._ids([self.blank + c if c[:1] != "\0" else c[1:] for c in self.codes.new])
-        lengths = np.array([len(x) for x in found], np.int64)
+        made = [self._pieces(c) for c in self.codes.new]
+        asked = {p for m in made for p in m if p not in self.pieces}
+        known = {p: self.before[p] for p in asked if p in self.before}
+        new = [p for p in asked if p not in known]
+        self.pieces.update(known)
+        self.pieces.update(zip(new, self._ids(new)))
+        found = [self.pieces[m[0]] if len(m) == 1 else [i for p in m for i in self.pieces[p]] for m in made]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
         starts = np.cumsum(lengths) - lengths + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, lengths.sum())])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, lengths.sum())])
         self.start, self.length = np.append(self.start, starts), np.append(self.length, lengths)
         self.codes.new = []
+        if len(self.pieces) > self.remember:
+            self.pieces, self.before = {}, self.pieces
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, ``end`` behind each one, and the number of ids of each (with ``end``)."""
@@ -71,8 +120,10 @@ class ChunkEncoder:
                 whole[n] = np.array(self._ids([text])[0], np.uint32)
                 chunks.append(np.zeros(0, np.int64))
                 continue
-            words = text.split(" ")
-            words[0] = "\0" + words[0]  # the first chunk has no blank before it
+            plain = _spread(text, self.keeps_blanks)
+            if plain is None:
+                plain = "\0" + text if self.keeps_blanks else text  # the first chunk has no blank before it
+            words = plain.split(" ")
             chunks.append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
         if self.codes.new:
             self._learn()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -23,23 +24,26 @@ PIECE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]+|[!-&
 """Runs of letters, digits, marks (but for apostrophes) and line feeds, between which both tokenizers break."""
 
 
-MARKS_IN_A_ROW = re.compile("[!-/:-@\\[-`{-~]{2}")
+ALONE = re.compile(r"([.,]) (?<=[^\W_][.,] )")
+"""A full stop or comma behind a letter or digit of any script; behind all else it may belong to a longer token."""
 
 
 def _spread(text: str, keeps_blanks: bool) -> str | None:
     """The text with single full stops and commas (and line feeds) as chunks of their own; None if it can't be had so.
 
-    Both tokenizers break between a letter or digit and a mark, but a run of marks is one token. Where blanks count, a
-    zero marks chunks that have none before them; else the text is lower-cased and blanks are put in freely, but for
-    the letter that lower-cases by its place.
+    Both tokenizers break between a letter or digit and a mark, but a run of all else (quotes, currency and degree signs,
+    emoji, combining signs) is one token, so only what ALONE finds is put apart. Where blanks count, a zero marks chunks
+    that have none before them; else the text is lower-cased, but for the letter that lower-cases by its place and for
+    what composing (NFC, which the tokenizer does first) would change before or after that.
     """
-    if MARKS_IN_A_ROW.search(text):
-        return None
     if not keeps_blanks:
-        return None if "\u03a3" in text else text.lower().replace("\n", " ").replace(". ", " . ").replace(", ", " , ")
+        low = text.lower()
+        if "\u03a3" in text or not (text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low)):
+            return None
+        return ALONE.sub(r" \1 ", low.replace("\n", " "))
     if " ." in text or " ," in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] == "\n" or text[-1:] == "\n":
         return None
-    return "\0" + text.replace("\n", " \0\n \0").replace(". ", " \0. ").replace(", ", " \0, ")
+    return "\0" + ALONE.sub(" \0\\1 ", text).replace("\n", " \0\n \0")
 
 
 class _Codes(dict):

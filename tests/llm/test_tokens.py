@@ -46,6 +46,19 @@ def test_chunks_give_the_ids_of_whole_texts(blanks):
         assert counts.tolist() == [len(x) for x in want[at:at + 100]]
 
 
+@pytest.mark.parametrize("blanks", [False, True])
+def test_marks_of_any_script_before_stops_and_commas(blanks):
+    rnd = random.Random(blanks)
+    texts = ["“word”, he said", "« mot », dit", "50€. Then", "wait…, no", "21°, then", "a®, b", "a…. b", "ok 👍. Then", "हिन्दी, नमस्ते. है",
+             "क\u093c, \u0958, x", "H\u0331. x", "\u0130\u0327, x", "e\u0301. x", "x\x01. y\x7f, z", "१, ½. 漢, Ⅳ. x", "a., b.) c, d"]
+    signs = "aé1\u0958\u0301\u093f\u0331\u0130Hя漢²½”»…€°®👍\u200d\ufe0f)'_"
+    texts += ["".join(rnd.choice(signs) + rnd.choice(["", "", ". ", ", ", " ", ".", "\n"]) for _ in range(12)) for _ in range(3000)]
+    texts += [f"b a{chr(c)}. b{chr(c)}, c" for c in range(0x3000) if not chr(c).isspace()]
+    ids, counts = ChunkEncoder(public_tokenizers.path(FILES[blanks]), blanks).encode(texts, 7)
+    for text, want, end, n in zip(texts, ids_by_force(blanks, texts, 7), np.cumsum(counts), counts):
+        assert ids[end - n:end].tolist() == want, text
+
+
 def test_codes_give_random_access():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 1 << k, 700) for k in (1, 7, 8, 9, 16, 17, 24, 31)] + [[0, 255, 256, 2**32 - 1]]).astype(np.uint32)

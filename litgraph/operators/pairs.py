@@ -351,15 +351,15 @@ def unit_vectors(vecs: DataFrame, id_col="vec_id", vec_col="embedding") -> DataF
         "id", F.transform("v", lambda x: x / F.col("len")).alias("v"))
 
 
-def similar_pairs(vecs: DataFrame, threshold=0.75, limit=500, id_col="vec_id", vec_col="embedding",
+def similar_pairs(vecs: DataFrame, threshold=0.75, limit: int | None = 500, id_col="vec_id", vec_col="embedding",
                   pivots=64, block=2000) -> DataFrame:
-    """The ``limit`` most similar pairs with cosine at least ``threshold``; exact.
+    """The ``limit`` most similar pairs with cosine at least ``threshold``, or all of them for None; exact.
 
     Vectors go to the cell of their nearest pivot. By the triangle inequality of angles a partner
     within angle t lies in a cell whose pivot is at most 2t farther than the own one, so a vector
     also visits only such cells, and only later-numbered ones. Cells are cut into blocks of about
     ``block`` residents; a task multiplies one pair of blocks and passes on its own best ``limit``
-    pairs, which is all the overall best can need.
+    pairs, which is all the overall best can need. Without a limit it passes on all of its pairs.
     """
     units = cut_lineage(unit_vectors(vecs, id_col, vec_col))
     picked = units.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
@@ -437,7 +437,7 @@ def similar_pairs(vecs: DataFrame, threshold=0.75, limit=500, id_col="vec_id", v
                 ok &= op[at + i] != rp[j]
             part = pd.DataFrame({"a": np.minimum(x, y)[ok], "b": np.maximum(x, y)[ok], "similarity": s[ok]})
             best.append(part)
-            if sum(map(len, best)) > 4 * limit:
+            if limit is not None and sum(map(len, best)) > 4 * limit:
                 best = [_best(pd.concat(best), limit)]
         return _best(pd.concat(best), limit) if best else pd.DataFrame({"a": [], "b": [], "similarity": []})
 
@@ -450,8 +450,8 @@ def similar_pairs(vecs: DataFrame, threshold=0.75, limit=500, id_col="vec_id", v
         F.lit("embedding_similarity").alias("discovery_method"))
 
 
-def _best(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
-    return pdf.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).head(limit)
+def _best(pdf: pd.DataFrame, limit: int | None) -> pd.DataFrame:
+    return pdf if limit is None else pdf.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).head(limit)
 
 
 def similar_pairs_lsh(vecs: DataFrame, threshold=0.75, limit=500, id_col="vec_id", vec_col="embedding",

@@ -802,4 +802,4 @@ where list_cosine_similarity(a.v, b.v) >= 0.3""")
 def _(t):
     from litgraph.operators.pairs import similar_pairs
 
-    return similar_pairs(t.embeddings, 0.3, 1_000_000).select("paper_a_id", "paper_b_id", "shared_count")
+    return similar_pairs(t.embeddings, 0.3, None).select("paper_a_id", "paper_b_id", "shared_count")

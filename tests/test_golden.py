@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from litgraph.functions import text as X, vocab as V
 from litgraph.operators import briefs, entities as E, outreach, pairs, paths, sinks
+from litgraph.plans import catalog
 from litgraph.sources import articles, metadata, model_output
 
 ENTITIES = "entity_id string, canonical_name string, aliases array<string>, primary_operation string"
@@ -212,6 +213,14 @@ def test_vector_pairs_equal_brute_force_with_copies(spark):
     assert pairs.similar_pairs(df, 0.6, 20, pivots=5, block=9).count() == 20
 
 
+def test_close_pairs_have_no_limit(spark, tmp_path):
+    n = 1500  # 1,124,250 pairs
+    rows = spark.range(n).selectExpr("id as vec_id", "array(1f, cast(id % 7 as float) / 20, cast(id % 5 as float) / 20) as embedding")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.queries()["J08_close_pairs"](spark, str(tmp_path))
+    assert got.count() == got.distinct().count() == n * (n - 1) // 2
+
+
 def test_shortest_paths_prefers_near_sources(spark):
     nodes = spark.createDataFrame([(c, "Entity", c) for c in ("aa1", "aa2", "m", "n", "bb1", "bb2")], "id string, label string, text string")
     edges = spark.createDataFrame([("aa1", "m"), ("m", "bb1"), ("bb2", "aa2"), ("aa2", "n"), ("n", "bb1")], "src string, dst string")

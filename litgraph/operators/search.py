@@ -102,18 +102,24 @@ def search_substring(papers, query: str, limit: int | None = 20) -> DataFrame:
     return cap(papers.filter(hit), [F.desc_nulls_last("published_date"), F.asc("paper_id")], limit)
 
 
-def related_by_terms(paper_id, papers, extractions, pe: DataFrame, limit=15) -> DataFrame:
-    """Papers found by a paper's entity names, re-ranked by shared entities."""
+def related_by_terms(paper_id, papers, extractions, pe: DataFrame, limit: int | None = 15) -> DataFrame:
+    """Papers whose text has any entity name or claim term of a paper, by shared entities, then by terms held.
+
+    All names and all subjects and objects of the paper's claims search (those of over four characters), and all papers
+    found are ranked before the cut. ``extractions`` may be None: no claim terms then. The paper's own terms reach the
+    other papers as one array; a term may stand anywhere in a text, so no key could join them.
+    """
     own = pe.filter((F.col("paper_id") == paper_id) & (F.length("entity") > 4)).select("entity").distinct()
-    names = [r.entity for r in cap(own, [F.asc("entity")], 15).collect()]
-    if not names:
-        return papers.limit(0).select("paper_id", F.lit(0).cast("long").alias("overlap"))
+    terms = own.select(F.lower("entity").alias("term"))
+    if extractions is not None:
+        claims = extractions.filter(F.col("paper_id") == paper_id).select(F.explode("claims").alias("c"))
+        named = claims.select(F.explode(F.array("c.subject", "c.object")).alias("term")).filter(F.length("term") > 4)
+        terms = terms.unionByName(named.select(F.lower("term").alias("term")))
+    held = terms.agg(F.collect_set("term").alias("_terms"))  # one row
     text = F.lower(F.concat_ws(" ", "title", "abstract"))
-    score = sum((contains_ci(text, n).cast("int") for n in names[1:]), contains_ci(text, names[0]).cast("int"))
-    cand = cap(papers.filter(F.col("paper_id") != paper_id).select("paper_id", score.alias("rank"))
-               .filter(F.col("rank") > 0), [F.desc("rank"), F.asc("paper_id")], limit * 2)
-    shared = pe.join(own, "entity", "left_semi").join(cand.select("paper_id"), "paper_id", "left_semi").groupBy(
-        "paper_id").agg(F.count_distinct("entity").alias("overlap"))
+    cand = papers.filter(F.col("paper_id") != paper_id).select("paper_id", text.alias("_text")).crossJoin(F.broadcast(held)).select(
+        "paper_id", F.size(F.filter("_terms", lambda n: F.col("_text").contains(n))).alias("rank")).filter(F.col("rank") > 0)
+    shared = pe.join(own, "entity", "left_semi").groupBy("paper_id").agg(F.count_distinct("entity").alias("overlap"))
     return cap(cand.join(shared, "paper_id", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0))),
                [F.desc("overlap"), F.desc("rank"), F.asc("paper_id")], limit)
 

@@ -611,7 +611,7 @@ def _(t):
 @case("X04_related_by_terms")
 def _(t):
     pe = t.docs.select("paper_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("abstract"), r"[^\p{L}]+"), lambda w: F.length(w) > 4))).alias("entity"))
-    return S.related_by_terms(1, t.docs, None, pe).select("paper_id", "overlap", "rank")
+    return S.related_by_terms(1, t.docs, t.nested_extractions(), pe).select("paper_id", "overlap", "rank")
 
 
 # --- T ---------------------------------------------------------------------------------------------

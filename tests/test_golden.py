@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litgraph.functions import text as X, vocab as V
-from litgraph.operators import briefs, entities as E, outreach, pairs, paths, sinks
+from litgraph.operators import briefs, entities as E, outreach, pairs, paths, search, sinks
 from litgraph.plans import catalog
 from litgraph.sources import articles, metadata, model_output
 
@@ -221,6 +221,21 @@ def test_close_pairs_have_no_limit(spark, tmp_path):
     assert got.count() == got.distinct().count() == n * (n - 1) // 2
 
 
+def test_related_papers_use_all_terms_and_rank_before_the_cut(spark):
+    names = [f"name{i:02d}" for i in range(20)]
+    many = " ".join(names[:15])
+    papers = spark.createDataFrame(
+        [(1, "own", many), *[(i, many, None) for i in range(10, 14)], (20, "late", "has NAME19 alone"), (21, "claims", "of kinase-x"), (22, "nothing", None),
+         (23, "one name00", "")], "paper_id long, title string, abstract string")
+    pe = spark.createDataFrame([(1, n) for n in names] + [(20, "name19")] + [(23, n) for n in names[:9]], "paper_id long, entity string")
+    claim = "array<struct<subject: string, object: string>>"
+    ext = spark.createDataFrame([(1, [("Kinase-X", None), ("name00", "of")]), (22, [("nothing", "late")])], f"paper_id long, claims {claim}")
+    rows = lambda *a: [(r.paper_id, r.overlap, r.rank) for r in search.related_by_terms(1, papers, *a).collect()]
+    assert rows(ext, pe, 2) == [(23, 9, 1), (20, 1, 1)]
+    assert rows(ext, pe) == [(23, 9, 1), (20, 1, 1), *[(i, 0, 15) for i in range(10, 14)], (21, 0, 1)]
+    assert rows(None, pe.filter("paper_id <> 1")) == []
+
+
 def test_shortest_paths_prefers_near_sources(spark):
     nodes = spark.createDataFrame([(c, "Entity", c) for c in ("aa1", "aa2", "m", "n", "bb1", "bb2")], "id string, label string, text string")
     edges = spark.createDataFrame([("aa1", "m"), ("m", "bb1"), ("bb2", "aa2"), ("aa2", "n"), ("n", "bb1")], "src string, dst string")

@@ -24,6 +24,8 @@ PLACEHOLDERS = {k: xxhash.xxh64_intdigest(v) for k, v in ((NUMBER, "<number>"),
 GLUED = re.compile(r"(?<=\d)(?=[^\W\d_]|[%°€$£])|(?<=[€$£])(?=\d)")
 TRIM = re.compile(r"^[^\w%°€$£]+|[^\w%°€$£]+$")
 FIGURE = re.compile(r"\d[\d.,:/]*")
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+"""Characters of scripts without blanks (Thai, Lao, Burmese, Khmer, kana, Han): each is a word."""
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BITMAP_BITS = 24  # the bitmap of the benchmark's windows, 2 MiB, sorts out nearly all other windows before the join
 KNOWN_WORDS = 400_000  # words a task remembers; beyond, it starts anew
@@ -59,8 +61,10 @@ class Templates:
         self.code = np.append(self.code, np.array(code, np.uint64))
         self.ends = np.append(self.ends, np.array(ends, bool))
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Codes, whether each is a slot, the words, and each code's word."""
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Codes, whether each is a slot, whether it may be a name as well (at a sentence's start), words, each code's word."""
+        if not text.isascii():
+            text = UNSPACED.sub(r" \g<0> ", text)
         words = GLUED.sub(" ", text).replace("\n", f" {BREAK} ").split()
         try:
             at = np.array([self.known[w] for w in words], np.int64)
@@ -78,24 +82,45 @@ class Templates:
         unit, name = (kind == UNIT) & after, (kind == CAPITAL) & ~begins
         for which, k in ((slot, NUMBER), (unit, UNIT), (name, CAPITAL)):
             code[which] = PLACEHOLDERS[k]
-        return code, slot | unit | name, words, place
+        return code, slot | unit | name, (kind == CAPITAL) & begins, words, place
 
 
-def window_hashes(code: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``width`` codes, and whether over half of the window is literal."""
-    n = len(code) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    total = np.zeros(n, np.uint64)
+def _hashed(code: np.ndarray, at: np.ndarray, width: int, named: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at ``at``; bit j of ``named``: word j is read as a name."""
+    total = np.zeros(len(at), np.uint64)
+    name = np.uint64(PLACEHOLDERS[CAPITAL])
     for j in range(width):
-        total = (total ^ code[j:j + n]) * MULTIPLIER
+        total = (total ^ np.where(named >> j & 1, name, code[at + j])) * MULTIPLIER
         total ^= total >> np.uint64(29)
+    return total
+
+
+def window_hashes(code: np.ndarray, slot: np.ndarray, maybe: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place and hash of each window of ``width`` codes over half of which is literal, and the bits of words read as names.
+
+    A window has one row for each choice of its ``maybe`` words to be read as names.
+    """
+    n = max(len(code) - width + 1, 0)
+    free = np.zeros(n, np.int64)
+    for j in range(width):
+        free |= maybe[j:j + n].astype(np.int64) << j
     slots = np.concatenate([[0], np.cumsum(slot)])
-    return total, 2 * (slots[width:] - slots[:n]) < width
+    slots = slots[width:][:n] - slots[:n]
+    at, named = [np.arange(n)], [np.zeros(n, np.int64)]
+    for choice in np.unique(free).tolist():  # a handful
+        places, some = np.flatnonzero(free == choice), choice
+        while some:
+            at.append(places)
+            named.append(np.full(len(places), some))
+            some = (some - 1) & choice
+    at, named = np.concatenate(at), np.concatenate(named)
+    literal = 2 * (slots[at] + np.bitwise_count(named)) < width
+    at, named = at[literal], named[literal]
+    return at, _hashed(code, at, width, named), named
 
 
-def _fillers(words: list[str], place: np.ndarray, slot: np.ndarray, at: int, width: int) -> list[str]:
-    return [TRIM.sub("", words[place[p]]).lower() if slot[p] else "" for p in range(at, at + width)]
+def _fillers(words: list[str], place: np.ndarray, slot: np.ndarray, at: int, width: int, named: int) -> list[str]:
+    return [TRIM.sub("", words[place[p]]).lower() if slot[p] or named >> (p - at) & 1 else "" for p in range(at, at + width)]
 
 
 def _windows(rows: DataFrame, width: int, bitmap: np.ndarray | None) -> DataFrame:
@@ -105,16 +130,17 @@ def _windows(rows: DataFrame, width: int, bitmap: np.ndarray | None) -> DataFram
         for batch in batches:
             row, ats, ns, hashes, fillers = [], [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
-                code, slot, words, place = templates.of(text or "")
-                total, literal = window_hashes(code, slot, width)
+                code, slot, maybe, words, place = templates.of(text or "")
+                places, total, named = window_hashes(code, slot, maybe, width)
                 if bitmap is not None:
-                    literal = literal & bitmap[total >> np.uint64(64 - BITMAP_BITS)]
-                for at in np.flatnonzero(literal).tolist():
+                    known = bitmap[total >> np.uint64(64 - BITMAP_BITS)]
+                    places, total, named = places[known], total[known], named[known]
+                for at, value, names in zip(places.tolist(), total, named.tolist()):
                     row.append(r)
                     ats.append(at)
-                    ns.append(len(total))
-                    hashes.append(total[at])
-                    fillers.append(_fillers(words, place, slot, at, width))
+                    ns.append(len(code) - width + 1)
+                    hashes.append(value)
+                    fillers.append(_fillers(words, place, slot, at, width, names))
                 if len(row) >= 20_000 or r == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0).take(pa.array(row, pa.int64())), pa.array(ats, pa.int32()), pa.array(ns, pa.int32()),
@@ -143,7 +169,8 @@ def leaks(
     """Pairs of a document and a benchmark item that it holds, as such or with other numbers, names or units.
 
     Words become template codes: numbers, units behind numbers and capitalised words inside sentences turn into typed
-    placeholders, other words are lower-cased without outer punctuation. Windows of ``width`` codes, over half of
+    placeholders, other words are lower-cased without outer punctuation. A capitalised word at the start of a sentence has
+    both readings, so its windows are hashed as either; characters of scripts without blanks are words. Windows of ``width`` codes, over half of
     them literal, are joined by hash. Windows of a pair at one shift (place in the document less place in the item)
     form a group. In a group each filler of the item should meet one filler of the document; if under ``consistency``
     of its fillers do, the group does not count. A pair is returned if the counting groups cover ``share`` of the

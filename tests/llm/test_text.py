@@ -102,6 +102,17 @@ def test_leaks(spark):
     assert got[1, 0]["exact"] and not got[2, 0]["exact"] and got[9, 1]["matched"] == got[9, 1]["item_windows"]
 
 
+def test_leaks_of_names_at_sentence_starts_and_unspaced_scripts(spark):
+    item = "Tom buys 12 red pens. Sara buys 5 blue pens. How many pens do they have?"
+    other = item.replace("Tom", "Ben").replace("Sara", "Lucy").replace("12", "17").replace("5", "8")
+    han, kana = "小明有十二个红苹果，小红有五个绿苹果，他们一共有多少个苹果？", "太郎はりんごを三つ買いました。花子は何個買いましたか。"
+    texts = [item, other, "Then she asked. " + other, f"前文{han}后文", f"x {kana} y", "小明今天没有来上学因为下雨了", other.replace("pens", "cups"),
+             other.replace("buys", "sells"), item.upper()]
+    got = leaks_of(spark, texts, [item, han, kana])
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 2), (8, 0)}
+    assert got[0, 0]["exact"] and got[3, 1]["exact"] and not got[1, 0]["exact"] and got[1, 0]["matched"] == got[1, 0]["item_windows"]
+
+
 def test_slots_must_be_consistent(spark):
     item = "take 4 red balls and 4 blue balls then put 4 of them back with 4 more green ones from the box"
     steady, mixed = item.replace("4", "9"), item

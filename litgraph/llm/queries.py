@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litgraph.llm import chat, dac, decontaminate, exact_dedup, language, packing, repeats, sharding, simhash, url_filter
+from litgraph.llm import (
+    chat, dac, decontaminate, exact_dedup, language, negatives, packing, repeats, sharding, simhash, url_filter, whitening,
+)
 from litgraph.llm.common import table
 
 
@@ -74,6 +76,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(
+        table(spark, sf_dir, "embeddings"), noise="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_repeated_strings": op2_repeated_strings,
@@ -85,6 +96,8 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -107,4 +120,23 @@ ORACLE_SQL = {
           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
           sum(chars)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id""",
+    "op13_hard_negatives": """
+        WITH rows AS MATERIALIZED (
+          SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        scored AS MATERIALIZED (
+          SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+          FROM rows a, rows b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+          SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+               other_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3""",
 }

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litgraph.llm import (
-    chat, dac, decontaminate, exact_dedup, language, negatives, packing, repeats, sharding, simhash, url_filter, whitening,
+    chat, dac, decontaminate, exact_dedup, language, negatives, packing, quality, repeats, sharding, simhash, url_filter,
+    whitening,
 )
 from litgraph.llm.common import table
 
@@ -80,6 +81,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(
         table(spark, sf_dir, "embeddings"), noise="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
@@ -97,6 +103,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_hard_negatives": op13_hard_negatives,
 }
 

@@ -37,7 +37,7 @@ class Lists:
 
     def shown(self, anchors: np.ndarray, depth: int) -> np.ndarray:
         """Rows that some anchor meets in the first ``depth`` places of its lists, read from the end its sign asks for."""
-        seen = np.zeros(len(self.ids), bool)
+        seen = np.full(len(self.ids), depth >= len(self.ids))  # at the end all rows are met, by an anchor of zeros too
         seen[self.falling[(anchors > 0).any(axis=0), :depth]] = True
         seen[self.falling[(anchors < 0).any(axis=0), -depth:]] = True
         return seen
@@ -101,8 +101,7 @@ def search(lists: Lists, anchors: np.ndarray, allowed: np.ndarray, low: np.ndarr
 
 
 def _columns(frame: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = frame["id"].fillna(NO_ID).to_numpy(np.int64) if frame["id"].isna().any() else frame["id"].to_numpy(np.int64)
-    return ids, frame["label"].to_numpy(np.int64), np.stack(frame["x"].to_numpy()).reshape(len(frame), width).astype(np.int64)
+    return frame["id"].to_numpy(np.int64), frame["label"].to_numpy(np.int64), np.stack(frame["x"].to_numpy()).reshape(len(frame), width).astype(np.int64)
 
 
 def _meet(width: int, k: int, windows: bool):
@@ -156,19 +155,19 @@ def mine(
 
     Rows that repeat id, label and vector count once; rows of one id with other labels or vectors each count, and an
     anchor is never its own positive by id. A null id is a candidate (last of equals, and returned as null), and an
-    anchor only if ``is_anchor`` says so. Vectors shorter than the longest are filled up with zeros. Scores must fit
+    anchor only if ``is_anchor`` says so. Vectors shorter than the longest are filled up with zeros, empty ones as well. Scores must fit
     into a long. Empty input gives no rows; other columns are ignored.
     """
     spark = table.sparkSession
     label = F.expr(noise) if noise else F.col(label_col)
     rows = table.filter(F.col(label_col).isNotNull() & is_whole(vector_col)).select(
-        F.col(id_col).cast("long").alias("id"), label.cast("long").alias("label"), integers(vector_col, scale).alias("x"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), label.cast("long").alias("label"), integers(vector_col, scale).alias("x"),
         F.coalesce(F.expr(is_anchor), F.lit(False)).alias("is_anchor"))
-    rows, width = padded(rows, "x")
+    rows, width = padded(rows, "x", 1)
     rows = staged(rows.distinct().withColumn("anchor", F.monotonically_increasing_id()), "vectors")
     total, chosen = rows.select(F.count("*"), F.count_if("is_anchor")).first()
     schema = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
-    if not chosen or not width:
+    if not chosen:
         return spark.createDataFrame([], schema)
     blocks, groups = -(-total // BLOCK), -(-chosen // ANCHORS)
     deal = F.xxhash64("anchor")
@@ -191,5 +190,5 @@ def mine(
     whole = hard.join(named, ["anchor", "place"]).join(anchors.select("anchor", F.col("id").alias("anchor_id")), "anchor")
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return whole.select(
-        "anchor_id", null("positive").alias("positive_id"), F.col("rank").cast("int").alias("rank"), null("found").alias("negative_id"),
+        null("anchor_id").alias("anchor_id"), null("positive").alias("positive_id"), F.col("rank").cast("int").alias("rank"), null("found").alias("negative_id"),
         "positive_score", F.col("score").alias("negative_score"))

@@ -142,7 +142,7 @@ class AttentionModel:
         a, b = np.tanh(h @ p["A"]), 1 / (1 + np.exp(-(h @ p["B"])))
         return h, a, b, np.exp(np.clip((a * b) @ p["w"], -30, 30))
 
-    def fit(self, features: np.ndarray, owner: np.ndarray, good: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4) -> AttentionModel:
+    def fit(self, features: np.ndarray, owner: np.ndarray, good: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 3e-3, decay: float = 1e-2) -> AttentionModel:
         """Adam on documents' logistic loss; ``owner`` is each passage's document, in order; ``weight`` each document's."""
         if not good.any() or good.all():
             self.constant = float((good.sum() + 1) / (len(good) + 2))

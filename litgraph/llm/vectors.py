@@ -24,12 +24,13 @@ def integers(vector: str, scale: int = 256) -> Column:
     return F.transform(F.col(vector).cast("array<double>"), lambda c: F.floor(c * scale))
 
 
-def padded(rows: DataFrame, vector: str) -> tuple[DataFrame, int]:
-    """Vectors filled up with zeros to the length of the longest one, and that length (0: no rows)."""
+def padded(rows: DataFrame, vector: str, shortest: int = 0) -> tuple[DataFrame, int]:
+    """Vectors filled up with zeros to the length of the longest one (``shortest`` at least), and that length."""
     least, most = rows.select(F.min(F.size(vector)), F.max(F.size(vector))).first()
-    if most and least < most:
-        rows = rows.withColumn(vector, F.concat(vector, F.array_repeat(F.lit(0).cast("long"), F.lit(most) - F.size(vector))))
-    return rows, most or 0
+    width = max(most or 0, shortest)
+    if least is not None and least < width:
+        rows = rows.withColumn(vector, F.concat(vector, F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size(vector))))
+    return rows, width
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:

@@ -118,8 +118,8 @@ def _meet(width: int, k: int, windows: bool):
                 given = np.zeros((len(anchors), wide), bool)
                 for g, values in enumerate(anchors["positive"]):
                     scores[g, :len(values)], given[g, :len(values)] = values, True
-                low = np.where(given, -(-scores * 50 // 100), 1)  # 50 p <= 100 s <= 95 p in whole numbers
-                high = np.where(given, 95 * scores // 100, 0)
+                low = np.where(given, -(-scores // 2), 1)  # 50 p <= 100 s <= 95 p in whole numbers, without overflow
+                high = np.where(given, scores // 100 * 95 + scores % 100 * 95 // 100, 0)
                 met = search(lists, x, ~same, low, high, k)
             else:
                 other = (ids[:, None] != lists.ids[None, :]) | (ids[:, None] == NO_ID)

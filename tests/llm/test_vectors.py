@@ -253,4 +253,4 @@ def test_negatives_of_odd_tables(spark):
     zero = negatives.mine(vectors_of(spark, [(0, [0.0], 1), (1, [1.0], 1), (2, [1.0], 2), (3, [1.0], 2)])).collect()
     assert [tuple(r) for r in zero] == [(0, 1, 1, 2, 0, 0), (0, 1, 2, 3, 0, 0)]
     large = [(0, [3e13], 1), (1, [3e13], 1), (2, [2e13], 2)]
-    assert len(negatives.mine(vectors_of(spark, [(i, [v[0] / 1e6], m) for i, v, m in large])).collect()) == 1
+    assert len(negatives.mine(vectors_of(spark, [(i, [v[0] / 1e7], m) for i, v, m in large])).collect()) == 1

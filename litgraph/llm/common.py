@@ -29,6 +29,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a scratch table that no later step reads."""
+    for name in df.inputFiles()[:1]:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard_scratch(spark: SparkSession) -> None:
     """Deletes all scratch tables of this application; call it once their results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))

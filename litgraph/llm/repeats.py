@@ -6,13 +6,16 @@ positional Burrows-Wheeler transform is extended backwards, breadth first, until
 1. Every window has one anchor, its least 32-byte gram (leftmost of equals). Equal windows have equal anchors at equal
    places, so they can only meet in windows of the same anchor. Windows of one anchor are cut, by their distance to it,
    into pieces of at most WIDTHS[0] windows that all hold a common core.
-2. Pieces meet by core. A piece whose whole text repeats is covered. One whose core is alone is not. The others go on.
+2. Pieces meet by core, in one order over all of them, so pieces of a common core spread over many tasks. A piece whose
+   whole text repeats is covered. One whose core is alone is not. The others go on.
 3. In a group of one core, a piece is left bytes, core, right bytes. Suffixes are sorted by their right bytes; with the
    core as one symbol their common prefixes have at least the core's length. Each round puts one more left byte in
    front: an interval of suffixes is split by the byte before it, as a backward search step on the transform does, and
    all common prefixes grow by one. Intervals of one suffix are abandoned. A window is repeated if a neighbour of its
-   interval shares enough of its right bytes, so the search ends at the least length. Groups over GROUP pieces are cut
-   into narrower pieces with longer cores, down to single windows, and meet again.
+   interval shares enough of its right bytes, so the search ends at the least length.
+4. Groups over GROUP pieces do not fit a task's memory. They are split by longer common prefixes: each piece is cut into
+   pieces of fewer windows, whose cores take in more bytes of both sides, and the same search goes on in the smaller
+   groups. At one window there is nothing left to extend: all pieces of a group are equal strings.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litgraph.llm.common import parts, staged, text_of
+from litgraph.llm.common import discard, parts, staged, text_of
 
 GRAM = 32
-WIDTHS = (128, 8, 1)
-GROUP = 4096
+WIDTHS = (128, 16, 2, 1)
+GROUP = 4096  # pieces that one task extends together
 SLICE = 1 << 22  # window starts of one text at once; places fit into 24 bits
 CHUNK = 1 << 23  # bytes of text among which a task combines equal pieces before they shuffle
 
@@ -63,7 +66,7 @@ def _anchors(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def pieces_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """(core, whole, first, last, place): hashes, first and last window and the core's place of each piece."""
+    """(core, whole, whole2, first, last, place): hashes, first and last window and the core's place of each piece."""
     width, found = WIDTHS[0], []
     for at in range(0, len(text) - length + 1, SLICE):
         own = text[at:at + SLICE + length - 1]
@@ -75,57 +78,55 @@ def pieces_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
         place = anchor[new] - band[new] * width
         hold = length - width + 1
         core = [xxhash.xxh64_intdigest(own[p:p + hold], b) for p, b in zip(place.tolist(), band[new].tolist())]
-        whole = [xxhash.xxh64_intdigest(own[a:z + length], p - a) for a, z, p in zip(new.tolist(), last.tolist(), place.tolist())]
-        found.append((np.array(core, np.uint64).view(np.int64), np.array(whole, np.uint64).view(np.int64), new + at, last + at, place + at))
+        whole = b"".join([xxhash.xxh3_128_digest(own[a:z + length], p - a) for a, z, p in zip(new.tolist(), last.tolist(), place.tolist())])
+        whole = np.frombuffer(whole, np.int64).reshape(-1, 2)
+        found.append((np.array(core, np.uint64).view(np.int64), whole[:, 0], whole[:, 1], new + at, last + at, place + at))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-ROW = "core bigint, whole bigint, many boolean, row bigint, first int, last int, place int"
+ROW = "core bigint, whole bigint, whole2 bigint, many boolean, row bigint, row2 bigint, first int, last int, place int"
+NAMES = ("core", "whole", "whole2", "many", "row", "row2", "first", "last", "place")
 
 
-def _rows(core, whole, many, row, first, last, place) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(core, pa.int64()), pa.array(whole, pa.int64()), pa.array(many, pa.bool_()), pa.array(row, pa.int64()),
-         *(pa.array(x, pa.int64()).cast(pa.int32()) for x in (first, last, place))],
-        ["core", "whole", "many", "row", "first", "last", "place"])
+def _rows(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    kinds = {"many": pa.bool_(), "first": pa.int32(), "last": pa.int32(), "place": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c]).cast(kinds.get(c, pa.int64())) for c in NAMES], list(NAMES))
 
 
 def _scan(length: int):
     """(row, text) to pieces. Equal pieces of a chunk become one row marked ``many``; each is covered (place -1)."""
     def joined(rows: list[tuple]) -> pa.RecordBatch:
-        core, whole, first, last, place, row = (np.concatenate(x) for x in zip(*rows))
-        order = np.lexsort((whole, core))
-        same = np.zeros(len(order) + 1, bool)
-        same[1:-1] = (core[order][1:] == core[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-        many = np.zeros(len(order), bool)
+        x = dict(zip(("core", "whole", "whole2", "first", "last", "place", "row", "row2"), (np.concatenate(c) for c in zip(*rows))))
+        n = len(x["core"])
+        order = np.lexsort((x["whole2"], x["whole"], x["core"]))
+        same = np.zeros(n + 1, bool)
+        same[1:-1] = np.logical_and.reduce([x[k][order][1:] == x[k][order][:-1] for k in ("core", "whole", "whole2")])
+        many = np.zeros(n, bool)
         many[order] = same[1:] | same[:-1]
-        lead = np.zeros(len(order), bool)
+        lead = np.zeros(n, bool)
         lead[order] = ~same[:-1]
-        covered = np.flatnonzero(many)
+        sent = {k: v[lead] for k, v in x.items()} | {"many": many[lead]}
         # windows of neighbouring covered pieces of a row become one
-        row_c, first_c, last_c = row[covered], first[covered], last[covered]
-        new = np.ones(len(covered), bool)
-        new[1:] = (row_c[1:] != row_c[:-1]) | (first_c[1:] != last_c[:-1] + 1)
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(covered)) - 1
-        sent = np.flatnonzero(lead)
-        n = len(begin)
-        return _rows(
-            np.concatenate([core[sent], row_c[begin]]), np.concatenate([whole[sent], np.zeros(n, np.int64)]),
-            np.concatenate([many[sent], np.ones(n, bool)]), np.concatenate([row[sent], row_c[begin]]),
-            np.concatenate([first[sent], first_c[begin]]), np.concatenate([last[sent], last_c[end]]),
-            np.concatenate([place[sent], np.full(n, -1)]))
+        c = {k: x[k][many] for k in ("row", "row2", "first", "last")}
+        new = np.ones(len(c["row"]), bool)
+        new[1:] = (c["row"][1:] != c["row"][:-1]) | (c["row2"][1:] != c["row2"][:-1]) | (c["first"][1:] != c["last"][:-1] + 1)
+        ends = np.append(new[1:], True)[:len(new)]
+        nothing = np.zeros(int(new.sum()), np.int64)
+        covered = {k: c[k][new] for k in ("row", "row2", "first")} | {
+            "core": c["row"][new], "whole": nothing, "whole2": nothing, "many": nothing == 0, "last": c["last"][ends], "place": nothing - 1}
+        return _rows({k: np.concatenate([sent[k], covered[k]]) for k in NAMES})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row, row2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = text.as_buffer().to_pybytes()
                 if len(raw) >= length:
                     found = pieces_of(raw, length)
-                    held.append((*found, np.full(len(found[0]), row)))
+                    n = len(found[0])
+                    held.append((*found, np.full(n, row), np.full(n, row2)))
                     size += len(raw)
                 if size >= CHUNK:
                     yield joined(held)
@@ -135,49 +136,42 @@ def _scan(length: int):
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], list[np.ndarray]]]:
-    """Sorted rows with, per key, whether the row before and the row behind have an equal one (keys nest)."""
-    held = None
-    def judged(x: dict[str, np.ndarray], keep_first: bool, keep_last: bool):
-        n = len(next(iter(x.values())))
-        own = slice(0 if keep_first else 1, n if keep_last else n - 1)
-        equal, flags = np.ones(n - 1, bool), []
-        for k in keys:
-            equal = equal & (x[k][1:] == x[k][:-1])
-            flags.append((np.append(False, equal)[own], np.append(equal, False)[own]))
-        return {k: v[own] for k, v in x.items()}, flags
-    begun = False
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in the order of (core, whole): covered windows (place -1), and one piece of each whole whose core has others.
+
+    The first and the last piece of a task are sent on in any case, as their core may go on in another task.
+    """
+    def judged(x: dict[str, np.ndarray], begins: bool, ends: bool) -> pa.RecordBatch:
+        n = len(x["core"])
+        core = x["core"][1:] == x["core"][:-1]
+        whole = core & (x["whole"][1:] == x["whole"][:-1]) & (x["whole2"][1:] == x["whole2"][:-1])
+        repeated = np.append(False, whole) | np.append(whole, False)
+        other = np.append(begins, core & ~whole) | np.append(core & ~whole, ends)
+        settled = x["place"] < 0
+        own = np.arange(0 if begins else 1, n if ends else n - 1)
+        covered = own[(settled | (repeated & ~x["many"]))[own]]
+        asked = own[(~settled & other)[own]]
+        pick = np.concatenate([covered, asked])
+        place = x["place"][pick].copy()
+        place[:len(covered)] = -1
+        return _rows({k: v[pick] for k, v in x.items()} | {"place": place, "many": (x["many"] | repeated)[pick]})
+
+    held, begins = None, True
     for batch in batches:
         if not batch.num_rows:
             continue
         now = {f: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema.names)}
         held = now if held is None else {k: np.concatenate([held[k], v]) for k, v in now.items()}
-        n = len(held[keys[0]])
-        if n > 2:
-            yield judged(held, not begun, False)
-            held, begun = {k: v[-2:] for k, v in held.items()}, True
+        if len(held["core"]) > 2:
+            yield judged(held, begins, False)
+            held, begins = {k: v[-2:] for k, v in held.items()}, False
     if held is not None:
-        yield judged(held, not begun, True)
+        yield judged(held, begins, True)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by (core, whole): covered windows (place -1), and the pieces whose core has other wholes."""
-    for x, ((core_before, core_after), (before, after)) in _neighbours(batches, ("core", "whole")):
-        settled = x["place"] < 0
-        repeated = before | after
-        covered = settled | (repeated & ~x["many"])
-        other = (core_before & ~before) | (core_after & ~after)
-        asked = ~settled & other
-        pick = np.concatenate([np.flatnonzero(covered), np.flatnonzero(asked)])
-        n = int(covered.sum())
-        place = x["place"][pick].copy()
-        place[:n] = -1
-        many = (x["many"] | repeated)[pick]
-        yield _rows(x["core"][pick], x["whole"][pick], many, x["row"][pick], x["first"][pick], x["last"][pick], place)
-
-
-FLANKS = "core bigint, many boolean, row bigint, place int, least int, most int, left binary, right binary"
+FLANKS = "core binary, many boolean, row bigint, row2 bigint, place int, least int, most int, left binary, right binary"
 """``least`` and ``most``: bytes before the core of the shortest and the longest reach to the left of the windows."""
+RUN = "row bigint, row2 bigint, first int, last int"
 
 
 def _cut_flanks(length: int):
@@ -185,17 +179,19 @@ def _cut_flanks(length: int):
         hold = length - WIDTHS[0] + 1
         for batch in batches:
             out = []
-            for row, text, asks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for row, row2, text, asks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 raw = text.as_buffer().to_pybytes()
-                out += [(a["core"], a["many"], row, a["place"], a["place"] - a["last"], a["place"] - a["first"],
-                         raw[a["first"]:a["place"]], raw[a["place"] + hold:a["last"] + length]) for a in asks]
+                for a in asks:
+                    at = a["place"]
+                    core = xxhash.xxh3_128_digest(raw[at:at + hold]) + a["core"].to_bytes(8, "little", signed=True)
+                    out.append((core, a["many"], row, row2, at, at - a["last"], at - a["first"], raw[a["first"]:at], raw[at + hold:a["last"] + length]))
             yield _flank_batch(out)
     return run
 
 
 def _flank_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    names = ("core", "many", "row", "place", "least", "most", "left", "right")
+    kinds = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    names = ("core", "many", "row", "row2", "place", "least", "most", "left", "right")
     columns = list(zip(*rows)) if rows else [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], list(names))
 
@@ -211,10 +207,8 @@ def _narrow(width: int, to: int):
                     least, most = max(r["least"], band * to), min(r["most"], band * to + to - 1)
                     inner, beyond = band * to, width - to - band * to  # bytes of either side that join the core
                     mid = len(left) - inner
-                    key = xxhash.xxh64_intdigest(
-                        left[mid:] + b"|" + right[:beyond] + r["core"].to_bytes(8, "little", signed=True), band)
-                    key -= (key >> 63) << 64
-                    out.append((key, r["many"], r["row"], r["place"] - inner, least - inner, most - inner,
+                    key = xxhash.xxh3_128_digest(r["core"] + left[mid:] + right[:beyond], band)
+                    out.append((key, r["many"], r["row"], r["row2"], r["place"] - inner, least - inner, most - inner,
                                 left[mid - (most - inner):mid], right[beyond:width - 1 - least]))
             yield _flank_batch(out)
     return run
@@ -277,19 +271,19 @@ def expand(group: np.ndarray, left: list[bytes], right: list[bytes], width: int)
 def _search(width: int, rows_at_once: int = 20_000):
     """Flanks sorted by core to covered windows (row, first, last)."""
     def found(x: dict[str, list]) -> pa.RecordBatch:
-        core = np.array(x["core"], np.int64)
-        group = np.concatenate([[0], np.cumsum(core[1:] != core[:-1])])
+        group = np.cumsum([0, *(a != b for a, b in zip(x["core"][1:], x["core"]))])
         covered = expand(group, x["left"], x["right"], width)
         covered &= ~np.array(x["many"], bool)[:, None]  # these are covered already
         edge = np.diff(np.pad(covered.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         piece, begin = np.nonzero(edge == 1)
         _, stop = np.nonzero(edge == -1)
-        place, row = np.array(x["place"], np.int64)[piece], np.array(x["row"], np.int64)[piece]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(row, pa.int64()), pa.array(place - stop + 1, pa.int32()), pa.array(place - begin, pa.int32())], ["row", "first", "last"])
+        place = np.array(x["place"], np.int64)[piece]
+        columns = [np.array(x[k], np.int64)[piece] for k in ("row", "row2")] + [place - stop + 1, place - begin]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds)], ["row", "row2", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("core", "many", "row", "place", "left", "right")
+        names = ("core", "many", "row", "row2", "place", "left", "right")
         held = {k: [] for k in names}
         for batch in batches:
             for k in names:
@@ -306,14 +300,6 @@ def _search(width: int, rows_at_once: int = 20_000):
     return run
 
 
-def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of one window, sorted by core: the window is the core, so equal neighbours cover each other."""
-    for x, ((before, after),) in _neighbours(batches, ("core",)):
-        pick = np.flatnonzero((before | after) & ~x["many"])
-        place = pa.array(x["place"][pick], pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(x["row"][pick], pa.int64()), place, place], ["row", "first", "last"])
-
-
 def _free(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of finished steps, which it does once their plans are garbage."""
     gc.collect()
@@ -321,27 +307,28 @@ def _free(spark: SparkSession) -> None:
 
 
 def covered_windows(rows: DataFrame, length: int) -> DataFrame:
-    """(row, first, last): runs of window starts of ``rows`` (row, text as binary) whose strings start elsewhere too."""
+    """(row, row2, first, last): runs of window starts of ``rows`` (row, row2, text as binary) whose strings start elsewhere too."""
     if length < 2 * WIDTHS[0]:
         raise ValueError(f"length must be at least {2 * WIDTHS[0]}")
     spark = rows.sparkSession
     n = parts(spark)
-    met = rows.mapInArrow(_scan(length), ROW).repartition(n, "core").sortWithinPartitions("core", "whole")
-    met = staged(met.mapInArrow(_meet, ROW), "pieces")
+    pieces = staged(rows.mapInArrow(_scan(length), ROW), "pieces")
+    order = ("core", "whole", "whole2")
+    met = staged(pieces.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_meet, ROW), "met")
+    discard(pieces)
     _free(spark)
-    results = [met.filter("place < 0").select("row", "first", "last")]
-    asks = met.filter("place >= 0").groupBy("row").agg(
-        F.collect_list(F.struct("core", "many", "first", "last", "place")).alias("asks"))
-    flanks = staged(rows.join(asks, "row").select("row", "text", "asks").mapInArrow(_cut_flanks(length), FLANKS), "flanks")
+    results = [met.filter("place < 0").select("row", "row2", "first", "last")]
+    asks = met.filter("place >= 0").groupBy("row", "row2").agg(  # of one text's pieces; rows that repeat it add none
+        F.collect_set(F.struct("core", "many", "first", "last", "place")).alias("asks"))
+    flanks = staged(rows.join(asks, ["row", "row2"]).select("row", "row2", "text", "asks").mapInArrow(_cut_flanks(length), FLANKS), "flanks")
     _free(spark)
     for width, narrower in zip(WIDTHS, [*WIDTHS[1:], 0]):
+        sizes = staged(flanks.groupBy("core").count().filter("count > 1"), "group-sizes")
         if width == 1:
-            results.append(flanks.select("core", "many", "row", "place").repartition(n, "core").sortWithinPartitions(
-                "core").mapInArrow(_singles, "row bigint, first int, last int"))
+            results.append(flanks.filter("NOT many").join(sizes, "core", "left_semi").select("row", "row2", F.col("place").alias("first"), F.col("place").alias("last")))
             break
-        large = staged(flanks.groupBy("core").count().filter(F.col("count") > GROUP).select("core"), "large-groups")
-        small = flanks.join(large, "core", "left_anti").repartition(n, "core").sortWithinPartitions("core")
-        results.append(small.mapInArrow(_search(width), "row bigint, first int, last int"))
+        small, large = sizes.filter(F.col("count") <= GROUP), sizes.filter(F.col("count") > GROUP)
+        results.append(flanks.join(small, "core", "left_semi").repartition(n, "core").sortWithinPartitions("core").mapInArrow(_search(width), RUN))
         if not large.take(1):
             break
         flanks = staged(flanks.join(large, "core", "left_semi").mapInArrow(_narrow(width, narrower), FLANKS), "flanks")
@@ -378,18 +365,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """One row per input row: ``id_col``, n_bytes, n_removed, spans (start, stop of each removed run), kept (bytes), kept_sha256.
 
     Each byte is removed that is covered by a string of ``length`` bytes which also starts anywhere else, in the same
-    document or another one; matches never cross documents and are judged on the whole input. Strings are compared by
-    64-bit hashes of core and whole piece and, next to the core, by their bytes.
+    document or another one; matches never cross documents and are judged on the whole input. Cores and whole pieces are
+    compared by 128-bit hashes, the bytes next to a core one by one.
 
     Null text is empty; texts under ``length`` bytes stay whole. Rows that repeat id and text cover each other. Empty
     input gives no rows; other columns are ignored. ``length`` is 256 at least.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("id", "text"))
-    covered = staged(covered_windows(rows.select("row", "text"), length), "covered")
+    rows = rows.withColumns({"row": F.xxhash64("id", "text"), "row2": F.xxhash64(F.lit(length), "text", "id")})
+    covered = staged(covered_windows(rows.select("row", "row2", "text"), length), "covered")
     _free(docs.sparkSession)
-    runs = covered.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = covered.groupBy("row", "row2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.join(runs, "row", "left").select("id", "text", "runs").mapInArrow(
+    return rows.join(runs, ["row", "row2"], "left").select("id", "text", "runs").mapInArrow(
         _kept(length), f"id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary, kept_sha256 string",
     ).withColumnRenamed("id", id_col)

@@ -50,6 +50,30 @@ def test_repeats_equal_brute_force(spark, monkeypatch, group):
     assert got == sorted([(*w, d) for w, (d, _) in zip(want, rows)], key=str)
 
 
+def test_texts_without_repeats(spark):
+    rnd = random.Random(6)
+    unique = [(i, "".join(rnd.choice("abcdefghij ") for _ in range(rnd.randint(395, 2500)))) for i in range(40)]
+    for rows in (unique[:1], unique):
+        got = removed(repeats.remove_repeats(frame(spark, rows)))
+        assert got == sorted([(len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest(), d) for d, t in rows], key=str)
+    rows = unique + [(100 + i, unique[0][1] if i % 2 else unique[1][1][:450]) for i in range(20)]
+    df = frame(spark, rows[:40]).coalesce(1).unionByName(frame(spark, rows[40:]).coalesce(1))  # one partition without repeats
+    want = removed_by_force([t.encode() for _, t in rows], 400)
+    assert removed(repeats.remove_repeats(df)) == sorted([(*w, d) for w, (d, _) in zip(want, rows)], key=str)
+
+
+@pytest.mark.parametrize("group", [4096, 20])
+def test_one_core_in_very_many_different_texts(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rnd = random.Random(11)
+    core = "".join(rnd.choice("klmnopqrstuvwxyz ") for _ in range(430))
+    noise = lambda n: "".join(rnd.choice("abc") for _ in range(n))
+    rows = [(i, noise(rnd.randint(0, 60)) + core[rnd.randint(0, 40):430 - rnd.randint(0, 40)] + noise(rnd.randint(0, 60))) for i in range(400)]
+    rows += [(7, rows[7][1])] * 3 + [(7, rows[8][1])]  # a repeated row, an id with two texts
+    want = removed_by_force([t.encode() for _, t in rows], 400)
+    assert removed(repeats.remove_repeats(frame(spark, rows))) == sorted([(*w, d) for w, (d, _) in zip(want, rows)], key=str)
+
+
 def test_repeats_in_one_long_text(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SLICE", 5000)  # texts over it are read in parts
     rnd = random.Random(1)

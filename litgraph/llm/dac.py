@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from litgraph.llm.common import parts, scratch_folder, text_of
-from litgraph.llm.tokens import encoder, in_groups
+from litgraph.llm.tokens import ChunkEncoder, in_groups
 
 MAGIC = 0x31434144  # "DAC1"
 CHUNK_BITS = 8
@@ -127,6 +127,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start = TaskContext.get().partitionId(), 0, 0
         held_ids, held_counts, held_docs, held = [], [], [], 0
+        encoder = ChunkEncoder(tokenizer, keeps_blanks)
 
         def emit() -> pa.RecordBatch:
             counts = np.concatenate(held_counts)
@@ -139,7 +140,7 @@ def write_tokens(
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in in_groups(texts):
-                ids, counts = encoder(tokenizer, keeps_blanks).encode(texts[a:b], end)
+                ids, counts = encoder.encode(texts[a:b], end)
                 held_ids.append(ids)
                 held_counts.append(counts)
                 held_docs.append(batch.column(0).slice(a, b - a))

@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from litgraph.llm.common import staged, text_of
-from litgraph.llm.tokens import encoder, in_groups
+from litgraph.llm.tokens import ChunkEncoder, in_groups
 
 
 def piece_lengths(tokens: int, capacity: int, slack: float, least: int) -> list[int]:
@@ -40,16 +39,17 @@ def _pieces(docs: DataFrame, tokenizer: str, keeps_blanks: bool, end: int, capac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, filled = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder = ChunkEncoder(tokenizer, keeps_blanks)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in in_groups(texts):
-                ids, counts = encoder(tokenizer, keeps_blanks).encode(texts[a:b], end)
+                ids, counts = encoder.encode(texts[a:b], end)
                 raw, at, rows = ids.astype("<u4").tobytes(), 0, []
                 for doc, n in enumerate(counts.tolist()):
                     start = 0
                     for length in piece_lengths(n, capacity, slack, least):
                         k, own = capacity // length, raw[4 * (at + start):4 * (at + start + length)]
-                        rows.append((doc, start, length, zlib.crc32(own), n, k, filled[k], own))
+                        rows.append((doc, start, length, zlib.crc32(own), n, k, filled[k], own if with_ids else None))
                         filled[k] += 1
                         start += length
                     at += n
@@ -66,21 +66,16 @@ def _pieces(docs: DataFrame, tokenizer: str, keeps_blanks: bool, end: int, capac
     return docs.mapInArrow(run, schema + (", ids binary" if with_ids else ""))
 
 
-def _first_fit(capacity: int, used: int):
-    """Packs the few pieces that fill no sequence of their class; sequences are numbered from ``used``."""
-    def run(left: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["length", "class", "at"], ascending=[False, True, True], kind="stable")
-        free, sequence, offset = np.zeros(0, np.int64), [], []
-        for length in left["length"].tolist():
-            fits = np.flatnonzero(free >= length)
-            if not len(fits):
-                free = np.append(free, capacity)
-                fits = [len(free) - 1]
-            sequence.append(used + int(fits[0]))
-            offset.append(capacity - int(free[fits[0]]))
-            free[fits[0]] -= length
-        return left.drop(columns=["class", "at"]).assign(sequence_id=sequence, offset=offset)
-    return run
+def first_fit(totals: dict[int, int], capacity: int) -> dict[int, int]:
+    """A bin for each class's rest: the first one with room, larger rests before smaller ones."""
+    free, bins = [], {}
+    for k, total in sorted(totals.items(), key=lambda x: (-x[1], x[0])):
+        at = next((n for n, room in enumerate(free) if room >= total), len(free))
+        if at == len(free):
+            free.append(capacity)
+        free[at] -= total
+        bins[k] = at
+    return bins
 
 
 def pack(
@@ -93,7 +88,8 @@ def pack(
     holds pieces of capacity // (k + 1) + 1 to capacity // k tokens, k of which fill a sequence, whichever they are;
     so each input partition numbers its pieces of a class alone, and only the counts per partition and class meet, to
     give every partition its range of places. Each class ends with fewer than k pieces that fill no sequence, under
-    ``capacity`` tokens a class at any size of input; these are packed together, first fit by falling length.
+    ``capacity`` tokens a class at any size of input; such rests stay whole and share sequences, first fit by falling
+    total. Only the classes' totals, ``capacity`` numbers at most, reach the driver for that.
 
     One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids
     (little-endian 32-bit numbers). The piece's place in its partition is written to the shared folder before use, so
@@ -113,13 +109,13 @@ def pack(
     placed = placed.withColumn("at", F.col("before") + F.col("rank"))
     keep = ["id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
 
-    in_bin = F.col("at") < F.col("whole") * F.col("class")
-    full = placed.filter(in_bin).withColumn("sequence_id", F.col("first") + F.expr("at div class"))
-    in_order = Window.partitionBy("sequence_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    full = full.select(*keep, "sequence_id", F.coalesce(F.sum("length").over(in_order), F.lit(0)).alias("offset"))
-
-    left = placed.filter(~in_bin).select(*keep, "class", "at")
+    whole = F.col("at") < F.col("whole") * F.col("class")
+    rests = {r["class"]: r["n"] for r in placed.filter(~whole).groupBy("class").agg(F.sum("length").alias("n")).collect()}
     used = bins.agg(F.sum("whole")).first()[0] or 0
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema.fields if f.name not in ("class", "at"))
-    left = left.groupBy().applyInPandas(_first_fit(capacity, used), f"{schema}, sequence_id bigint, offset bigint")
-    return full.unionByName(left).withColumnRenamed("id", id_col)
+    homes = [(k, used + n) for k, n in first_fit(rests, capacity).items()]
+    homes = docs.sparkSession.createDataFrame(homes, "class bigint, home bigint")
+    placed = placed.join(F.broadcast(homes), "class", "left").withColumn(
+        "sequence_id", F.when(whole, F.col("first") + F.expr("at div class")).otherwise(F.col("home")))
+    in_order = Window.partitionBy("sequence_id").orderBy("class", "at").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(in_order), F.lit(0))
+    return placed.select(*keep, "sequence_id", offset.alias("offset")).withColumnRenamed("id", id_col)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
@@ -24,6 +27,9 @@ PIECE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]+|[!-&
 """Runs of letters, digits, marks (but for apostrophes) and line feeds, between which both tokenizers break."""
 
 
+LOW_LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+")
+LETTERS_BEHIND_BLANK = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
 ALONE = re.compile(r"([.,]) (?<=[^\W_][.,] )")
 """A full stop or comma behind a letter or digit of any script; behind all else it may belong to a longer token."""
 
@@ -62,24 +68,24 @@ class _Codes(dict):
 class ChunkEncoder:
     """Ids of whole texts. Both public files break tokens at a single blank, so chunks between blanks are encoded once.
 
-    A new chunk is put together from its pieces (see PIECE), if it is made of these alone; only pieces that are new as
-    well reach the tokenizer. ``keeps_blanks``: the tokenizer joins a blank to the word behind it (byte_bpe), else
-    white space is dropped and letters are lower-cased (word_bpe). The special tokens' strings in a text are ordinary
-    text. ``remember`` bounds the chunks kept; pieces are kept in two ages of that size, so those in use stay.
+    A new chunk is put together from its pieces (see PIECE), if it is made of these alone. Pieces of letters are encoded
+    many at a time, as one text, and told apart by the tokens that begin or end a word. ``keeps_blanks``: the tokenizer
+    joins a blank to the word behind it (byte_bpe), else white space is dropped and letters are lower-cased (word_bpe).
+    Texts that hold a special token's string go to the tokenizer whole. ``remember`` bounds the chunks that are kept, and
+    so the memory; an encoder lives as long as its task.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, remember: int = 400_000) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str, keeps_blanks: bool, remember: int = 500_000) -> None:
+        self.tokenizer = _tokenizer(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.edge = _edges(path, keeps_blanks)
         self.keeps_blanks = keeps_blanks
         self.remember = remember
-        self.pieces: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.codes = _Codes()
-        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,46 +103,66 @@ class ChunkEncoder:
             found[0] = blank + found[0]
         return found
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of distinct pieces, and where each one's begin and how many they are."""
+        plain = LETTERS_BEHIND_BLANK if self.keeps_blanks else LOW_LETTERS
+        joined = [n for n, p in enumerate(pieces) if plain.fullmatch(p)]
+        mark = "" if self.keeps_blanks else " "
+        texts = [mark.join([pieces[n] for n in joined[a:a + 500]]) for a in range(0, len(joined), 500)]
+        ids = np.fromiter(chain.from_iterable(self._ids(texts)), np.uint32)
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(joined):  # a file with other rules than the two known ones
+            joined, ids, at = [], ids[:0], at[:0]
+        start, length = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        begin = at if self.keeps_blanks else np.append(0, at[:-1] + 1)[:len(at)]
+        start[joined], length[joined] = begin, np.diff(np.append(begin, len(ids)))
+        known = set(joined)
+        others = [n for n in range(len(pieces)) if n not in known]
+        found = self._ids([pieces[n] for n in others])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        start[others], length[others] = len(ids) + np.cumsum(sizes) - sizes, sizes
+        return np.append(ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))), start, length
+
     def _learn(self) -> None:
-        made = [self._pieces(c) for c in self.codes.new]
-        asked = {p for m in made for p in m if p not in self.pieces}
-        known = {p: self.before[p] for p in asked if p in self.before}
-        new = [p for p in asked if p not in known]
-        self.pieces.update(known)
-        self.pieces.update(zip(new, self._ids(new)))
-        found = [self.pieces[m[0]] if len(m) == 1 else [i for p in m for i in self.pieces[p]] for m in made]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        starts = np.cumsum(lengths) - lengths + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, lengths.sum())])
-        self.start, self.length = np.append(self.start, starts), np.append(self.length, lengths)
+        blank = " " if self.keeps_blanks else ""
+        made = [[blank + c] if LOW_LETTERS.fullmatch(c) else self._pieces(c) for c in self.codes.new]
+        flat = list(chain.from_iterable(made))
+        number = {p: n for n, p in enumerate(dict.fromkeys(flat))}
+        ids, start, length = self._encoded(list(number))
+        own = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+        lengths = length[own]
+        ends = np.cumsum(lengths)
+        new = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[own] - ends + lengths, lengths)]
+        bounds = np.append(0, ends)[np.append(0, np.cumsum([len(m) for m in made]))]
+        self.bounds = np.append(self.bounds, (len(self.ids) + bounds[1:]).astype(np.int32))
+        self.ids = np.concatenate([self.ids, new])
         self.codes.new = []
-        if len(self.pieces) > self.remember:
-            self.pieces, self.before = {}, self.pieces
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, ``end`` behind each one, and the number of ids of each (with ``end``)."""
         if len(self.codes) > self.remember:
             self._clear()
-        chunks, whole = [], {}
+        plain, whole = [], {}
         for n, text in enumerate(texts):
             text = text or ""
-            if _needs_whole(text):
+            if _needs_whole(text) or any(t in text for t in self.special):
                 whole[n] = np.array(self._ids([text])[0], np.uint32)
-                chunks.append(np.zeros(0, np.int64))
+                plain.append(None)
                 continue
-            plain = _spread(text, self.keeps_blanks)
-            if plain is None:
-                plain = "\0" + text if self.keeps_blanks else text  # the first chunk has no blank before it
-            words = plain.split(" ")
-            chunks.append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
+            spread = _spread(text, self.keeps_blanks)
+            if spread is None:
+                spread = "\0" + text if self.keeps_blanks else text  # the first chunk has no blank before it
+            plain.append(spread)
+        chunks = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        coded = chunks.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         if self.codes.new:
             self._learn()
-        flat = np.concatenate(chunks) if chunks else np.zeros(0, np.int64)
-        length = self.length[flat]
-        ends = np.cumsum(length)
-        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[flat] - ends + length, length)]
-        per_chunk = np.concatenate([[0], ends])
-        bounds = per_chunk[np.concatenate([[0], np.cumsum([len(c) for c in chunks], dtype=np.int64)])]
+        found = pa.ListArray.from_arrays(pa.array(self.bounds), pa.array(self.ids)).take(pa.array(known).take(coded.indices))
+        ids = found.flatten().to_numpy(zero_copy_only=False)
+        ends = found.offsets.to_numpy()
+        bounds = ends[np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(chunks), 0).to_numpy(zero_copy_only=False)))]
         pieces, counts = [], np.zeros(len(texts), np.int64)
         stop = np.array([end], np.uint32)
         for n in range(len(texts)):
@@ -146,15 +172,19 @@ class ChunkEncoder:
         return (np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)), counts
 
 
-_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> Tokenizer:
+    """Read once by each Python worker."""
+    return Tokenizer.from_file(path)
 
 
-def encoder(path: str, keeps_blanks: bool) -> ChunkEncoder:
-    """The Python worker's own encoder; it outlives a task."""
-    key = (path, keeps_blanks)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, keeps_blanks)
-    return _ENCODERS[key]
+@lru_cache(maxsize=2)
+def _edges(path: str, begins: bool) -> np.ndarray:
+    """Which ids begin with a blank (byte_bpe) or end a word (word_bpe)."""
+    names = _tokenizer(path).get_vocab(with_added_tokens=False)
+    edge = np.zeros(max(names.values(), default=0) + 1, bool)
+    edge[[i for t, i in names.items() if (t[:1] == "\u0120" if begins else t.endswith("</w>"))]] = True
+    return edge
 
 
 def in_groups(texts: list[str | None], chars: int = 2_000_000):

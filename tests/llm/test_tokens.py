@@ -24,7 +24,6 @@ FILES = {False: "word_bpe_49k.json", True: "byte_bpe_50k.json"}
 
 def ids_by_force(blanks: bool, texts, end: int) -> list[list[int]]:
     t = Tokenizer.from_file(public_tokenizers.path(FILES[blanks]))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
@@ -37,7 +36,7 @@ def test_chunks_give_the_ids_of_whole_texts(blanks):
     rnd = random.Random(blanks)
     texts = ["".join(rnd.choice(" \nab's É1.!\t 　") for _ in range(rnd.randint(0, 30))) for _ in range(600)]
     texts += ["".join(rnd.choice(" \nab's É1 .!") for _ in range(40)) for _ in range(600)]
-    texts += [None, "", " ", "ΑΣ ΟΔΟΣ end", "<|endoftext|> a", "\0abc x", "e ́x", "👩‍👩‍👧 x y"]
+    texts += [None, "", " ", "ΑΣ ΟΔΟΣ end", "<|endoftext|> a", "a <|endoftext|> b", "x <|startoftext|>y, z", "\0abc x", "e ́x", "👩‍👩‍👧 x y"]
     e = ChunkEncoder(public_tokenizers.path(FILES[blanks]), blanks, remember=50)
     want = ids_by_force(blanks, texts, 7)
     for at in range(0, len(texts), 100):
@@ -101,6 +100,13 @@ def test_piece_lengths():
         assert sum(cut) == n and all(0 < x <= 2048 for x in cut)
 
 
+def test_rests_share_sequences():
+    totals = {3: 1000, 4: 900, 7: 1048, 9: 100, 11: 1200}
+    bins = packing.first_fit(totals, 2048)
+    assert sorted(set(bins.values())) == list(range(max(bins.values()) + 1)) and packing.first_fit({}, 2048) == {}
+    assert max(sum(totals[k] for k in totals if bins[k] == b) for b in bins.values()) <= 2048 and max(bins.values()) == 2
+
+
 def test_packing(spark):
     rows, df = documents(spark)
     out = packing.pack(df, public_tokenizers.path(FILES[True]), True, 1, with_ids=True).collect()

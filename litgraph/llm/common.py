@@ -21,25 +21,43 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/litgraph-llm-{spark.sparkContext.applicationId}"
 
 
+_WRITTEN: list[str] = []  # folders of scratch tables that are still there
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: cut lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a scratch table that no later step reads."""
-    for name in df.inputFiles()[:1]:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    files = df.inputFiles()[:1]
+    for path in [p for p in _WRITTEN if files and p.rpartition("/")[2] in files[0]]:
+        _delete(df.sparkSession, path)
+        _WRITTEN.remove(path)
+
+
+def discard_all_but(df: DataFrame) -> None:
+    """Deletes this application's scratch tables other than ``df``, which must read from no other one."""
+    files = df.inputFiles()[:1]
+    for path in [p for p in _WRITTEN if not files or p.rpartition("/")[2] not in files[0]]:
+        if path.startswith(scratch_folder(df.sparkSession)):
+            _delete(df.sparkSession, path)
+            _WRITTEN.remove(path)
 
 
 def discard_scratch(spark: SparkSession) -> None:
     """Deletes all scratch tables of this application; call it once their results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_folder(spark))
 
 
 def text_of(column: str = "text") -> Column:

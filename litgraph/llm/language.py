@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-MAX_SYMBOLS = 120  # letters with a code of their own; rarer ones share one
-SEGMENT = 512  # characters parsed in a row; many segments are parsed side by side
+from litgraph.llm.common import staged
+
+SEGMENT = 512  # symbols parsed in a row; many segments are parsed side by side, and a phrase ends with its segment
 SLICE = 1 << 20  # characters of one text in memory at once
 UNKNOWN = "und"
 
@@ -22,8 +22,8 @@ def is_held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """Suffix automaton of a text as a table: [state, symbol] holds the next state, or -1."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Suffix automaton of a text: for each state its steps, from symbol to next state."""
     following, link, length, last = [{}], [-1], [0], 0
     for c in codes:
         new = len(following)
@@ -48,47 +48,78 @@ def automaton(codes: list[int], symbols: int) -> np.ndarray:
                     following[at][c] = twin
                     at = link[at]
         last = new
-    table = np.full((len(following), symbols), -1, np.int64)
-    for state, steps in enumerate(following):
-        for c, to in steps.items():
-            table[state, c] = to
-    return table
+    return following
+
+
+def interleaved(following: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, following): the step of a state by a symbol stands at base[state] + symbol, if that is the state's own.
+
+    States of several steps are placed first, each where all of its places are free; the others fill the gaps. So there
+    are hardly more places than steps, whatever the number of symbols.
+    """
+    base = np.zeros(len(following), np.int32)
+    owner: list[int] = [-1] * (2 * symbols)
+    to = [0] * len(owner)
+    begin = symbols
+    for state in sorted((s for s, steps in enumerate(following) if len(steps) > 1), key=lambda s: -len(following[s])):
+        steps, at, tries = following[state], begin, 0
+        while any(owner[at + c] >= 0 for c in steps):
+            at, tries = at + 1, tries + 1
+            if at + symbols > len(owner):
+                owner += [-1] * len(owner)
+                to += [0] * len(to)
+        begin = at if tries > 16 else begin  # what lies before is nearly full
+        base[state] = at
+        for c, n in steps.items():
+            owner[at + c], to[at + c] = state, n
+    single = [s for s, steps in enumerate(following) if len(steps) == 1]
+    gaps = np.flatnonzero(np.array(owner[symbols:]) < 0) + symbols
+    places = np.append(gaps, len(owner) + np.arange(max(len(single) - len(gaps), 0)))[:len(single)].tolist()
+    more = max(places[-1] + 1 - len(owner) if places else 0, 0)
+    owner += [-1] * more
+    to += [0] * more
+    for state, at in zip(single, places):
+        (c, n), = following[state].items()
+        base[state], owner[at], to[at] = at - c, state, n
+    used = max((at for at, s in enumerate(owner) if s >= 0), default=0) + 1 + symbols
+    spare = max(used - len(owner), 0)
+    return base, np.array((owner + [-1] * spare)[:used], np.int32), np.array((to + [0] * spare)[:used], np.int32)
 
 
 class Model:
     """Parses texts against the automata of all languages at once.
 
-    One flat table serves all languages: an entry holds twice the next state's first index, plus one where a new
-    phrase begins (no automaton step leads on). The last symbol pads short segments and changes nothing.
+    Every letter of the samples has a symbol of its own; letters of no sample share one, which no automaton knows.
     """
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.languages = sorted(samples)
-        letters = Counter(c for s in samples.values() for c in s.lower() if c.isalpha())
-        symbols = sorted(c for c, _ in letters.most_common(MAX_SYMBOLS))
-        self.lookup = np.zeros(0x110000, np.uint8)  # 0: anything but letters
+        symbols = sorted({c for s in samples.values() for c in s.lower() if c.isalpha()})
         other = len(symbols) + 1
+        self.lookup = np.zeros(0x110000, np.uint16 if other < 1 << 16 else np.uint32)  # 0: anything but letters
         for point in range(0x110000):
             if unicodedata.category(chr(point))[0] == "L":
                 self.lookup[point] = other
         for n, c in enumerate(symbols):
             self.lookup[ord(c)] = n + 1
-        self.pad = other + 1
-        width = other + 2
-        tables, self.roots, self.bits, at = [], [], [], 0
-        for language in self.languages:
+        width = other + 1
+        self.bits, bases, owners, tos, self.begin = [], [], [], [], np.zeros((len(self.languages), width), np.int32)
+        roots, states, places = [], 0, 0
+        for n, language in enumerate(self.languages):
             codes = self._codes(samples[language])
-            steps = automaton(codes.tolist(), width)
-            first = np.where(steps[0] >= 0, steps[0], 0)
-            goes_on = steps >= 0
-            goes_on[0] = False  # what is read at the root begins a phrase
-            entry = 2 * (np.where(steps >= 0, steps, first) * width + at) + ~goes_on
-            entry[:, self.pad] = 2 * (np.arange(len(steps)) * width + at)
-            tables.append(entry.astype(np.uint32).ravel())
-            self.roots.append(at)
+            following = automaton(codes.tolist())
+            base, owner, to = interleaved(following, width)
+            self.begin[n] = states
+            for c, step in following[0].items():
+                self.begin[n, c] = states + step
+            bases.append(base + places)
+            owners.append(np.where(owner >= 0, owner + states, -1))
+            tos.append(to + states)
+            roots.append(states)
+            states, places = states + len(base), places + len(owner)
             self.bits.append(np.log2(max(len(codes), 2)))
-            at += steps.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.uint32)
+        join = lambda x: np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)
+        self.base, self.owner, self.to, self.roots = join(bases), join(owners), join(tos), np.array(roots, np.int32)
 
     def _codes(self, text: str) -> np.ndarray:
         """Symbols of a text: lower case, every run of other characters being one separator."""
@@ -102,42 +133,50 @@ class Model:
         for at in range(0, len(text), SLICE):
             codes = self._codes(text[at:at + SLICE])
             letters += int(np.count_nonzero(codes))
-            short = -len(codes) % SEGMENT
-            found.append(np.append(codes, np.full(short, self.pad, np.uint8)).reshape(-1, SEGMENT))
+            found += [codes[a:a + SEGMENT] for a in range(0, len(codes), SEGMENT)]
         return found, letters
 
-    def _phrases(self, segments: np.ndarray) -> np.ndarray:
+    def _phrases(self, segments: list[np.ndarray]) -> np.ndarray:
         """Phrases of each segment (rows) in each language (columns)."""
-        columns = np.ascontiguousarray(segments.T.astype(np.uint32))
-        state = np.repeat(np.array(self.roots, np.uint32)[:, None], len(segments), axis=1)
-        count = np.zeros(state.shape, np.uint32)
-        for codes in columns:
-            entry = self.table.take(state + codes)
-            count += entry & np.uint32(1)
-            state = entry >> np.uint32(1)
-        return count.T
+        sizes = np.array([len(s) for s in segments])
+        order = np.argsort(-sizes, kind="stable")
+        grid = np.zeros((SEGMENT, len(segments)), np.int32)
+        for column, n in enumerate(order.tolist()):
+            grid[:sizes[n], column] = segments[n]
+        longer = np.searchsorted(-sizes[order], -np.arange(SEGMENT))  # segments that reach beyond a place
+        state = np.repeat(self.roots[:, None], len(segments), axis=1)
+        count = np.zeros(state.shape, np.int32)
+        roots = self.roots[:, None]
+        for place in range(int(sizes.max(initial=0))):
+            n = longer[place]
+            codes, now = grid[place, :n], state[:, :n]
+            at = self.base.take(now) + codes
+            goes_on = self.owner.take(at) == now
+            count[:, :n] += ~goes_on | (now == roots)  # what is read at the root begins a phrase, and so does what ends one
+            state[:, :n] = np.where(goes_on, self.to.take(at), self.begin.take(codes, axis=1))
+        out = np.zeros((len(segments), len(self.roots)), np.int64)
+        out[order] = count.T
+        return out
 
     def predict(self, texts: list[str | None], at_once: int = 4096) -> tuple[list[str], list[float], list[float]]:
         """Language, score and mean phrase length of each text; whole texts, in groups of ``at_once`` segments."""
         phrases = np.zeros((len(texts), len(self.languages)))
         letters, symbols = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        held, owners, size = [], [], 0
+        held: list[np.ndarray] = []
+        owners: list[int] = []
 
         def parse() -> None:
-            rows = np.concatenate(held)
-            owner = np.concatenate(owners)
-            for a in range(0, len(rows), at_once):
-                np.add.at(phrases, owner[a:a + at_once], self._phrases(rows[a:a + at_once]))
+            np.add.at(phrases, owners, self._phrases(held))
+            held.clear()
+            owners.clear()
         for n, text in enumerate(texts):
             segments, letters[n] = self._segments(text or "")
-            for s in segments:
-                held.append(s)
-                owners.append(np.full(len(s), n))
-                size += len(s)
-                symbols[n] += int(np.count_nonzero(s != self.pad))
-            if size >= at_once:
-                parse()
-                held, owners, size = [], [], 0
+            symbols[n] = sum(map(len, segments))
+            for segment in segments:
+                held.append(segment)
+                owners.append(n)
+                if len(held) >= at_once:
+                    parse()
         if held:
             parse()
         names, scores, spans = [], [], []
@@ -158,20 +197,25 @@ class Model:
 
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 30_000,
-    rows_per_language: int = 64,
+    rows_per_language: int = 64, total_chars: int = 3_000_000,
 ) -> Model:
     """Automata of a bounded sample: per language ``sample_chars`` characters of ``rows_per_language`` labelled rows.
 
+    Over total_chars / sample_chars languages each one's sample is shorter, so that all have ``total_chars`` at most.
+
     Rows that are held out, have no language or no text are not used. The rows of least hash are taken; of each one
     at most an eighth of the sample's characters, so that no long text fills it. The driver gets this sample only.
     """
     labelled = docs.filter(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).withColumn(
-        "n", F.row_number().over(order)).filter(F.col("n") <= rows_per_language)
+    chosen = staged(labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id")).withColumn(
+        "n", F.row_number().over(order)).filter(F.col("n") <= rows_per_language), "chosen-rows")
+    languages = chosen.select("lang").distinct().count()
+    sample_chars = min(sample_chars, total_chars // max(languages, 1))
+    share = max(sample_chars // 8, 1)
     rows = labelled.select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, sample_chars // 8).alias("text"))
-    found = rows.join(F.broadcast(chosen), ["id", "lang"]).collect()
+        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, share).alias("text"))
+    found = rows.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["id", "lang", "text"]).collect()
     samples: dict[str, str] = {}
     for r in sorted(found, key=lambda r: (str(r["lang"]), r["n"], r["text"])):
         samples[str(r["lang"])] = (samples.get(str(r["lang"]), "") + r["text"] + "\n")[:sample_chars]
@@ -184,7 +228,7 @@ def identify(
 ) -> DataFrame:
     """One row per input row: ``id_col``, held_out, lang_pred, score, span, and the columns named in ``carry``.
 
-    A text is parsed, segment by segment, into the longest strings that occur in a language's sample. Phrases times
+    A text is parsed, in segments of SEGMENT symbols, into the longest strings that occur in a language's sample. Phrases times
     the bits of a sample position are the cost; the least cost wins, ties go to the first name. ``score`` is one less
     the quotient of the least and second least cost; ``span`` is the mean phrase length of the winner. ``und`` with
     score 0 is given to null texts, texts without a letter and if nothing could be learned. The prediction reads the
@@ -193,20 +237,24 @@ def identify(
     """
     spark = docs.sparkSession
     model = model or train(docs, id_col, text_col, lang_col, sample_chars)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the sample: its table is 2 * sample_chars rows a language
+    shared = spark.sparkContext.broadcast(model)  # some 40 bytes for each character of the samples, total_chars at most
 
+    others = [c for c in carry if c != text_col]
     rows = docs.select(
-        F.col(id_col).alias("_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("_text"), *carry)
-    names = ["_id", "held_out", "lang_pred", "score", "span", *carry]
+        F.col(id_col).alias("_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("_text"), *others)
+    kept = ["_text"] if text_col in carry else []
+    names = ["_id", "held_out", "lang_pred", "score", "span", *kept, *others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said, scores, spans = shared.value.predict(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(scores, pa.float64()),
-                pa.array(spans, pa.float64()), *batch.columns[3:]], names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                said, scores, spans = shared.value.predict(batch.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(scores, pa.float64()),
+                    pa.array(spans, pa.float64()), *batch.columns[2 if kept else 3:]], names)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"_id {kinds['_id']}, held_out boolean, lang_pred string, score double, span double"
-    schema += "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return rows.mapInArrow(run, schema).select(
-        *([] if id_col in carry else [F.col("_id").alias(id_col)]), *names[1:])
+    schema += "".join(f", `{c}` {kinds[c]}" for c in [*kept, *others])
+    found = rows.mapInArrow(run, schema).withColumnRenamed("_text", text_col)
+    return found.select(*([] if id_col in carry else [F.col("_id").alias(id_col)]), *names[1:5], *carry)

@@ -7,12 +7,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litgraph.llm.common import join_groups, parts, staged
 from litgraph.llm.components import components
+from litgraph.llm.tokens import in_groups
 
 BLOCK = 1024  # fingerprints of a bucket that meet in one task; larger buckets are dealt to pairs of such blocks
 SLICE = 1 << 16  # shingles that are hashed at once
@@ -208,3 +210,271 @@ def near_groups(
     hex_of: Column = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return join_groups(rows, nodes, ["fp"], "n", total, F.col("id")).select(
         F.col("id").alias(id_col), hex_of.alias("fingerprint"), "component_id")
+
+
+# Fingerprints of shingle sets, for a stated similarity
+
+WORDS = 4  # 64-bit words of a long fingerprint
+RADIUS = 50  # of its 256 bits; sets of similarity 0.8 differ in 38.8 bits, give or take 5.7
+DIFFER = float(np.arccos(2 * 0.8 / 1.8) / np.pi)  # share of bits in which they differ
+MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+
+
+def shingle_sets(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each text's shingles of ``width`` words, sorted, and where each text's begin.
+
+    Words are lower-cased and split at white space; a text of fewer words is one shingle, an empty one has none.
+    """
+    stripped = [(t or "").strip() for t in texts]
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(stripped, pa.large_string())))
+    coded = split.flatten().dictionary_encode()
+    names = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    word = names[coded.indices.to_numpy()]
+    bounds = split.offsets.to_numpy()
+    many = np.where([bool(t) for t in stripped], np.diff(bounds), 0)
+    count = np.where(many > 0, np.maximum(many - width + 1, 1), 0)
+    owner = np.repeat(np.arange(len(many)), count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + bounds[:-1][owner]
+    stop = bounds[:-1][owner] + many[owner]
+    total = np.zeros(len(at), np.uint64)
+    for j in range(width):
+        own = np.where(at + j < stop, word[np.minimum(at + j, len(word) - 1)], np.uint64(1))
+        total = (total ^ own) * MIXERS[0]
+        total ^= total >> np.uint64(29)
+    order = np.lexsort((total, owner))
+    owner, total = owner[order], total[order]
+    new = np.ones(len(total), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (total[1:] != total[:-1])
+    return total[new], np.searchsorted(owner[new], np.arange(len(many) + 1))
+
+
+def long_fingerprints(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """WORDS x 64 bits of each set, a bit being set if it is in over half of the set's mixed hashes."""
+    votes = np.zeros((len(bounds) - 1, 64 * WORDS), np.int64)
+    sizes = np.diff(bounds)
+    for a in range(0, len(shingles), SLICE):
+        some = shingles[a:a + SLICE]
+        mixed = some[:, None] * MIXERS[None, :]
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= MIXERS[None, ::-1]
+        mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        owner = np.searchsorted(bounds, np.arange(a, a + len(some)), "right") - 1
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        votes[owner[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > sizes[:, None], axis=1, bitorder="little").view(np.uint64)
+
+
+def table_keys(n: int, recall: float = 0.97) -> np.ndarray:
+    """Bits of a long fingerprint that each table's key takes, for ``n`` sets: as many as tell most sets apart, and so
+    many tables that a pair of similarity 0.8 shares a key with the probability ``recall``."""
+    bits = min(max(int(np.ceil(np.log2(max(n, 2)))) - 2, 12), 32)
+    tables = int(np.ceil(np.log(1 - recall) / np.log1p(-(1 - DIFFER) ** bits)))
+    rng = np.random.default_rng(64)
+    return np.array([rng.choice(64 * WORDS, bits, replace=False) for _ in range(tables)])
+
+
+def sliced_distances(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, distance), i < j < ends[i], j >= starts[i], of long fingerprints within the radius, by bit planes.
+
+    As ``sliced_links``, with as many carry-save counters as the radius needs; words of which no distance is left within
+    it are abandoned after every sixteenth plane.
+    """
+    n = len(fps)
+    n_words = (n + 63) // 64
+    padded = np.zeros((n_words * 64, fps.shape[1]), np.uint64)
+    padded[:n] = fps
+    grid = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+    planes = np.packbits(grid.T, axis=1, bitorder="little").copy().view(np.uint64)
+    flags = grid[:n].T.astype(bool)
+    first, last = np.arange(n) // 64, (ends - 1) // 64
+    count = np.where(ends > starts, last - first + 1, 0)
+    query = np.repeat(np.arange(n), count)
+    word = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+    low = np.maximum(np.maximum(starts[query], query + 1) - 64 * word, 0)
+    high = np.minimum(ends[query] - 64 * word, 64)
+    upto = lambda k: np.where(k >= 64, ones, (np.uint64(1) << np.minimum(k, 63).astype(np.uint64)) - np.uint64(1))
+    alive = np.where(high > low, upto(high) & ~upto(low), np.uint64(0))
+    counters = [np.zeros(len(query), np.uint64) for _ in range(int(radius + 16).bit_length())]
+    for b in range(len(planes)):
+        carry = planes[b, word] ^ np.where(flags[b, query], ones, np.uint64(0))
+        for k, c in enumerate(counters):
+            counters[k], carry = c ^ carry, c & carry
+        if b % 16 == 15:
+            above, equal = np.zeros(len(query), np.uint64), np.full(len(query), ones)
+            for k in reversed(range(len(counters))):
+                if radius >> k & 1:
+                    equal &= counters[k]
+                else:
+                    above |= equal & counters[k]
+                    equal &= ~counters[k]
+            alive = alive & ~above
+            going = alive != 0
+            if not going.all():
+                query, word, alive, *counters = (x[going] for x in (query, word, alive, *counters))
+            if not len(query):
+                break
+    spread = lambda x: np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    row, bit = np.nonzero(spread(alive)) if len(query) else (np.zeros(0, np.int64),) * 2
+    distance = sum((spread(c)[row, bit].astype(np.int64) << k for k, c in enumerate(counters)), np.zeros(len(row), np.int64))
+    return query[row], word[row] * 64 + bit, distance
+
+
+def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs of a minimum spanning forest: each tree takes its nearest pair that leads out, and again."""
+    root, chosen = np.arange(n), []
+    order = np.lexsort((j, i, distance))
+    while len(order):
+        a, b = root[i[order]], root[j[order]]
+        order, a, b = order[a != b], a[a != b], b[a != b]
+        best = np.full(n, len(order))
+        place = np.arange(len(order))
+        np.minimum.at(best, a, place)
+        np.minimum.at(best, b, place)
+        own = np.unique(best[best < len(order)])
+        if not len(own):
+            break
+        chosen.append(order[own])
+        root = stars(n, np.concatenate([np.arange(n), a[own]]), np.concatenate([root, b[own]]))
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def _tables(keys: np.ndarray):
+    """(node, f0 to f3) to a row for each table: t, key, node, f0 to f3."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                fps = np.stack([batch.column(1 + w).to_numpy() for w in range(WORDS)], axis=1)
+                bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+                for t, places in enumerate(keys):
+                    key = bits[:, places].astype(np.int64) @ (1 << np.arange(len(places)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(key), t), pa.int32()), pa.array(key), *batch.columns], ["t", "key", "node", *(f"f{w}" for w in range(WORDS))])
+    return run
+
+
+def _neighbours(radius: int, rows_at_once: int = 1 << 14):
+    """For partitions sorted by (t, key, pair): the pairs (a, b, distance) of each bucket's minimum spanning forest."""
+    def found(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        new = np.ones(len(x["t"]), bool)
+        new[1:] = (x["t"][1:] != x["t"][:-1]) | (x["key"][1:] != x["key"][:-1]) | (x["pair"][1:] != x["pair"][:-1])
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(new)))
+        many = np.flatnonzero(np.repeat(size > 1, size))
+        size = size[size > 1]
+        a, b, distance = [], [], np.zeros(0, np.int64)
+        if len(many):
+            ends = np.repeat(np.cumsum(size), size)
+            fps = np.stack([x[f"f{w}"][many] for w in range(WORDS)], axis=1).view(np.uint64)
+            i, j, apart = sliced_distances(fps, ends - np.repeat(size, size), ends, radius)
+            kept = nearest_forest(len(many), i, j, apart)
+            a, b, distance = x["node"][many[i[kept]]], x["node"][many[j[kept]]], apart[kept]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(distance, pa.int32())], ["a", "b", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            now = {f: batch.column(n).to_numpy(zero_copy_only=False) for n, f in enumerate(batch.schema.names)}
+            held = now if held is None else {k: np.concatenate([held[k], v]) for k, v in now.items()}
+            if len(held["t"]) >= rows_at_once:
+                last = np.flatnonzero((held["t"] != held["t"][-1]) | (held["key"] != held["key"][-1]) | (held["pair"] != held["pair"][-1]))
+                if len(last):  # all buckets but the last one are whole
+                    yield found({k: v[:last[-1] + 1] for k, v in held.items()})
+                    held = {k: v[last[-1] + 1:] for k, v in held.items()}
+        if held is not None and len(held["t"]):
+            yield found(held)
+    return run
+
+
+def _near_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b, distance) of nodes that share a table's key and differ in ``radius`` bits at most; see ``similar_groups``."""
+    keys = table_keys(nodes.count())
+    fields = [f"f{w}" for w in range(WORDS)]
+    rows = nodes.select("node", *fields).mapInArrow(_tables(keys), "t int, key bigint, node binary, " + ", ".join(f"{f} bigint" for f in fields))
+    rows = staged(rows, "tables")
+    large = rows.groupBy("t", "key").count().filter(F.col("count") > BLOCK).select("t", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
+    rows = rows.join(large, ["t", "key"], "left")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n").cast("long")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.least(o, own).cast("long") * F.col("n") + F.greatest(o, own))
+    rows = rows.withColumn("pair", F.explode(F.coalesce(meets, F.array(F.lit(0).cast("long")))))
+    order = ("t", "key", "pair")
+    dealt = rows.select(*order, "node", *fields).repartition(parts(nodes.sparkSession), *order).sortWithinPartitions(*order)
+    found = dealt.mapInArrow(_neighbours(radius), "a binary, b binary, distance int")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = RADIUS,
+) -> DataFrame:
+    """One row per input row: ``id_col``, node, component_id (least id that links reach), leads (the row stands for its group), h, h2.
+
+    Links are pairs of texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more.
+    Candidates share a table's key of their long fingerprints (see ``table_keys``) and differ in ``radius`` bits at most;
+    at 0.8 that finds some 94 of 100 pairs, more above. Within a bucket only a minimum spanning forest by distance goes
+    on, not all pairs, so a group of copies gives about as many rows as it has members; buckets over BLOCK are dealt to
+    pairs of blocks. Candidates are then checked on the shingle sets themselves: first each text's nearest one, then
+    those that would join groups that are still apart.
+
+    Texts with the same first two words of the fingerprint are one node. Null texts are empty, and all empty texts are
+    alike. A group's least row by id, then by text hash, leads; rows that repeat both lead alike. Null ids come last.
+    h and h2 are hashes of the text, by which rows of one id are told apart.
+    Empty input gives no rows; other columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumns(
+        {"h": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    kind = rows.schema["id"].dataType.simpleString()
+    fields = [f"f{w}" for w in range(WORDS)]
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in in_groups(texts):
+                fps = long_fingerprints(*shingle_sets(texts[a:b], width)).view(np.int64)
+                node = [f.tobytes() for f in fps[:, :2]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array(node, pa.binary()),
+                     *(pa.array(fps[:, w]) for w in range(WORDS))], ["id", "h", "h2", "node", *fields])
+    sketches = staged(rows.mapInArrow(sketch, f"id {kind}, h bigint, h2 bigint, node binary, " + ", ".join(f"{f} bigint" for f in fields)), "sketches")
+    least = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h", "h2", *fields)).alias("least")
+    nodes = staged(sketches.groupBy("node").agg(least, F.count("*").alias("n")).select("node", "n", "least.*"), "nodes")
+    pairs = staged(_near_pairs(nodes, radius), "pairs")
+
+    # the shingle sets of texts in pairs, one text a node
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    picked = nodes.join(paired, "node", "left_semi").select("node", "id", "h", "h2")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in in_groups(texts):
+                shingles, bounds = shingle_sets(texts[a:b], width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(
+                    pa.array(bounds, pa.int32()), pa.array(shingles.view(np.int64)))], ["node", "shingles"])
+    same = (rows["id"].eqNullSafe(picked["id"])) & (rows["h"] == picked["h"]) & (rows["h2"] == picked["h2"])
+    texts = rows.join(picked, same).select("node", "text").dropDuplicates(["node"])
+    shingles = staged(texts.mapInArrow(sets, "node binary, shingles array<bigint>"), "shingles")
+
+    def checked(some: DataFrame) -> DataFrame:
+        met = some.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+            shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return met.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "distance"), F.struct(F.col("b").alias("node"), "a", "b", "distance"))).alias("e")).select("e.*")
+    nearest = ends.groupBy("node").agg(F.min(F.struct("distance", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+    links = staged(checked(nearest), "links")
+    roots = staged(components(links), "roots")
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    left = pairs.join(nearest, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = left.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    roots = components(staged(links.unionByName(checked(apart)), "all-links"))
+
+    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct("z", "id", "h", "h2", "node")).alias("first")
+    named = nodes.groupBy("root").agg(first, F.count("*").alias("size"))
+    total = sketches.count()
+    nodes = join_groups(nodes.select("root", "node", "n"), named, ["root"], "size", total, F.col("node")).select("node", "n", "first")
+    met = join_groups(sketches.select("id", "h", "h2", "node"), nodes, ["node"], "n", total, F.col("id"))
+    leads = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("h2") == F.col("first.h2")) & (F.col("node") == F.col("first.node"))
+    return met.select(F.col("id").alias(id_col), "node", F.col("first.id").alias("component_id"), leads.alias("leads"), "h", "h2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import sys
@@ -113,6 +114,109 @@ def test_leaks_of_names_at_sentence_starts_and_unspaced_scripts(spark):
     assert got[0, 0]["exact"] and got[3, 1]["exact"] and not got[1, 0]["exact"] and got[1, 0]["matched"] == got[1, 0]["item_windows"]
 
 
+def test_leaks_with_number_words_long_names_and_short_items(spark):
+    items = [
+        "At noon twelve small boats leave the harbour and five of them carry fresh bread to New York before it rains",
+        "Tom Smith buys red pens for NASA while McTavish and O'Neil wait outside the tall gate with two hundred and six dogs",
+        "Name every planet.", "Why?", "Who built it", "take 4 of 5"]
+    texts = [
+        items[0].replace("twelve", "seventeen").replace("five", "eight").replace("New York", "Paris"),
+        items[0].replace("twelve", "17").replace("five", "twenty-three").replace("New York", "Rio de Janeiro").replace(" de ", " "),
+        items[1].replace("Tom Smith", "Ben").replace("NASA", "ESA").replace("McTavish", "Li").replace("O'Neil", "Mary Ann").replace("two hundred", "three"),
+        "Then I saw it. Name every planet. And so on for a while.", "they name every planet here and there", "Why?", "Now. Why? Because.",
+        "x\nwho built it\ny", "take 9 of 8", items[1].upper()]
+    got = leaks_of(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 2), (5, 3), (7, 4), (9, 1)}
+    assert not got[0, 0]["exact"] and got[3, 2]["exact"]
+
+
+def leaks_by_force(doc: str, item: str, width: int = 5) -> bool:
+    """The rules word by word, on sentences of lower-case words, figures, number words and capitalised names."""
+    def codes(text):
+        out, begins, merged = [], True, False
+        for w in text.replace("\n", " \n ").split():
+            if w == "\n":
+                begins, merged = True, False
+                continue
+            core = w.strip(".,!?")
+            kind = "#" if core.isdigit() else "c" if core.lower() in decontaminate.NUMBER_WORDS else "N" if core[0].isupper() and len(core) > 1 else ""
+            last = out[-1] if out and not begins else None
+            if kind == "c" and last and last[0] == "#":
+                last[1].append(core.lower())
+            elif kind == "N" and not begins and last and last[0] == "N":
+                last[1].append(core.lower())
+            else:
+                kind = "#" if kind == "c" else kind
+                out.append(["?" if kind == "N" and begins else kind, [core.lower()], begins])
+            begins = w[-1] in ".!?"
+        return out
+
+    def windows(text):
+        plain = codes(text)
+        readings, place = [(plain, list(range(len(plain))), False)], 0
+        led = [i for i in range(len(plain) - 1) if plain[i][0] == "?" and plain[i + 1][0] == "N" and not plain[i + 1][2]]
+        if led:
+            both = [(["L", c[1] + plain[i + 1][1]] if i in led else c, i) for i, c in enumerate(plain) if i - 1 not in led]
+            readings.append(([c for c, _ in both], [i for _, i in both], True))
+        found = set()
+        for own, places, second in readings:
+            for at in range(len(own) - width + 1):
+                part = own[at:at + width]
+                if second and not any(c[0] == "L" for c in part):
+                    continue
+                for pick in itertools.product(*[[False, True] if c[0] == "?" else [c[0] in ("#", "N", "L")] for c in part]):
+                    if 2 * sum(pick) < width:
+                        key = tuple(("<#>" if c[0] == "#" else "<N>") if p else c[1][0] for c, p in zip(part, pick))
+                        found.add((places[at], second, key, tuple(" ".join(c[1]) if p else "" for c, p in zip(part, pick))))
+        return found, len({a for a, second, _, _ in found if not second})
+    ours, (theirs, total) = windows(doc)[0], windows(item)
+    groups: dict[int, list] = {}
+    for a, _, k, f in ours:
+        for b, _, k2, f2 in theirs:
+            if k == k2:
+                groups.setdefault(a - b, []).append((b, list(zip(f2, f))))
+    held, longest = set(), 0
+    for members in groups.values():
+        slots: dict[str, set] = {}
+        for _, pairs in members:
+            for i, d in pairs:
+                if i:
+                    slots.setdefault(i, set()).add(d)
+        if sum(len(v) == 1 for v in slots.values()) >= 0.8 * len(slots):
+            places = {b for b, _ in members}
+            held |= places
+            longest = max(longest, len(places))
+    return bool(theirs) and (len(held) >= 0.8 * max(total, 1) or longest >= 9)
+
+
+def test_leaks_equal_brute_force(spark):
+    rnd = random.Random(12)
+    plain = "the red old small boat train takes from over with many slow river under then".split()
+    names, counts = ["Anna", "Boris", "Carl", "Dora"], ["12", "7", "five", "twenty", "45", "six"]
+
+    def sentence() -> str:
+        out = [rnd.choice(names) if rnd.random() < 0.12 else rnd.choice(counts) if rnd.random() < 0.15 else rnd.choice(plain) for _ in range(rnd.randint(6, 14))]
+        return " ".join([out[0][0].upper() + out[0][1:], *out[1:]]) + "."
+    items = [" ".join(sentence() for _ in range(rnd.randint(1, 3))) for _ in range(8)]
+
+    def altered(text: str) -> str:
+        swap = dict(zip(names + counts, rnd.sample(names, 4) + rnd.sample(counts, 6)))
+        out = []
+        for w in text.split():
+            core = w.strip(".")
+            kind = rnd.random()
+            new = swap.get(core, core) if kind < 0.9 else core if kind < 0.96 else rnd.choice(plain)
+            if core in names and rnd.random() < 0.1:
+                new += " Maria"
+            out.append(w.replace(core, new))
+        return " ".join(out)
+    texts = [" ".join(sentence() for _ in range(rnd.randint(0, 3))) + "\n" + altered(rnd.choice(items)) + "\n" + sentence() for _ in range(60)]
+    texts += [sentence() for _ in range(20)]
+    got = set(leaks_of(spark, texts, items))
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if leaks_by_force(t, x)}
+    assert got == want and 10 < len(want) < 80
+
+
 def test_slots_must_be_consistent(spark):
     item = "take 4 red balls and 4 blue balls then put 4 of them back with 4 more green ones from the box"
     steady, mixed = item.replace("4", "9"), item
@@ -222,9 +326,25 @@ def test_phrases_equal_brute_force():
     for _ in range(60):
         text = "".join(rnd.choice("abcdez ") for _ in range(rnd.randint(1, language.SEGMENT)))
         clean = re.sub(" +", " ", text)
-        (segment,), _ = model._segments(text)
+        segments, _ = model._segments(text)
         plain = {k: re.sub(" +", " ", s) for k, s in samples.items()}
-        assert model._phrases(segment)[0].tolist() == [phrases_by_force(clean, plain[k]) for k in ("x", "y")]
+        assert model._phrases(segments)[0].tolist() == [phrases_by_force(clean, plain[k]) for k in ("x", "y")]
+
+
+def test_large_alphabets_keep_their_letters():
+    rnd = random.Random(7)
+    pools = {"a": [chr(c) for c in range(0x4E00, 0x4E00 + 900)], "b": [chr(c) for c in range(0x4E00 + 450, 0x4E00 + 1350)]}
+    pairs = {k: [rnd.choice(p) + rnd.choice(p) for _ in range(300)] for k, p in pools.items()}
+    text = lambda k, n: "".join(rnd.choice(pairs[k]) for _ in range(n))
+    model = language.Model({k: text(k, 4000) for k in pairs})
+    said, _, spans = model.predict([text("a", 80), text("b", 80), "".join(chr(rnd.randint(0xAC00, 0xD000)) for _ in range(100))])
+    assert said[:2] == ["a", "b"] and min(spans[:2]) > 1.9 and spans[2] == 1
+    assert len(model.owner) < 3 * (len(model.base) + 1800)
+    samples = {k: text(k, 60) for k in pairs}
+    small = language.Model(samples)
+    for _ in range(20):
+        probe = text("a", 20) + text("b", 20)
+        assert small._phrases(small._segments(probe)[0])[0].tolist() == [phrases_by_force(probe, samples[k]) for k in ("a", "b")]
 
 
 def test_long_texts_are_read_whole(monkeypatch):

@@ -11,6 +11,7 @@ from litgraph.functions.text import canonical_form, clean_entity, norm_key, pare
 from litgraph.operators.joins import (
     alias_keys, latest_extraction, latest_per, merge_sets, subject_object_pairs,
 )
+from litgraph.operators.mentions import find as find_terms
 
 TRIPLE_KEY = ("paper_id", "subject", "predicate", "object")
 TRIPLE_FIELDS = (
@@ -165,63 +166,20 @@ def mention_dictionary(entities: DataFrame) -> DataFrame:
     )
 
 
-PIECES = "[A-Za-z0-9]+|[^A-Za-z0-9]"
-
-
 def find_mentions(texts: DataFrame, entities: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Leftmost-longest, non-overlapping dictionary terms of each text, ignoring case.
 
-    A term counts only between non-alphanumeric characters. Texts and terms are cut into pieces,
-    alphanumeric runs and single other characters, so a term can only start and end with a piece.
-    Runs of as many pieces as dictionary terms have are looked up by an equi join: neither the
-    dictionary nor the texts are collected. Only hits come together again per text.
+    A term counts only between non-alphanumeric characters. Texts are scanned where they are (see ``scan`` in ``mentions.py``).
     """
-    words = mention_dictionary(entities)
-    pieces = lambda c: F.regexp_extract_all(c, F.lit(PIECES), F.lit(0))
-    # The distinct piece counts of terms: a handful of small numbers.
-    sizes = [r.n for r in words.select(F.size(pieces(F.col("term"))).alias("n")).distinct().orderBy("n").collect()]
-    alnum = lambda x: x.rlike("^[A-Za-z0-9]")
-    free = lambda i: ~F.coalesce(alnum(F.get("_p", i)), F.lit(False))
-    fits = lambda i: F.filter(
-        F.lit(sizes or [0]), lambda n: (i + n <= F.size("_p")) & free(i + n))
-    run = lambda i, n: F.struct(
-        i.alias("at"), n.alias("n"),
-        F.when(n == 1, F.get("_p", i)).otherwise(F.array_join(F.slice("_p", i + 1, n), "")).alias("match_text"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: (i == 0) | free(i - 1))
-    # The runs of a text are made in one array, so that exploded rows do not carry the text along.
-    # explode_outer: for explode, the optimizer would add a filter on the array and push it below
-    # the cutting into pieces, which would then be done again for every element.
-    cuts = (
-        texts.filter(F.length(text_col) > 0)
-        .select(id_col, pieces(F.col(text_col)).alias("_p"))
-        .select(id_col, F.flatten(F.transform(
-            starts, lambda i: F.transform(fits(i), lambda n: run(i, n)))).alias("_runs"))
-        .select(id_col, F.explode_outer("_runs").alias("r"))
-        .select(id_col, "r.at", "r.n", "r.match_text", F.lower("r.match_text").alias("term"))
-    )
-    hits = cuts.join(words, "term").groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct(
-            "at", (-F.col("n")).alias("neg_n"), "match_text", "entity_id", "source",
-        ))).alias("hits")
-    )
-    kept = F.aggregate(
-        "hits",
-        F.struct(F.lit(0).alias("upto"), F.slice("hits", 1, 0).alias("kept")),
-        lambda s, h: F.when(
-            h["at"] >= s["upto"],
-            F.struct((h["at"] - h["neg_n"]).alias("upto"), F.concat(s["kept"], F.array(h)).alias("kept")),
-        ).otherwise(s),
-        lambda s: s["kept"],
-    )
-    return hits.select(id_col, F.explode(kept).alias("h")).select(
-        id_col, F.col("h.at").alias("at"), "h.match_text", "h.entity_id", "h.source"
-    )
+    found = find_terms(texts.select(id_col, text_col), mention_dictionary(entities), text_col)
+    return found.select(id_col, "at", "match_text", "entity_id", "source")
 
 
 def expand_mentions(triples: DataFrame, entities: DataFrame, only_new=False, existing: DataFrame | None = None) -> DataFrame:
     """Entity mentions inside the subjects and objects of triples.
 
-    Each distinct text is scanned once, however many triples share it.
+    With ``only_new``, triples that ``existing`` has mentions of are not scanned again. Texts stay where they are; only
+    the mentions of repeated triples meet to be told apart.
     """
     if only_new and existing is not None:
         triples = triples.join(existing.select("triple_id").distinct(), "triple_id", "left_anti")
@@ -229,17 +187,11 @@ def expand_mentions(triples: DataFrame, entities: DataFrame, only_new=False, exi
         F.struct(F.lit("subject").alias("role"), F.col("subject").alias("text")),
         F.struct(F.lit("object").alias("role"), F.col("object").alias("text")),
     )).alias("s")).select("triple_id", "s.role", "s.text")
-    texts = sides.select("text").distinct().withColumn("text_value", F.col("text"))
-    found = find_mentions(texts, entities, "text", "text_value")
     exact = F.length("match_text") == F.length(F.trim("text"))
-    return (
-        sides.join(found, "text")
-        .select(
-            "triple_id", "entity_id", "role", "match_text",
-            F.concat("source", F.when(exact, "_exact").otherwise("_substring")).alias("match_source"),
-        )
-        .distinct()
-    )
+    return find_terms(sides, mention_dictionary(entities), "text").select(
+        "triple_id", "entity_id", "role", "match_text",
+        F.concat("source", F.when(exact, "_exact").otherwise("_substring")).alias("match_source"),
+    ).distinct()
 
 
 # --- edges ---------------------------------------------------------------------------------

@@ -193,9 +193,18 @@ def _(t):
     return E.expand_mentions(t.prose, t.nested_entities())
 
 
+@case("G05_expand_new_mentions", """
+select triple_id, concat('C', cast(k1 as string)) as entity_id, 'subject' as role, subject as match_text, 'canonical_exact' as match_source from fx_prose where k1 % 3 <> 0
+union select triple_id, concat('C', cast(k2 as string)), 'object', concat('e', cast(k2 as string)), 'canonical_substring' from fx_prose where k1 % 3 <> 0
+union select triple_id, concat('C', cast(k3 as string)), 'object', concat('Factor-', cast(k3 as string)), 'alias_substring' from fx_prose where k1 % 3 <> 0""")
+def _(t):
+    known = E.expand_mentions(t.prose.filter("k1 % 3 = 0"), t.nested_entities())
+    return E.expand_mentions(t.prose, t.nested_entities(), only_new=True, existing=known)
+
+
 @case("G05_document_mentions")
 def _(t):
-    words = t.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter(F.length("w") > 3)
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter("w <> ''")
     names = words.groupBy("w").count().select(
         F.md5("w").alias("entity_id"), F.col("w").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
     found = E.find_mentions(t.docs, names, "paper_id", "abstract")

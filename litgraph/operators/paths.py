@@ -50,11 +50,30 @@ def _start(steps: DataFrame, carry) -> DataFrame:
     )
 
 
-def self_extend(paths: DataFrame, steps: DataFrame, carry=()) -> DataFrame:
-    """Paths one edge longer, without coming back to a node."""
+HUB_EDGES = 1000  # edges of one node in one block; a node with more has several
+
+
+def in_blocks(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps with a ``block``, hubs): edges of nodes with over HUB_EDGES dealt to blocks, and how many each such node has."""
+    hubs = cut_lineage(steps.groupBy(F.col("from_key").alias("hub")).count().filter(F.col("count") > HUB_EDGES).select(
+        "hub", F.ceil(F.col("count") / HUB_EDGES).cast("int").alias("blocks")))
+    dealt = F.pmod(F.xxhash64("to_key", "pred"), F.coalesce("blocks", F.lit(1))).cast("int")
+    return steps.join(hubs, steps["from_key"] == hubs["hub"], "left").withColumn("block", dealt).drop("hub", "blocks"), hubs
+
+
+def self_extend(paths: DataFrame, steps: DataFrame, carry=(), hubs: DataFrame | None = None) -> DataFrame:
+    """Paths one edge longer, without coming back to a node.
+
+    With ``hubs`` (see ``in_blocks``) a path that ends at a hub meets each block of its edges in a group of its own.
+    """
     grow = lambda a, x: F.concat(F.col(a), F.array(x)).alias(a)
+    on = F.col("last_key") == F.col("from_key")
+    if hubs is not None:
+        paths = paths.join(hubs, F.col("last_key") == F.col("hub"), "left").withColumn(
+            "_block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("hub", "blocks")
+        on = on & (F.col("_block") == F.col("block"))
     return (
-        paths.join(steps, F.col("last_key") == F.col("from_key"))
+        paths.join(steps, on)
         .filter(~F.array_contains("path_keys", F.col("to_key")))
         .select(
             *carry, grow("path_keys", "to_key"), grow("path_names", "to_name"), grow("preds", "pred"),
@@ -85,8 +104,9 @@ def enumerate_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame | Non
     """Simple directed paths from the seeds, fewest hops and contradictions first.
 
     ``seeds``/``targets`` hold names in ``resolved_name`` (and the ``carry`` columns, searched
-    apart). With targets, a path is followed only while a target is still in reach. Without, the
-    search ends after the level that fills ``path_limit``, because shorter paths come first.
+    apart). With targets, a path is followed only while a target is still in reach. Shorter paths
+    come first, so a search ends after the level that fills its ``path_limit`` (each group of
+    ``carry`` by itself), unless another ``order`` is asked for. Every level is written once.
     """
     carry = list(carry)
     steps = _edge_steps(edges)
@@ -97,25 +117,29 @@ def enumerate_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame | Non
         reach = _distances(steps, named(targets, "node"), max_hops - 1, carry)
         reach = reach.withColumnRenamed("node", "last_key")
         usable = reach.select(F.col("last_key").alias("to_key")).distinct()
-        steps = cut_lineage(steps.join(usable, "to_key", "left_semi"))
+        steps = steps.join(usable, "to_key", "left_semi")
+    steps, hubs = in_blocks(cut_lineage(steps))
     found, level = None, _start(start, carry)
     for hop in range(1, max_hops + 1):
         if hop > 1:
-            level = self_extend(level, steps, carry)
+            level = self_extend(level, steps, carry, hubs)
         if reach is not None:
             level = level.join(reach, [*carry, "last_key"]).filter(F.col("hops") + F.col("dist") <= max_hops)
         level = level.withColumn("op_boundary_crossings", crossings(F.col("ops")))
-        fit = F.col("op_boundary_crossings") >= min_cross_ops
+        fit = (F.col("op_boundary_crossings") >= min_cross_ops) & (F.col("hops") >= min_hops)
         if reach is not None:
             fit = fit & (F.col("dist") == 0)
-        stop_early = reach is None and path_limit is not None and not carry and order is None
-        if stop_early and hop < max_hops:
+        if hop < max_hops:
             level = cut_lineage(level)
-        hits = level.filter(fit & (F.col("hops") >= min_hops)).drop("dist")
+        hits = level.filter(fit).drop("dist")
         found = hits if found is None else found.unionByName(hits)
-        if stop_early and hop < max_hops and has_rows(found, path_limit):
-            break
         level = level.drop("dist", "op_boundary_crossings")
+        if hop < max_hops and path_limit is not None and order is None:
+            if carry:
+                full = found.groupBy(*carry).count().filter(F.col("count") >= path_limit).select(*carry)
+                level = level.join(cut_lineage(full), carry, "left_anti")
+            elif has_rows(found, path_limit):
+                break
     found = found.withColumn("distinct_ops", distinct_known(F.col("ops"))).withColumn(
         "path_key", F.concat_ws("|", F.concat("path_keys", "preds", "edge_sources")))
     ranking = order or [F.asc("hops"), F.asc("contra_load"), F.asc("path_key")]
@@ -126,17 +150,109 @@ def enumerate_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame | Non
     return cut_lineage(best)
 
 
+def _prospects(steps: DataFrame, rest: int) -> list[DataFrame]:
+    """For each number of steps up to ``rest``: (node, gain), the most crossings that so many steps from a node can add.
+
+    Walks may come back to a node, so the gain of a path is never more.
+    """
+    crossed = F.coalesce((F.col("from_op") != F.col("to_op")).cast("int"), F.lit(0))
+    moves = cut_lineage(steps.select("from_key", "to_key", crossed.alias("own")).groupBy("from_key", "to_key").agg(F.max("own").alias("own")))
+    gains = []
+    for _ in range(rest):
+        ahead = moves if not gains else moves.join(gains[-1], F.col("to_key") == F.col("node"), "left").withColumn(
+            "own", F.col("own") + F.coalesce("gain", F.lit(0)))
+        gains.append(cut_lineage(ahead.groupBy(F.col("from_key").alias("node")).agg(F.max("own").alias("gain"))))
+    return gains
+
+
+def best_first(edges: DataFrame, seeds: DataFrame, order: list, limit: int, bound, beaten, max_hops=4, min_cross_ops=0,
+               score=None) -> DataFrame:
+    """The first ``limit`` simple paths from the seeds by ``order``, by branch and bound over levels.
+
+    ``score`` adds the columns of ``order`` to whole paths. ``bound(rest)`` gives columns (name to expression over a
+    partial path and ``gain``, the most crossings still possible) that no path it grows into exceeds, and
+    ``beaten(worst)`` is true for partial paths that cannot come before ``worst``, the last of ``limit`` paths found so
+    far. Each level keeps the best of all paths so far and only the partial ones that are not beaten.
+    """
+    steps = _edge_steps(edges)
+    start = steps.join(seeds.select(F.lower("resolved_name").alias("from_key")).distinct(), "from_key")
+    gains = _prospects(steps, max_hops - 1)
+    steps, hubs = in_blocks(cut_lineage(steps))
+    best, level = None, _start(start, ())
+    for hop in range(1, max_hops + 1):
+        if hop > 1:
+            level = self_extend(level, steps, (), hubs)
+        level = level.withColumn("op_boundary_crossings", crossings(F.col("ops")))
+        level = cut_lineage(level) if hop < max_hops else level
+        whole = level.filter(F.col("op_boundary_crossings") >= min_cross_ops).withColumn("distinct_ops", distinct_known(F.col("ops"))).withColumn(
+            "path_key", F.concat_ws("|", F.concat("path_keys", "preds", "edge_sources")))
+        whole = score(whole) if score else whole
+        best = cut_lineage(cap(whole if best is None else best.unionByName(whole.select(*best.columns)), order, limit))
+        if hop == max_hops:
+            break
+        rest = max_hops - hop
+        ahead = level.join(gains[rest - 1].withColumnRenamed("node", "last_key"), "last_key")  # others lead nowhere
+        ahead = ahead.filter(F.col("op_boundary_crossings") + F.col("gain") >= min_cross_ops)
+        last = best.orderBy(*order).tail(1) if best.count() == limit else []
+        if last:
+            ahead = ahead.withColumns(bound(rest)).filter(~beaten(last[0]))
+        level = ahead.select(*[c for c in level.columns if c != "op_boundary_crossings"])
+    return best
+
+
 def traverse(edges, seed, target=None, max_hops=4, limit: int | None = 100, min_cross_ops=0) -> DataFrame:
-    """Paths from one seed, by operation crossings and the product of confidences."""
+    """Paths from one seed, by operation crossings and the product of confidences.
+
+    Without a target and with a limit only partial paths are followed that can still get among the best (``best_first``):
+    crossings are bounded by what a node's surroundings allow, and confidences, which are one at most, can only fall.
+    """
     spark = edges.sparkSession
     name = lambda x: spark.createDataFrame([(x,)], "resolved_name string")
-    paths = enumerate_paths(edges, name(seed), name(target) if target else None, max_hops, 1, None, min_cross_ops)
-    scored = paths.withColumn("path_conf", F.aggregate("confs", F.lit(1.0), lambda s, c: s * c))
+    product = F.aggregate("confs", F.lit(1.0), lambda s, c: s * c)
     order = ([F.asc("hops")] if target else []) + [
         F.desc("op_boundary_crossings"), F.desc("path_conf"), F.asc("contra_load"), F.asc("path_key")]
+    if target is None and limit is not None:
+        surest = edges.agg(F.max(F.coalesce(F.col("mean_confidence").cast("double"), F.lit(0.5)))).first()[0] or 0.0
+        grown = max(surest, 1.0)
+
+        def beaten(worst):
+            most, n = F.col("most"), worst["op_boundary_crossings"]
+            return (most < n) | ((most == n) & (F.col("surely") < worst["path_conf"]))
+        return best_first(
+            edges, name(seed), order, limit, lambda rest: {"most": F.col("op_boundary_crossings") + F.col("gain"), "surely": product * grown**rest},
+            beaten, max_hops, min_cross_ops, lambda paths: paths.withColumn("path_conf", product))
+    paths = enumerate_paths(edges, name(seed), name(target) if target else None, max_hops, 1, None, min_cross_ops)
+    scored = paths.withColumn("path_conf", product)
     return scored if limit is None else cap(scored, order, limit)
 
 
+NOVEL = 0.8808  # novelty of ends that are never mentioned together, rounded up
+
+
+def best_paths(edges, triples, seeds, limit: int = 25, max_hops=4, min_cross_ops=0) -> DataFrame:
+    """D03 with W04: the best scored paths from the seeds, without scoring all of them.
+
+    The composite of what a partial path grows into is bounded by the novelty of ends that never meet, the coherence if
+    all further confidences are one and all further steps cross, the plausibility if they are curated, and the
+    contradictions so far over the longest length.
+    """
+    def bound(rest):
+        most = F.col("hops") + rest
+        logs = F.aggregate("confs", F.lit(0.0), lambda s, c: s + F.log(F.greatest(F.least(c, F.lit(1.0)), F.lit(0.01))))
+        crossed = F.least(F.lit(1.0), (F.col("op_boundary_crossings") + F.col("gain")) / F.col("hops"))
+        coherence = F.least(F.lit(1.0), F.exp(logs / most) * (1.0 + 0.3 * crossed))
+        grounded = (F.size(F.filter("edge_sources", lambda s: s == "backbone")) + rest) / most
+        against = F.least(F.lit(1.0), F.col("contra_load") / (most * 2))
+        return {"most": NOVEL * coherence * (0.5 + 0.5 * grounded) / (1.0 + against)}
+
+    def score(paths):
+        paths = cut_lineage(paths)
+        ends = paths.select(F.element_at("path_keys", 1).alias("endpoint_a"), F.element_at("path_keys", -1).alias("endpoint_b"))
+        return score_paths(paths, co_mentions(triples, ends))
+    order = [F.desc("composite"), F.asc("hops"), F.asc("path_key")]
+    return best_first(edges, seeds, order, limit, bound, lambda worst: F.col("most") < worst["composite"] - 1e-4, max_hops, min_cross_ops, score)
+
+
 def co_mentions(triples: DataFrame, endpoint_pairs: DataFrame) -> DataFrame:
     """Papers where one triple touches each endpoint, the two triples being different.
 

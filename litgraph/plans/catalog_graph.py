@@ -598,6 +598,13 @@ def _(t):
         F.col("weakest_edge_idx").cast("long").alias("weakest_edge_idx"), "weakest_edge_support", F.round("composite", 2).alias("composite"))
 
 
+@case("D03_best_paths", SCORED + """
+select path_key, cast(hops as bigint) as hops, round(composite, 4) as composite from f order by round(composite, 4) desc, hops, path_key limit 25""")
+def _(t):
+    seeds = _named(t, "E1", "E2", "E3", "E5", "E8")
+    return PT.best_paths(t.edges, t.triples, seeds, 25, 3).select("path_key", F.col("hops").cast("long").alias("hops"), "composite")
+
+
 @case("D04_co_mentions", f"""
 with pairs as (select distinct lower(subject) as a, lower(object) as b from fx_triples),
 n as (select a, b, count(distinct x.paper_id) as n from pairs join (select paper_id, triple_id, lower(subject) as e from fx_triples union select paper_id, triple_id, lower(object) from fx_triples) x on x.e = a
@@ -631,6 +638,15 @@ def _(t):
         F.round("path_conf", 6).alias("path_conf"))
 
 
+@case("D06_best_traverse", PATHS.format(seeds="'e17'", hops=4) + """
+select path_key, cast(hops as bigint) as hops, cast(crossings as bigint) as crossings, round(list_product(confs), 6) as path_conf from q
+order by crossings desc, list_product(confs) desc, contra, path_key limit 40""")
+def _(t):
+    return PT.traverse(t.edges, "E17", limit=40).select(
+        "path_key", F.col("hops").cast("long").alias("hops"), F.col("op_boundary_crossings").cast("long").alias("crossings"),
+        F.round("path_conf", 6).alias("path_conf"))
+
+
 MISSING = """
 with s as (select distinct paper_id, subject_normalized_id as e from fx_triples where subject_normalized_id is not null),
 c as (select a.e as ea, b.e as eb, count(*) as n from s a join s b on a.paper_id = b.paper_id and a.e < b.e group by 1, 2 having count(*) >= 2)

@@ -218,7 +218,11 @@ def literature_edges(triples, mentions, entities, min_support=1) -> DataFrame:
     The papers behind an edge stay rows (see ``edge_papers``): an array would put every paper of
     a popular edge in one record.
     """
-    facts = edge_facts(triples, mentions, entities)
+    return edges_of_facts(edge_facts(triples, mentions, entities), min_support)
+
+
+def edges_of_facts(facts: DataFrame, min_support=1) -> DataFrame:
+    """Edges from ``edge_facts``."""
     usual = F.mode("primary_operation", True)
     against = (F.col("predicate_type") == "blocks") | F.coalesce(F.col("direction") == "contradicts", F.lit(False))
     edges = facts.groupBy(*EDGE_KEY).agg(

@@ -232,9 +232,10 @@ def _(t):
 
 
 @case("J11_subject_object_pairs", """
-select t.triple_id, s.entity_id as source_entity_id, o.entity_id as target_entity_id from fx_triples t
-join fx_mentions s on s.triple_id = t.triple_id and s.role = 'subject' join fx_mentions o on o.triple_id = t.triple_id and o.role = 'object'
-where s.entity_id <> o.entity_id""")
+with m as (select triple_id, list(entity_id) filter (role = 'subject') as subjects, list(entity_id) filter (role = 'object') as objects from fx_mentions group by triple_id),
+s as (select triple_id, unnest(subjects) as source_entity_id, objects from m),
+o as (select triple_id, source_entity_id, unnest(objects) as target_entity_id from s)
+select o.* from o join fx_triples t on t.triple_id = o.triple_id where source_entity_id <> target_entity_id""")
 def _(t):
     return J.subject_object_pairs(t.triples, t.mentions).select("triple_id", "source_entity_id", "target_entity_id")
 

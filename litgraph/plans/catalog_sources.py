@@ -15,6 +15,7 @@ from litgraph.operators import reports as R
 from litgraph.operators import search as S
 from litgraph.operators import sinks as K
 from litgraph.operators import worksets as W
+from litgraph.plans.catalog_graph import VERBS
 from litgraph.plans.registry import case
 from litgraph.runtime import checkpoint_dir
 from litgraph.sources import articles, feeds, metadata, model_output
@@ -638,16 +639,20 @@ def _drain(t, df, what: str, mode: str = "append"):
     return t.spark.read.option("recursiveFileLookup", "true").schema(df.schema).parquet(out)
 
 
-@case("T01_refresh_stream", """
-select concat('E', cast(k1 as string)) as source_entity_name, concat('E', cast(k2 as string)) as target_entity_name, count(distinct paper_id) as support_count from fx_ext where k1 <> k2 group by 1, 2""")
-def _(t):
-    triples = t.triples.select("triple_id", "paper_id", "subject", "object", "predicate", F.lit("activates").alias("predicate_type"), "direction", "primary_operation", "confidence")
-    src, out, ckpt = (_scratch(t.spark, w) for w in ("triples-in", "refresh", "refresh-ckpt"))
-    triples.repartition(2, F.xxhash64("triple_id")).write.parquet(src)
-    live = t.spark.readStream.schema(triples.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    entities = t.nested_entities()
-    T.refresh_stream(live, entities, out, ckpt, {"availableNow": True}).awaitTermination()
-    return T.EdgeStore(t.spark, out).latest("edges").select("source_entity_name", "target_entity_name", "support_count")
+@case("T01_refresh_stream", f"""
+select concat('E', cast(s as string)) as source_entity_name, concat('E', cast(o as string)) as target_entity_name, predicate_type, count(distinct paper_id) as support_count
+from (select paper_id, k1 as s, k2 as o, {VERBS} as predicate_type from fx_ext union all select paper_id, k1, k3, {VERBS} from fx_ext) x
+where s <> o and predicate_type is not null group by 1, 2, 3""")
+def _(t):
+    claims = t.claims.withColumn("operations", F.array().cast("array<string>"))
+    folders = [_scratch(t.spark, w) for w in ("claims-in", "extractions-in")]
+    live = []
+    for rows, folder in zip((claims, t.nested_extractions()), folders):
+        rows.repartition(2, F.xxhash64("extraction_id")).write.parquet(folder)
+        live.append(t.spark.readStream.schema(t.spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    out, ckpt = (_scratch(t.spark, w) for w in ("refresh", "refresh-ckpt"))
+    T.refresh_stream(*live, t.nested_entities(), out, ckpt, {"availableNow": True}, 8).awaitTermination()
+    return t.spark.read.parquet(f"{out}/edges").select(*E.EDGE_KEY, "support_count")
 
 
 @case("T02_dedupe_stream", "select distinct event_type as source, cast(user_id as string) as external_id from events")

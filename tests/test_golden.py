@@ -7,6 +7,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -428,26 +429,33 @@ def test_dedupe_against_known_papers(spark, tmp_path):
     assert sorted(r.external_id for r in got) == ["1", "2"]
 
 
-def test_refresh_over_many_batches_and_lost_versions(spark, tmp_path):
-    import shutil
+def test_refresh_over_many_batches_and_a_retried_one(spark, tmp_path):
+    import glob
+    import os
 
     from litgraph.streaming import incremental as T
-    ents = spark.createDataFrame([(str(i), f"N{i}", [], "Defense") for i in range(5)], ENTITIES)
-    kind = "triple_id string, paper_id string, subject string, object string, predicate string, predicate_type string, direction string, primary_operation string, confidence double"
-    row = lambda i: (f"t{i}", f"p{i}", f"N{i % 5}", f"N{(i + 1 + i // 5) % 5}", "activates", "activates", "causal", "Defense", 0.5)
-    store = T.EdgeStore(spark, str(tmp_path / "store"))
-    keep = lambda df: sorted(tuple(r) for r in df.select("source_entity_name", "target_entity_name", "support_count").collect())
-    for b in range(12):
-        T.refresh_batch(store, spark.createDataFrame([row(b), row(max(b - 1, 0))], kind), b, ents)
-    whole = T.EdgeStore(spark, str(tmp_path / "whole"))
-    T.refresh_batch(whole, spark.createDataFrame([row(b) for b in range(12)], kind), 0, ents)
-    assert store.versions("edges") == list(range(12)) and keep(store.latest("edges")) == keep(whole.latest("edges"))
-    shutil.rmtree(tmp_path / "store" / "edges" / "v=11")
-    T.refresh_batch(store, spark.createDataFrame([row(3)], kind), 12, ents)
-    assert keep(store.latest("edges")) == keep(whole.latest("edges"))
-    shutil.rmtree(tmp_path / "store" / "triples" / "v=2")
-    with pytest.raises(RuntimeError):
-        T.refresh_batch(store, spark.createDataFrame([row(3)], kind), 13, ents)
+    ents = spark.createDataFrame([(str(i), f"N{i}", [], "Defense") for i in range(6)], ENTITIES)
+    claim = "claim_id string, paper_id string, subject string, predicate string, object string, operations array<string>, confidence double"
+    ext = ("extraction_id string, paper_id string, primary_operation string, study_design string, created_at timestamp, "
+           "mechanisms array<struct<upstream_entity:string,interaction_type:string,downstream_entity:string,context:string,confidence:double>>")
+    claims = [(f"c{i}", f"p{i % 7}", f"N{i % 6}", "activates", f"N{(i + 1 + i // 6) % 6}", [], 0.5) for i in range(12)]
+    exts = [(f"x{i}", f"p{i % 5}", f"op{i}", "cohort", pd.Timestamp(2024, 1, 1 + i).to_pydatetime(), [(f"N{i % 6}", "inhibits", f"N{(i + 2) % 6}", None, 0.7)]) for i in range(12)]
+    files = lambda b: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{out}/edges/bucket={b}/*.parquet")}
+    step = lambda b, i, o: T.refresh_batch(
+        spark.createDataFrame([claims[k] for k in i], claim), spark.createDataFrame([exts[k] for k in i], ext), b, ents, o, 4)
+    read = lambda o: sorted(map(str, spark.read.parquet(f"{o}/edges").drop("bucket").collect()))
+    out, whole = str(tmp_path / "refresh"), str(tmp_path / "whole")
+    for b in range(6):
+        step(b, [2 * b, 2 * b + 1], out)
+        if b == 3:
+            step(b, [2 * b, 2 * b + 1], out)  # retried
+    step(0, range(12), whole)
+    assert read(out) == read(whole)
+    before = {b: files(b) for b in range(4)}
+    step(6, [11], out)  # rows that are known: nothing changes but the files of the buckets of its paper's edges
+    heads = spark.read.parquet(f"{out}/heads").filter("batch = 6").select(F.explode("buckets").alias("b")).collect()
+    changed = {b for b in before if files(b) != before[b]}
+    assert read(out) == read(whole) and changed == {r["b"] for r in heads} and len(changed) < 4
 
 
 def test_web_search_syntax():

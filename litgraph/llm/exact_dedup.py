@@ -15,11 +15,11 @@ def _slot(seed: int, bits: int) -> Column:
 
 
 def _repeated_slots(hashed: DataFrame, bits: int) -> DataFrame:
-    """First pass: blocks of bits, a bit being set where two or more rows fall into its slot."""
+    """First pass: by range of hashes, blocks of bits, a bit being set where two or more rows fall into its slot."""
     return (
-        hashed.select(F.explode(F.array(_slot(0, bits), _slot(1, bits))).alias("slot"))
-        .groupBy("slot").count().filter(F.col("count") > 1)
-        .groupBy(F.expr(f"slot div {BLOCK_BITS}").alias("block"))
+        hashed.select("range", F.explode(F.array(_slot(0, bits), _slot(1, bits))).alias("slot"))
+        .groupBy("range", "slot").count().filter(F.col("count") > 1)
+        .groupBy("range", F.expr(f"slot div {BLOCK_BITS}").alias("block"))
         .agg(F.bitmap_construct_agg(F.col("slot") % BLOCK_BITS).alias("bitmap"))
     )
 
@@ -33,31 +33,56 @@ def _probe(rows: DataFrame, blocks: DataFrame, seed: int, bits: int) -> DataFram
         f"_hit{seed}", F.coalesce(is_set, F.lit(False))).drop("block", "bitmap", "_at")
 
 
+def probed_rows(hashed: DataFrame, total: int, bits_per_row: int, max_bits: int) -> DataFrame:
+    """``hashed`` (id, sha, range) with ``suspect``: whether both slots of a row are shared with other rows.
+
+    A table of more rows than ``max_bits`` serves has several ranges of hashes, each with a filter of its own: the rows of
+    a range meet its blocks alone, so the filter grows with the table and no broadcast is over 2 * ``max_bits`` / 8 bytes.
+    """
+    bits, ranges = _sizes(total, bits_per_row, max_bits)
+    blocks = _repeated_slots(hashed, bits)
+    if ranges > 1:
+        blocks = staged(blocks, "filter")
+    found = None
+    for n in range(ranges):
+        own = blocks.filter(F.col("range") == n).drop("range")
+        probed = _probe(_probe(hashed.filter(F.col("range") == n), own, 0, bits), own, 1, bits)
+        found = probed if found is None else found.unionByName(probed)
+    return found.withColumn("suspect", F.col("_hit0") & F.col("_hit1"))
+
+
+def _sizes(total: int, bits_per_row: int, max_bits: int) -> tuple[int, int]:
+    """Bits of a range's filter for each of the two slots, and ranges."""
+    ranges = max(-(-bits_per_row * total // max_bits), 1)
+    bits = BLOCK_BITS
+    while bits < min(bits_per_row * total / ranges, max_bits):
+        bits *= 2
+    return bits, ranges
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 8, max_bits: int = 1 << 27,
 ) -> DataFrame:
     """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256.
 
-    Equal texts form a group; its largest id stays. Pass one counts rows per filter slot (two slots per SHA-256), pass
-    two probes the slots' bitmaps: rows of which both slots are shared may be repeats and shuffle by their hash, all
-    others go straight through, as they are alone. The filter has ``bits_per_row`` bits a row for each of the two
-    slots, ``max_bits`` at most, so the broadcast is at most ``2 * max_bits / 8`` bytes (32 MiB by default); a fuller
-    filter lets more single rows shuffle and changes no result. Texts themselves never shuffle.
+    Equal texts form a group; its largest id stays. Pass one counts rows per filter slot (two slots per SHA-256; only slot
+    numbers shuffle, combined first), pass two probes the slots' bitmaps: rows of which both slots are shared may be
+    repeats and shuffle by their hash, all others go straight through, as they are alone. The filter has ``bits_per_row``
+    bits a row for each of the two slots at any number of rows, in parts of ``max_bits`` (see ``probed_rows``). Texts
+    themselves never shuffle.
 
     Null text counts as empty. Rows that share id and text are copies of one document: each is returned and kept
     alike (the pipeline drops such copies). A null id is smaller than any other; a group of null ids only keeps them.
     Empty input gives no rows; other columns are ignored.
     """
-    hashed = staged(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("sha")), "sha")
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("sha"))
+    hashed = staged(rows, "sha")
     total = hashed.count()
-    bits = BLOCK_BITS
-    while bits < min(bits_per_row * total, max_bits):
-        bits *= 2
-    blocks = _repeated_slots(hashed, bits)
-    probed = _probe(_probe(hashed, blocks, 0, bits), blocks, 1, bits)
-    suspect = F.col("_hit0") & F.col("_hit1")
-    alone = probed.filter(~suspect).select("sha", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    suspects = probed.filter(suspect).select("sha", "id")
+    ranges = _sizes(total, bits_per_row, max_bits)[1]
+    hashed = hashed.withColumn("range", F.pmod(F.xxhash64("sha", F.lit(2)), F.lit(ranges)).cast("int"))
+    probed = probed_rows(hashed, total, bits_per_row, max_bits)
+    alone = probed.filter("NOT suspect").select("sha", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    suspects = probed.filter("suspect").select("sha", "id")
     groups = suspects.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     met = join_groups(suspects, groups, ["sha"], "group_size", total, F.col("id"))
     return alone.unionByName(met.select(alone.columns)).select(

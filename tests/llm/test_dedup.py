@@ -146,8 +146,20 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {i: 0 for i in range(41)} | {1000 + k: 1000 for k in range(50)} | {5000: 4000, 4000: 4000}
 
 
-@pytest.mark.parametrize("bits", [8, 0])
-def test_exact_dedup_equals_brute_force(spark, bits):
+def test_filter_grows_with_the_rows(spark):
+    """Many more rows than one filter serves: nearly all single rows still go straight through, and no repeated one."""
+    rows = spark.range(300_000).selectExpr("id", "unhex(sha2(cast(if(id % 10 = 0, id % 1000, id) as string), 256)) sha")
+    bits, ranges = exact_dedup._sizes(300_000, 8, 1 << 18)
+    assert (bits, ranges) == (1 << 18, 10)
+    hashed = rows.selectExpr("*", f"cast(pmod(xxhash64(sha, 2), {ranges}) as int) range").cache()
+    found = exact_dedup.probed_rows(hashed, 300_000, 8, 1 << 18)
+    single = found.filter("id % 10 <> 0")
+    assert found.count() == 300_000 and found.filter("id % 10 = 0 AND NOT suspect").count() == 0
+    assert single.filter("suspect").count() < 0.03 * single.count()
+
+
+@pytest.mark.parametrize("bits,most", [(8, 1 << 27), (0, 1 << 27), (8, 100)])
+def test_exact_dedup_equals_brute_force(spark, bits, most):
     rows, df = documents(spark)
     by_text = defaultdict(list)
     for d, t in rows:
@@ -157,7 +169,7 @@ def test_exact_dedup_equals_brute_force(spark, bits):
         ids = [x for x in by_text[t or ""] if x is not None]
         keep = max(ids) if ids else None
         want.append((d, keep, len(by_text[t or ""]), d == keep, hashlib.sha256((t or "").encode()).hexdigest()))
-    got = [tuple(r) for r in exact_dedup.exact_dedup(df, bits_per_row=bits).collect()]
+    got = [tuple(r) for r in exact_dedup.exact_dedup(df, bits_per_row=bits, max_bits=most).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 

@@ -11,16 +11,15 @@ from litgraph.llm import (
     whitening,
 )
 from litgraph.llm.common import table
+from litgraph.llm.url_labels import labelled_urls
 
 
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-URL_MARKS = ("ads", "adult", "bets", "casino", "pills", "spam")
-"""Parts of hosts that label the training URLs."""
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = url_filter.train(url_filter.marked_hosts(pages, URL_MARKS))
+    model = url_filter.train(labelled_urls(spark))
     return url_filter.judge(pages, model, URL_RULES)
 
 

@@ -125,9 +125,3 @@ def judge(pages: DataFrame, model: UrlModel, rules: dict[str, str], id_col: str
     own = F.when(F.col("score") >= threshold, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
     return scored.withColumn("rule", rule).select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(verdict, own).alias("verdict"), "score")
-
-
-def marked_hosts(pages: DataFrame, marks: tuple[str, ...], url_col: str = "url") -> DataFrame:
-    """Labels of URLs: bad where a part of the host between dots and dashes is one of ``marks``."""
-    has_mark = F.arrays_overlap(F.split(host_of(F.col(url_col)), "[.-]"), F.array(*[F.lit(m) for m in marks]))
-    return pages.select(url_col, has_mark.alias("bad"))

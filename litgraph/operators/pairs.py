@@ -454,22 +454,67 @@ def _best(pdf: pd.DataFrame, limit: int | None) -> pd.DataFrame:
     return pdf if limit is None else pdf.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).head(limit)
 
 
-def similar_pairs_lsh(vecs: DataFrame, threshold=0.75, limit=500, id_col="vec_id", vec_col="embedding",
-                      bucket=1.0, tables=8, seed=42) -> DataFrame:
-    """X01, approximate: random-projection buckets of unit vectors, then the exact cosine."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    units = unit_vectors(vecs, id_col, vec_col).withColumn("features", array_to_vector("v"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(units)
-    near = model.approxSimilarityJoin(units, units, math.sqrt(2 - 2 * threshold) + 1e-9, "dist")
-    pairs = near.filter("datasetA.id < datasetB.id").select(
-        F.col("datasetA.id").alias("paper_a_id"), F.col("datasetB.id").alias("paper_b_id"),
-        (1 - F.col("dist") * F.col("dist") / 2).alias("similarity"))
-    return cap(pairs.filter(F.col("similarity") >= threshold),
-               [F.desc("similarity"), F.asc("paper_a_id"), F.asc("paper_b_id")], limit)
+def code_tables(n: int, width: int, threshold: float, recall: float = 0.97, bucket: int = 64, seed: int = 42) -> np.ndarray:
+    """Random hyperplanes (table, bit, dimension): so many bits that buckets hold about ``bucket`` of ``n`` vectors, and so
+    many tables that a pair just at the threshold shares a code with the probability ``recall``."""
+    bits = min(max(math.ceil(math.log2(max(n, 2) / bucket)), 1), 24)
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    tables = 1 if agree >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-(agree**bits)))
+    return np.random.default_rng(seed).standard_normal((tables, bits, width))
+
+
+def similar_pairs_lsh(vecs: DataFrame, threshold=0.75, limit: int | None = 500, id_col="vec_id", vec_col="embedding", block=1000) -> DataFrame:
+    """X01, approximate: pairs that share a code of signed random hyperplanes, then the exact cosine.
+
+    A code is the sides on which a vector lies of a table's hyperplanes. A vector also visits the bucket of the code with
+    its least certain bit turned over (multi-probe); a pair meets if either of the two is at home. Buckets over ``block``
+    vectors are dealt to blocks and each two blocks meet in a group of their own, so no group exceeds two blocks. Sparse
+    thresholds need more tables (see ``code_tables``), whose number grows with the vectors to a power under one.
+    """
+    units = cut_lineage(unit_vectors(vecs, id_col, vec_col))
+    id_type = units.schema["id"].dataType.simpleString()
+    n, width = units.select(F.count("*"), F.max(F.size("v"))).first()
+    planes = code_tables(n, width or 0, threshold)
+    bits = planes.shape[1]
+
+    def place(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at:at + 1000]
+                v = np.stack(part["v"].to_list())
+                for t, own in enumerate(planes):
+                    side = v @ own.T
+                    code = (side > 0) @ (1 << np.arange(bits))
+                    probe = code ^ (1 << np.abs(side).argmin(axis=1))
+                    for home, codes in ((True, code), (False, probe)):
+                        yield part.assign(t=np.int32(t), code=codes.astype("int64"), home=home)
+
+    placed = units.mapInPandas(place, f"id {id_type}, v array<double>, t int, code bigint, home boolean")
+    large = placed.groupBy("t", "code").count().filter(F.col("count") > block).select(
+        "t", "code", F.ceil(F.col("count") / block).cast("int").alias("nb"))
+    own = F.coalesce(F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"), F.lit(0))
+    met = (
+        placed.join(cut_lineage(large), ["t", "code"], "left").withColumn("p", own)
+        .withColumn("q", F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1)))
+        .select("id", "v", "home", "p", "t", "code", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")))
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, ids, home, p = np.stack(pdf["v"].to_list()), pdf["id"].to_numpy(), pdf["home"].to_numpy(), pdf["p"].to_numpy()
+        across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+        found = []
+        for at in range(0, len(v), 512):
+            i, j = np.nonzero(v[at:at + 512] @ v.T >= threshold - 1e-9)
+            i = i + at
+            ok = (ids[i] < ids[j]) & (home[i] | home[j]) & ((p[i] != p[j]) if across else True)
+            i, j = i[ok], j[ok]
+            found.append(pd.DataFrame({"a": ids[i], "b": ids[j], "similarity": (v[i] * v[j]).sum(axis=1)}))
+        return _best(pd.concat(found), limit)
+
+    near = met.groupBy("t", "code", "lo", "hi").applyInPandas(match, f"a {id_type}, b {id_type}, similarity double")
+    pairs = near.groupBy(F.col("a").alias("paper_a_id"), F.col("b").alias("paper_b_id")).agg(F.max("similarity").alias("similarity"))
+    pairs = pairs.filter(F.col("similarity") >= threshold)
+    order = [F.desc("similarity"), F.asc("paper_a_id"), F.asc("paper_b_id")]
+    return pairs if limit is None else cap(pairs, order, limit)
 
 
 def similar_to(vecs: DataFrame, query_id, k=20, id_col="vec_id", vec_col="embedding") -> DataFrame:

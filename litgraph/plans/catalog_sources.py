@@ -679,7 +679,10 @@ def _(t):
 
 
 @case("T04_suppression", """
-select event_id, coalesce(ts - interval 1 day < lag(ts) over (partition by user_id order by ts, event_id), false) as suppressed from events""")
+with recursive a as (select user_id, min(ts) as ts from events group by user_id
+ union all select e.user_id, min(e.ts) from a join events e on e.user_id = a.user_id and e.ts > a.ts + interval 1 day group by e.user_id),
+f as (select e.user_id, min(event_id) as event_id from events e join a on a.user_id = e.user_id and a.ts = e.ts group by e.user_id, e.ts)
+select event_id, event_id not in (select event_id from f) as suppressed from events""")
 def _(t):
     sends = t.events.select("event_id", F.col("event_id").alias("send_id"), num("user_id").alias("email"), F.col("ts").cast("timestamp").alias("sent_at"))
     return T.suppression(sends, 1).select("event_id", "suppressed")

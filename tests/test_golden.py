@@ -401,6 +401,10 @@ def test_suppression_in_order_of_time(spark, tmp_path):
     got = _run_stream(spark, tmp_path, batches, "email string, sent_at timestamp", lambda s: T.suppression_stream(s, 90))
     flagged = sorted((r.email, (r.sent_at - dt.datetime(2024, 1, 1)).days) for r in got if r.suppressed)
     assert len(got) == 11 and flagged == [("a@x", 450), ("c@x", 480)]
+    rows = [(i, e.strip().lower(), at) for i, (e, at) in enumerate(r for b in batches for r in b)] + [(99, "a@x", day(0))]
+    batch = T.suppression(spark.createDataFrame(rows, "send_id long, email string, sent_at timestamp"), 90).filter("suppressed").collect()
+    assert sorted((r.email, (r.sent_at - dt.datetime(2024, 1, 1)).days, r.send_id) for r in batch)[1:] == [("a@x", 450, 6), ("c@x", 480, 9)]
+    assert len(batch) == 3 and min(r.send_id for r in batch if r.sent_at == day(0)) == 99  # of equal times the first goes out
 
 
 def test_settling_in_order_of_polls(spark, tmp_path):

@@ -857,3 +857,22 @@ def _(t):
     ctx = S.paper_context(t.nested_papers(), t.nested_extractions(), t.connections, t.critiques)
     return ctx.select("paper_id", F.coalesce(F.size("connections"), F.lit(0)).cast("long").alias("connections"),
                       F.col("critique.overall_quality").alias("overall_quality"))
+
+
+@case("G28_bridge_report", f"""
+select 'path' as part, concat(cast(source as string), '>', cast(target as string)) as item, cast(hops as bigint) as n from ({G19}) g
+union all select 'papers_a', cast(paper_id as string), cast(null as bigint) from (select paper_id from fx_papers where contains(lower(title), 'paper 12') or contains(lower(abstract), 'paper 12') order by paper_id limit 10) a
+union all select 'papers_b', cast(paper_id as string), cast(null as bigint) from (select paper_id from fx_papers where contains(lower(title), 'paper 7') or contains(lower(abstract), 'paper 7') order by paper_id limit 10) b
+union all select 'similar', cast(paper_id as string), cast(null as bigint) from (
+ select b.vec_id as paper_id from (select vec_id, cast(embedding as double[]) as embedding from embeddings) a join (select vec_id, cast(embedding as double[]) as embedding from embeddings) b
+ on a.vec_id = 3 and b.vec_id <> 3 order by {COS} desc, b.vec_id limit 20) s""")
+def _(t):
+    nodes, edges = _graph(t)
+    linked = S.bridge_report(nodes, edges, t.papers, PR.similar_to(t.embeddings, 3), "E123", "E77")
+    about = S.bridge_report(nodes.limit(0), edges, t.papers, None, "paper 12", "paper 7")
+    none = F.lit(None).cast("long").alias("n")
+    rows = linked["paths"].select(F.lit("path").alias("part"), F.concat(F.col("source").cast("string"), F.lit(">"), F.col("target").cast("string")).alias("item"),
+                                  F.col("hops").cast("long").alias("n"))
+    for part, df in (("papers_a", about["papers_a"]), ("papers_b", about["papers_b"]), ("similar", linked["similar"])):
+        rows = rows.unionByName(df.select(F.lit(part).alias("part"), F.col("paper_id").cast("string").alias("item"), none))
+    return rows

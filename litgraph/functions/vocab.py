@@ -127,7 +127,7 @@ def chain_polarity(preds: Column) -> Column:
     pos = F.size(F.filter(preds, lambda p: p.isin(*L.POSITIVE_TYPES)))
     neg = F.size(F.filter(preds, lambda p: p.isin(*L.NEGATIVE_TYPES)))
     return (
-        F.when(pos > neg, "drives changes that ultimately influence")
-        .when(neg > pos, "disrupts a cascade that modulates")
-        .otherwise("is associated with changes in")
+        F.when(pos > neg, "on balance raises")
+        .when(neg > pos, "on balance lowers")
+        .otherwise("on balance goes along with")
     )

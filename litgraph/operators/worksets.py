@@ -157,21 +157,21 @@ def data_quality(papers: DataFrame) -> DataFrame:
               "claim_count": n["claim_count"] >= 2}
     text = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
     available = F.array_compact(F.array(
-        F.when(full, "Full paper text"),
+        F.when(full, "Full text"),
         *[F.when(t, k) for k, t in known.items()],
         F.when(enough["finding_count"], text(n["finding_count"].cast("string"), " key findings")),
         F.when(enough["entity_count"], text(n["entity_count"].cast("string"), " entities")),
         F.when(enough["claim_count"], text(n["claim_count"].cast("string"), " claims")),
     ))
     missing = F.array_compact(F.array(
-        F.when(source == "abstract_only", "Full paper text (abstract only)")
-        .when(~full, "Full paper text (unknown source)"),
+        F.when(source == "abstract_only", "Full text (abstract alone)")
+        .when(~full, "Full text (source not known)"),
         *[F.when(~t, k) for k, t in known.items()],
-        F.when(~enough["finding_count"], "Key findings (fewer than 2 extracted)"),
+        F.when(~enough["finding_count"], "Key findings (under two)"),
         F.when(~enough["entity_count"],
-               text("Entities (only ", n["entity_count"].cast("string"), " extracted)")),
+               text("Entities (only ", n["entity_count"].cast("string"), " found)")),
         F.when(~enough["claim_count"],
-               text("Claims (only ", n["claim_count"].cast("string"), " extracted)")),
+               text("Claims (only ", n["claim_count"].cast("string"), " found)")),
     ))
     done = F.coalesce("extraction_completeness", F.lit(0.0))
     return (

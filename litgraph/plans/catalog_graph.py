@@ -676,9 +676,9 @@ RANKED = SCORED + """, r as (select * from (select *, row_number() over (partiti
 
 @case("D08_hypothesis_brief", RANKED + """
 select keys[1] as run_id, concat(names[1], ' ',
- case when len(list_filter(preds, lambda z: z in ('activates', 'upregulates', 'induces', 'is_upstream_of'))) > len(list_filter(preds, lambda z: z in ('inhibits', 'blocks', 'downregulates', 'is_downstream_of'))) then 'drives changes that ultimately influence'
-  when len(list_filter(preds, lambda z: z in ('activates', 'upregulates', 'induces', 'is_upstream_of'))) < len(list_filter(preds, lambda z: z in ('inhibits', 'blocks', 'downregulates', 'is_downstream_of'))) then 'disrupts a cascade that modulates'
-  else 'is associated with changes in' end, ' ', names[len(names)], ' over ', cast(hops as string), ' step(s), passing ',
+ case when len(list_filter(preds, lambda z: z in ('activates', 'upregulates', 'induces', 'is_upstream_of'))) > len(list_filter(preds, lambda z: z in ('inhibits', 'blocks', 'downregulates', 'is_downstream_of'))) then 'on balance raises'
+  when len(list_filter(preds, lambda z: z in ('activates', 'upregulates', 'induces', 'is_upstream_of'))) < len(list_filter(preds, lambda z: z in ('inhibits', 'blocks', 'downregulates', 'is_downstream_of'))) then 'on balance lowers'
+  else 'on balance goes along with' end, ' ', names[len(names)], ' over ', cast(hops as string), ' step(s), passing ',
  array_to_string(list_filter(ops, lambda o, i: i = 1 or o <> ops[i - 1]), ', then '), '.') as thesis from r where rn = 1""")
 def _(t):
     return B.hypothesis_brief(_ranked(t), t.edges).select("run_id", "thesis")

@@ -73,3 +73,20 @@ def test_searches_end_when_each_group_is_full(spark):
     goals = spark.createDataFrame([("x", "g1"), ("y", "g2")], "frame_id string, resolved_name string")
     got = paths.enumerate_paths(edges, seeds, goals, max_hops=3, path_limit=1, carry=("frame_id",)).collect()
     assert {(r["frame_id"], "|".join(r["path_keys"])) for r in got} == {("x", "a|g1"), ("y", "c|d|g2")}
+
+
+def test_template_brief_document(spark):
+    from litgraph.operators import briefs
+
+    nodes = spark.createDataFrame([("a", 4, ["f1", "f2", "f3", "f4"], "convergent"), ("b", 3, ["f1", "f2", "f3"], "convergent"), ("c", 2, ["f1", "f2"], "bridge")],
+                                  "node string, frame_count long, frames array<string>, kind string")
+    stats = spark.createDataFrame([("f2", "Second", "why?", 9, 0.25, False), ("f1", "First", "how?", 1, 0.5, True)],
+                                  "frame_id string, label string, frame_question string, paths_scored long, top_score double, thin boolean")
+    text = briefs.template_brief(nodes, stats, "What helps?", None).head()["brief_md"]
+    assert text == "\n\n".join([
+        "# Brief: What helps?", "**Condition:** unspecified", "## Findings by frame",
+        "### First\n*how?*\n- Paths scored: 1\n- Top score: 0.500\n### Second\n*why?*\n- Paths scored: 9\n- Top score: 0.250",
+        "## Nodes of three frames or more", "- **a** — 4 frames: f1, f2, f3, f4\n- **b** — 3 frames: f1, f2, f3",
+        "## Nodes of two frames", "- **c** — f1 ↔ f2", "## Gaps", "- First: 1 paths (thin)"])
+    none = briefs.template_brief(nodes.limit(0), stats.limit(0), "q", "c").head()["brief_md"]
+    assert none.startswith("# Brief: q\n\n**Condition:** c\n\n## Findings by frame\n\n")

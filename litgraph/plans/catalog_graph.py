@@ -590,12 +590,12 @@ def _scored(t, names=("E1", "E2", "E3", "E5", "E8")):
 
 
 @case("D03_score_paths", SCORED + """
-select path_key, round(novelty, 3) as novelty, round(plausibility, 3) as plausibility, cast(weakest_edge_idx as bigint) as weakest_edge_idx, weakest_edge_support,
- round(composite, 2) as composite from f""")
+select path_key, round(novelty, 4) as novelty, round(coherence, 4) as coherence, round(plausibility, 4) as plausibility, round(cn, 4) as contradiction_load,
+ cast(weakest_edge_idx as bigint) as weakest_edge_idx, weakest_edge_support, round(composite, 4) as composite from f""")
 def _(t):
     return _scored(t).select(
-        "path_key", F.round("novelty", 3).alias("novelty"), F.round("plausibility", 3).alias("plausibility"),
-        F.col("weakest_edge_idx").cast("long").alias("weakest_edge_idx"), "weakest_edge_support", F.round("composite", 2).alias("composite"))
+        "path_key", "novelty", "coherence", "plausibility", "contradiction_load",
+        F.col("weakest_edge_idx").cast("long").alias("weakest_edge_idx"), "weakest_edge_support", "composite")
 
 
 @case("D03_best_paths", SCORED + """

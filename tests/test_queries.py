@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from litgraph.plans.derive import BASE_TABLES
@@ -65,3 +68,15 @@ def test_incremental_refresh_equals_rebuild(spark, duck):
     cur = duck.execute(oracle_sql()["T01_refresh_stream"])
     cols = [d[0] for d in cur.description]
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(cols, cur.fetchall())
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    for at in ("a", "b"):
+        shutil.copytree(SF, tmp_path / "x", dirs_exist_ok=True)
+        (tmp_path / "x/documents.parquet").rename(tmp_path / at)
+    (tmp_path / "x/documents.parquet").mkdir()
+    for at in ("a", "b"):
+        (tmp_path / at).rename(tmp_path / f"x/documents.parquet/{at}.parquet")
+    got = {r.watchlist_id: r.new_count for r in queries()["T05_watchlist_stream"](spark, str(tmp_path / "x")).collect()}
+    want = {r.source: r.n for r in spark.read.parquet(f"{SF}/documents.parquet").groupBy("source").agg(F.count_distinct("doc_id").alias("n")).collect()}
+    assert got == want

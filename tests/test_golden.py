@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litgraph.functions import text as X, vocab as V
-from litgraph.operators import briefs, entities as E, outreach, pairs, paths, search, sinks
+from litgraph.operators import briefs, entities as E, joins, outreach, pairs, paths, search, sinks
 from litgraph.plans import catalog
 from litgraph.sources import articles, metadata, model_output
 
@@ -469,3 +469,13 @@ def test_web_search_syntax():
     assert parse_query('"beta alpha" -gamma') == [g(["alpha", "beta"], [["beta", "alpha"]], [["gamma"]])]
     assert parse_query('IL-6 or -"a b"') == [g(["il", "6"], [["il", "6"]]), g([], [], [["a", "b"]])]
     assert parse_query("a or B", "and") == [g(["a", "b", "or"])]
+
+
+def test_citations_by_titles_that_go_on_for_a_few_characters(spark):
+    ref = "array<struct<title:string,doi:string>>"
+    papers = spark.createDataFrame(
+        [(1, "-", None, [("PAPER 1", None)]), (2, "Paper 1", None, []), (3, "Paper 12345", None, []), (4, "Paper 123456", None, []),
+         (5, "x" * 80, None, []), (6, "-", None, [("x" * 80, None)])], f"paper_id long, title string, doi string, references_list {ref}")
+    found = lambda *rest: {tuple(r) for r in joins.citations(papers, *rest).collect()}
+    assert found(4) == {(1, 2), (1, 3), (6, 5)}
+    assert found() == {(1, 2), (1, 3), (1, 4), (6, 5)}

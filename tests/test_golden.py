@@ -471,6 +471,22 @@ def test_web_search_syntax():
     assert parse_query("a or B", "and") == [g(["a", "b", "or"])]
 
 
+def test_graph_tells_claims_with_colliding_short_ids_apart(spark):
+    from litgraph.functions.scores import short_id
+
+    names = ["claim 18196154", "claim 26306642"]
+    kind = "array<struct<text:string,claim_type:string>>"
+    made = spark.createDataFrame([(n,) for n in names], "t string").select(short_id(F.concat(F.lit("1:claim:0:"), "t")).alias("id"))
+    assert made.distinct().count() == 1
+    papers = spark.createDataFrame([(1, "T", None, [])], "paper_id long, title string, abstract string, authors array<string>")
+    ext = spark.createDataFrame([(1, n, [], [(n, "causal")], [], []) for n in names],
+                                "paper_id long, extraction_id string, entities array<struct<text:string,entity_type:string>>, "
+                                f"claims {kind}, mechanisms array<struct<description:string,interaction_type:string>>, "
+                                "methods array<struct<name:string,category:string>>")
+    nodes, edges = E.build_graph(papers, ext)
+    assert nodes.filter("label = 'Claim'").count() == 2 and edges.filter("type = 'MAKES_CLAIM'").count() == 2
+
+
 def test_citations_by_titles_that_go_on_for_a_few_characters(spark):
     ref = "array<struct<title:string,doi:string>>"
     papers = spark.createDataFrame(

@@ -355,41 +355,73 @@ def _tables(keys: np.ndarray):
     return run
 
 
-def _neighbours(radius: int, rows_at_once: int = 1 << 14):
-    """For partitions sorted by (t, key, pair): the pairs (a, b, distance) of each bucket's minimum spanning forest."""
-    def found(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-        new = np.ones(len(x["t"]), bool)
-        new[1:] = (x["t"][1:] != x["t"][:-1]) | (x["key"][1:] != x["key"][:-1]) | (x["pair"][1:] != x["pair"][:-1])
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(new)))
-        many = np.flatnonzero(np.repeat(size > 1, size))
-        size = size[size > 1]
-        a, b, distance = [], [], np.zeros(0, np.int64)
-        if len(many):
-            ends = np.repeat(np.cumsum(size), size)
-            fps = np.stack([x[f"f{w}"][many] for w in range(WORDS)], axis=1).view(np.uint64)
-            i, j, apart = sliced_distances(fps, ends - np.repeat(size, size), ends, radius)
+def _buckets(batches: Iterator[pa.RecordBatch], rows_at_once: int = 1 << 14) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of whole buckets, from a partition sorted by (t, key, pair)."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        now = {f: batch.column(n).to_numpy(zero_copy_only=False) for n, f in enumerate(batch.schema.names)}
+        held = now if held is None else {k: np.concatenate([held[k], v]) for k, v in now.items()}
+        if len(held["t"]) >= rows_at_once:
+            last = np.flatnonzero((held["t"] != held["t"][-1]) | (held["key"] != held["key"][-1]) | (held["pair"] != held["pair"][-1]))
+            if len(last):  # all buckets but the last one are whole
+                yield {k: v[:last[-1] + 1] for k, v in held.items()}
+                held = {k: v[last[-1] + 1:] for k, v in held.items()}
+    if held is not None and len(held["t"]):
+        yield held
+
+
+def _candidates(x: dict[str, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(many, i, j, distance): rows of buckets of two or more, and the pairs within the radius as numbers of those rows."""
+    new = np.ones(len(x["t"]), bool)
+    new[1:] = (x["t"][1:] != x["t"][:-1]) | (x["key"][1:] != x["key"][:-1]) | (x["pair"][1:] != x["pair"][:-1])
+    size = np.diff(np.append(np.flatnonzero(new), len(new)))
+    many = np.flatnonzero(np.repeat(size > 1, size))
+    size = size[size > 1]
+    if not len(many):
+        return many, many, many, many
+    ends = np.repeat(np.cumsum(size), size)
+    fps = np.stack([x[f"f{w}"][many] for w in range(WORDS)], axis=1).view(np.uint64)
+    return many, *sliced_distances(fps, ends - np.repeat(size, size), ends, radius)
+
+
+def _neighbours(radius: int):
+    """For partitions sorted by (t, key, pair): the pairs (a, b, distance) of each bucket's minimum spanning forest.
+
+    Members of other pairs within the radius follow as rows with ``b`` null, with their bucket and fingerprint.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _buckets(batches):
+            many, i, j, apart = _candidates(x, radius)
             kept = nearest_forest(len(many), i, j, apart)
-            a, b, distance = x["node"][many[i[kept]]], x["node"][many[j[kept]]], apart[kept]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(distance, pa.int32())], ["a", "b", "distance"])
+            rest = np.ones(len(i), bool)
+            rest[kept] = False
+            open_ = many[np.unique(np.concatenate([i[rest], j[rest]]))]
+            a, b = x["node"][many[i[kept]]], x["node"][many[j[kept]]]
+            rows = len(a) + len(open_)
+            only = lambda v, kind: pa.concat_arrays([pa.nulls(len(a), kind), pa.array(v[open_], kind)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*a, *x["node"][open_]], pa.binary()), pa.array([*b, *[None] * len(open_)], pa.binary()),
+                 pa.array(np.append(apart[kept], np.zeros(rows - len(a), np.int64)), pa.int32()),
+                 only(x["t"], pa.int32()), *(only(x[f], pa.int64()) for f in ("key", "pair", *(f"f{w}" for w in range(WORDS))))],
+                ["a", "b", "distance", "t", "key", "pair", *(f"f{w}" for w in range(WORDS))])
+    return run
 
+
+def _crossing(radius: int):
+    """For partitions sorted by (t, key, pair): all pairs (a, b) within the radius whose roots differ."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            now = {f: batch.column(n).to_numpy(zero_copy_only=False) for n, f in enumerate(batch.schema.names)}
-            held = now if held is None else {k: np.concatenate([held[k], v]) for k, v in now.items()}
-            if len(held["t"]) >= rows_at_once:
-                last = np.flatnonzero((held["t"] != held["t"][-1]) | (held["key"] != held["key"][-1]) | (held["pair"] != held["pair"][-1]))
-                if len(last):  # all buckets but the last one are whole
-                    yield found({k: v[:last[-1] + 1] for k, v in held.items()})
-                    held = {k: v[last[-1] + 1:] for k, v in held.items()}
-        if held is not None and len(held["t"]):
-            yield found(held)
+        for x in _buckets(batches):
+            many, i, j, _ = _candidates(x, radius)
+            i, j = many[i], many[j]
+            apart = x["root"][i] != x["root"][j]
+            i, j = i[apart], j[apart]
+            for at in range(0, len(i), SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array(x["node"][n[at:at + SLICE]], pa.binary()) for n in (i, j)], ["a", "b"])
     return run
 
 
 def _near_pairs(nodes: DataFrame, radius: int) -> DataFrame:
-    """(a, b, distance) of nodes that share a table's key and differ in ``radius`` bits at most; see ``similar_groups``."""
+    """Rows of ``_neighbours`` over nodes that share a table's key and differ in ``radius`` bits at most; see ``similar_groups``."""
     keys = table_keys(nodes.count())
     fields = [f"f{w}" for w in range(WORDS)]
     rows = nodes.select("node", *fields).mapInArrow(_tables(keys), "t int, key bigint, node binary, " + ", ".join(f"{f} bigint" for f in fields))
@@ -401,8 +433,7 @@ def _near_pairs(nodes: DataFrame, radius: int) -> DataFrame:
     rows = rows.withColumn("pair", F.explode(F.coalesce(meets, F.array(F.lit(0).cast("long")))))
     order = ("t", "key", "pair")
     dealt = rows.select(*order, "node", *fields).repartition(parts(nodes.sparkSession), *order).sortWithinPartitions(*order)
-    found = dealt.mapInArrow(_neighbours(radius), "a binary, b binary, distance int")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
+    return dealt.mapInArrow(_neighbours(radius), "a binary, b binary, distance int, t int, key bigint, pair bigint, " + ", ".join(f"{f} bigint" for f in fields))
 
 
 def similar_groups(
@@ -412,10 +443,11 @@ def similar_groups(
 
     Links are pairs of texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more.
     Candidates share a table's key of their long fingerprints (see ``table_keys``) and differ in ``radius`` bits at most;
-    at 0.8 that finds some 94 of 100 pairs, more above. Within a bucket only a minimum spanning forest by distance goes
-    on, not all pairs, so a group of copies gives about as many rows as it has members; buckets over BLOCK are dealt to
+    at 0.8 that finds some 94 of 100 pairs, more above. Within a bucket a minimum spanning forest by distance goes on
+    first, not all pairs, so a group of copies gives about as many rows as it has members; buckets over BLOCK are dealt to
     pairs of blocks. Candidates are then checked on the shingle sets themselves: first each text's nearest one, then
-    those that would join groups that are still apart.
+    those that would join groups that are still apart, last all pairs that the forests left out and whose ends are still
+    apart, so no candidate that links two groups is lost.
 
     Texts with the same first two words of the fingerprint are one node. Null texts are empty, and all empty texts are
     alike. A group's least row by id, then by text hash, leads; rows that repeat both lead alike. Null ids come last.
@@ -439,9 +471,12 @@ def similar_groups(
     sketches = staged(rows.mapInArrow(sketch, f"id {kind}, h bigint, h2 bigint, node binary, " + ", ".join(f"{f} bigint" for f in fields)), "sketches")
     least = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h", "h2", *fields)).alias("least")
     nodes = staged(sketches.groupBy("node").agg(least, F.count("*").alias("n")).select("node", "n", "least.*"), "nodes")
-    pairs = staged(_near_pairs(nodes, radius), "pairs")
+    near = staged(_near_pairs(nodes, radius), "near")
+    ordered = lambda found: found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[c for c in found.columns if c == "distance"])
+    pairs = staged(ordered(near.filter(F.col("b").isNotNull()).select("a", "b", "distance")).distinct(), "pairs")
+    members = near.filter(F.col("b").isNull()).select("t", "key", "pair", F.col("a").alias("node"), *fields)
 
-    # the shingle sets of texts in pairs, one text a node
+    # the shingle sets of texts in pairs, one text a node; every member of a pair is in some pair of the forest
     paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     picked = nodes.join(paired, "node", "left_semi").select("node", "id", "h", "h2")
 
@@ -468,7 +503,16 @@ def similar_groups(
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     left = pairs.join(nearest, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     apart = left.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    roots = components(staged(links.unionByName(checked(apart)), "all-links"))
+    links = staged(links.unionByName(checked(apart)), "forest-links")
+    roots = staged(components(links), "forest-roots")
+
+    # pairs that a forest left out matter if their ends are still apart
+    order = ("t", "key", "pair")
+    placed = members.join(root("node"), "node", "left").withColumn("root", F.coalesce("node_root", "node")).drop("node_root")
+    mixed = placed.groupBy(*order).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select(*order)
+    dealt = placed.join(mixed, list(order), "left_semi").repartition(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    rest = ordered(dealt.mapInArrow(_crossing(radius), "a binary, b binary")).distinct().join(pairs, ["a", "b"], "left_anti")
+    roots = components(staged(links.unionByName(checked(rest)), "all-links"))
 
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct("z", "id", "h", "h2", "node")).alias("first")

@@ -162,3 +162,28 @@ def test_run_equals_brute_force(spark):
     for r in corpus_pipeline.run(spark, SF).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == want
+
+
+def test_links_that_a_forest_leaves_out(spark):
+    """Pairs near the threshold: a nearer pair of the forest may fail the check while one left out of it passes."""
+    rnd, texts = random.Random(16), []
+    for _ in range(150):
+        base = [f"{rnd.randrange(1 << 30):x}" for _ in range(rnd.randint(80, 104))]
+        for _ in range(8):
+            copy = list(base)
+            copy[rnd.randrange(len(copy))] = f"{rnd.randrange(1 << 30):x}"
+            texts.append(" ".join(copy))
+    shingles, bounds = simhash.shingle_sets(texts)
+    fps = simhash.long_fingerprints(shingles, bounds)
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+    keys, sets, pairs = simhash.table_keys(len(texts)), [set(shingles[a:b].tolist()) for a, b in zip(bounds, bounds[1:])], []
+    for group in range(0, len(texts), 8):
+        for i in range(group, group + 8):
+            for j in range(i + 1, group + 8):
+                differ = bits[i] != bits[j]
+                both = len(sets[i] & sets[j])
+                if differ.sum() <= simhash.RADIUS and not differ[keys].any(axis=1).all() and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    pairs.append((i, j))
+    want = simhash.stars(len(texts), *np.array(pairs).T)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(want.tolist()))

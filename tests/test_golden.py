@@ -495,3 +495,13 @@ def test_citations_by_titles_that_go_on_for_a_few_characters(spark):
     found = lambda *rest: {tuple(r) for r in joins.citations(papers, *rest).collect()}
     assert found(4) == {(1, 2), (1, 3), (6, 5)}
     assert found() == {(1, 2), (1, 3), (1, 4), (6, 5)}
+
+
+def test_frame_endpoints_by_grouping(spark):
+    frames = spark.createDataFrame([("f", ["B", "a", "b", None, "A"], ["{condition} x", "GOUT X", "y"]), ("g", [], ["Y"])],
+                                   "frame_id string, default_seeds array<string>, target_templates array<string>")
+    seeds, targets = briefs.frame_endpoints(frames, "gout")
+    assert {tuple(r) for r in seeds.collect()} == {("f", "B"), ("f", "a")}
+    assert {tuple(r) for r in targets.collect()} == {("f", "gout x"), ("f", "y"), ("g", "Y")}
+    for df in (seeds, targets):  # no comparison of all names with all others
+        assert "array_position" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from itertools import combinations, product
 
-from litgraph.operators import paths
+import pytest
+
+from litgraph.operators import pairs, paths
 
 
 def shuffled(spark, run):
@@ -42,3 +45,31 @@ def test_co_mentions_stay_within_papers(spark):
         want[a, b] = sum(any(x != y for x in touch.get((p, a), ()) for y in touch.get((p, b), ())) for p in range(400))
     assert {(r.endpoint_a, r.endpoint_b): r.co_mentions for r in got} == dict(want)
     assert n < 30_000, n
+
+
+def most_shared(rows, least, limit):
+    keys = {}
+    for p, k in rows:
+        keys.setdefault(p, set()).add(k)
+    found = ((len(keys[a] & keys[b]), a, b) for a, b in combinations(sorted(keys), 2))
+    return sorted((x for x in found if x[0] >= least), key=lambda x: (-x[0], *x[1:]))[:limit]
+
+
+def test_pairs_meet_on_two_keys_at_once(spark):
+    # Each of 40 keys has 100 papers: 100,000 pairs share the rarer key of one of them, some thousands share two.
+    deal = random.Random(3)
+    rows = [(p, f"k{k}") for p in range(2000) for k in deal.sample(range(40), 2)]
+    df = spark.createDataFrame(rows, "paper_id long, entity string")
+    got, n = shuffled(spark, lambda: pairs.top_shared(df, "entity", "paper_id", 2, 100_000).collect())
+    assert sorted(((r.shared_count, r.a, r.b) for r in got), key=lambda x: (-x[0], *x[1:])) == most_shared(rows, 2, 100_000)
+    assert n < 80_000, n
+
+
+@pytest.mark.parametrize("least, limit", [(2, 5), (2, 100000), (3, 60), (1, 100000)])
+def test_ids_with_many_keys_meet_those_with_few(spark, monkeypatch, least, limit):
+    monkeypatch.setattr(pairs, "FEW", 3)
+    deal = random.Random(least + limit)
+    rows = sorted({(p, f"k{int(deal.random() ** 2 * 12)}") for p in range(40) for _ in range(1 + p % 7)})
+    df = spark.createDataFrame(rows, "paper_id long, entity string")
+    got = pairs.top_shared(df, "entity", "paper_id", least, limit, block=7).collect()
+    assert sorted(((r.shared_count, r.a, r.b) for r in got), key=lambda x: (-x[0], *x[1:])) == most_shared(rows, least, limit)

@@ -8,7 +8,7 @@ from itertools import combinations, product
 
 import pytest
 
-from litgraph.operators import pairs, paths
+from litgraph.operators import mentions, pairs, paths
 
 
 def shuffled(spark, run):
@@ -73,3 +73,13 @@ def test_ids_with_many_keys_meet_those_with_few(spark, monkeypatch, least, limit
     df = spark.createDataFrame(rows, "paper_id long, entity string")
     got = pairs.top_shared(df, "entity", "paper_id", least, limit, block=7).collect()
     assert sorted(((r.shared_count, r.a, r.b) for r in got), key=lambda x: (-x[0], *x[1:])) == most_shared(rows, least, limit)
+
+
+def test_large_dictionaries_stay_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(mentions, "PART_BYTES", 200)
+    monkeypatch.setattr(mentions, "trie_of", lambda terms: pytest.fail("a part of the dictionary on the driver"))
+    words = spark.createDataFrame([(f"red fox{i}" if i else "red fox", f"e{i}", "canonical") for i in range(100)] + [("fox", "f", "alias")],
+                                  "term string, entity_id string, source string")
+    texts = spark.createDataFrame([(1, "A Red fox, red fox7; fox"), (1, "a fox8"), (2, None)], "k long, body string")
+    got = {(r["k"], r["at"], r["match_text"], r["entity_id"]) for r in mentions.find(texts, words, "body").collect()}
+    assert got == {(1, 2, "Red fox", "e0"), (1, 7, "red fox7", "e7"), (1, 12, "fox", "f")}

@@ -36,3 +36,31 @@ def test_recall_on_embeddings(spark):
     got = {(r["paper_a_id"], r["paper_b_id"]) for r in pairs.similar_pairs_lsh(rows, 0.35, None).collect()}
     assert got <= want and len(got) >= 0.95 * len(want) > 0
     assert pairs.similar_pairs_lsh(rows.limit(0)).collect() == []
+
+
+def test_few_tables_for_many_vectors():
+    made = [len(pairs.code_tables(120_000, 64, t)) for t in (0.9, 0.6, 0.35)]
+    assert made == sorted(made) and made[-1] < 100  # each vector travels twice a table at most
+    low, high = pairs.code_tables(120_000, 64, 0.35), pairs.code_tables(120_000, 64, 0.9)
+    assert np.array_equal(low[:len(high)], high)
+
+
+def test_steps_down_to_the_limit(spark):
+    v = np.random.default_rng(5).standard_normal((1500, 48)).astype("float32")
+    v[1400:] = v[:100] + np.float32(0.3) * v[100:200]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    i, j = np.triu_indices(len(v), 1)
+    s = (unit @ unit.T)[i, j]
+    best = {(int(a), int(b)) for a, b in zip(i[np.argsort(-s)[:300]], j[np.argsort(-s)[:300]])}
+    got = {(r["paper_a_id"], r["paper_b_id"]): r["similarity"] for r in pairs.similar_pairs_lsh(rows, 0.35, 300, block=100).collect()}
+    assert len(got) == 300 and len(best & set(got)) >= 0.93 * 300
+    assert all(abs(unit[a] @ unit[b] - x) < 1e-9 for (a, b), x in got.items())
+
+
+def test_rows_are_placed_few_at_a_time(spark, monkeypatch):
+    v = np.random.default_rng(6).standard_normal((300, 12)).astype("float32")
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(pairs, "PLACED", 7)
+    got = {(r["paper_a_id"], r["paper_b_id"]) for r in pairs.similar_pairs(rows, 0.5, None, pivots=9, block=20).collect()}
+    assert got == exact(v.astype(float), list(range(300)), 0.5) and pairs.measured_vectors(rows).schema["v"].dataType.simpleString() == "array<float>"

@@ -39,7 +39,8 @@ UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u34
 """Characters of scripts without blanks (Thai, Lao, Burmese, Khmer, kana, Han): each is a word."""
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BITMAP_BITS = 24  # the bitmap of the benchmark's windows, 2 MiB, sorts out nearly all other windows before the join
-KNOWN_CHUNKS = 400_000  # strings between blanks that a task remembers; beyond, it starts anew
+KNOWN_CHUNKS = 200_000  # strings between blanks that a task remembers; beyond, it starts anew
+CHARS = 500_000  # characters of texts whose windows a task holds at once
 BROADCAST_BYTES = 32 << 20  # the benchmark's windows are broadcast to the join up to this size, as measured
 
 
@@ -257,7 +258,7 @@ def _windows(rows: DataFrame, width: int, bitmap: np.ndarray | None) -> DataFram
         lexicon = Lexicon()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in in_groups(texts):
+            for a, b in in_groups(texts, CHARS):
                 owner, ats, plain, hashes, fillers = [], [], [], [], []
                 for codes in templates(lexicon, texts[a:b], bare=bitmap is None):
                     for places, total, named, wide in window_hashes(codes, width, bitmap is not None):

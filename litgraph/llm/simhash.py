@@ -18,6 +18,7 @@ from litgraph.llm.tokens import in_groups
 
 BLOCK = 1024  # fingerprints of a bucket that meet in one task; larger buckets are dealt to pairs of such blocks
 SLICE = 1 << 16  # shingles that are hashed at once
+CHARS = 500_000  # characters of texts whose shingles a task holds at once
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -462,7 +463,7 @@ def similar_groups(
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in in_groups(texts):
+            for a, b in in_groups(texts, CHARS):
                 fps = long_fingerprints(*shingle_sets(texts[a:b], width)).view(np.int64)
                 node = [f.tobytes() for f in fps[:, :2]]
                 yield pa.RecordBatch.from_arrays(
@@ -483,7 +484,7 @@ def similar_groups(
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in in_groups(texts):
+            for a, b in in_groups(texts, CHARS):
                 shingles, bounds = shingle_sets(texts[a:b], width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(
                     pa.array(bounds, pa.int32()), pa.array(shingles.view(np.int64)))], ["node", "shingles"])

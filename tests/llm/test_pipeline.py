@@ -187,3 +187,12 @@ def test_links_that_a_forest_leaves_out(spark):
     want = simhash.stars(len(texts), *np.array(pairs).T)
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, list(enumerate(texts)))).collect()}
     assert got == dict(enumerate(want.tolist()))
+
+
+def test_batches_are_small_and_the_session_keeps_its_own(spark, monkeypatch):
+    conf, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    stage = lambda spark, docs, sf_dir: seen.append(int(spark.conf.get(conf))) or docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", stage), ("last", stage)])
+    before = spark.conf.get(conf)
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert seen == [2000, 2000] and spark.conf.get(conf) == before

@@ -138,12 +138,15 @@ def jats_record(body) -> dict:
     }
 
 
+PARSED = 200  # articles whose parsed fields a Python worker holds at once
+
+
 def parse_jats(df: DataFrame, xml_col: str, id_col: str = "article_id") -> DataFrame:
-    """Article fields of JATS documents (text, bytes or gzip)."""
+    """Article fields of JATS documents (text, bytes or gzip), parsed few at a time."""
     names = [c.strip().split(" ")[0] for c in ARTICLE_SCHEMA.split(", ") if " " in c]
 
     def rows(batches):
-        for pdf in batches:
+        for pdf in (b.iloc[at:at + PARSED] for b in batches for at in range(0, len(b), PARSED)):
             recs = [{"article_id": i, **jats_record(x)} for i, x in zip(pdf["article_id"], pdf["body"])]
             yield pd.DataFrame(recs, columns=names).astype(object).where(lambda d: d.notna(), None)
 

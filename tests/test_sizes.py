@@ -75,6 +75,21 @@ def test_ids_with_many_keys_meet_those_with_few(spark, monkeypatch, least, limit
     assert sorted(((r.shared_count, r.a, r.b) for r in got), key=lambda x: (-x[0], *x[1:])) == most_shared(rows, least, limit)
 
 
+def test_claim_pairs_leave_small_papers_aside(spark, monkeypatch):
+    # 3,000 papers with a claim or two of each of four types; 30 papers with up to nine more. Ids are dealt out of order.
+    deal = random.Random(5)
+    rows = [(p * 7919 % 3001, t) for p in range(3000) for t in "abcd" for _ in range(1 + (p % 40 == 0) + (p % 100 == 0) * deal.randrange(9))]
+    claims = spark.createDataFrame(rows, "paper_id long, claim_type string")
+    kept, real = [], pairs.cut_lineage
+    monkeypatch.setattr(pairs, "cut_lineage", lambda df: (kept.append(df.count()) if "counts" in df.columns else None) or real(df))
+    got = pairs.convergent_claim_pairs(claims, 40).collect()
+    size = Counter(p for p, _ in rows)
+    want = sorted(((size[a] + size[b], a, b) for a, b in combinations(sorted(size, key=lambda p: (-size[p], p))[:200], 2)))
+    want = sorted(((x, min(a, b), max(a, b)) for x, a, b in want), key=lambda x: (-x[0], *x[1:]))[:40]
+    assert sorted(((r.shared_count, r.paper_a_id, r.paper_b_id) for r in got), key=lambda x: (-x[0], *x[1:])) == want
+    assert kept[0] == 3000 and kept[-1] < 100, kept  # only papers that can matter are ranked for every set of types
+
+
 def test_large_dictionaries_stay_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(mentions, "PART_BYTES", 200)
     monkeypatch.setattr(mentions, "trie_of", lambda terms: pytest.fail("a part of the dictionary on the driver"))

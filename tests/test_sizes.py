@@ -90,6 +90,22 @@ def test_claim_pairs_leave_small_papers_aside(spark, monkeypatch):
     assert kept[0] == 3000 and kept[-1] < 100, kept  # only papers that can matter are ranked for every set of types
 
 
+def test_mechanisms_meet_without_shuffling_single_matches(spark):
+    # Each of 80 ends has some 50 papers: 98,000 pairs agree in one end. Some papers repeat an end, some have none.
+    deal = random.Random(8)
+    rows = [(p, f"u{deal.randrange(40)}", f"d{deal.randrange(40)}", "v") for p in range(1000) for _ in range(2)]
+    rows += [(p, None, f"d{p}", None) for p in range(5)] + [(9, "u1", "d1", "v"), (9, "u1", "d2", "v"), (2000, None, None, None)]
+    mechs = spark.createDataFrame(rows, "paper_id long, upstream_entity string, downstream_entity string, interaction_type string")
+    got, n = shuffled(spark, lambda: pairs.shared_mechanism_pairs(mechs, 200, False, block=40).collect())
+    want = Counter()
+    for x, y in product(rows, rows):
+        if x[0] < y[0] and ((x[1] and x[1] == y[1]) or (x[2] and x[2] == y[2])):
+            want[x[0], y[0]] += 1
+    want = sorted(((c, a, b) for (a, b), c in want.items()), key=lambda x: (-x[0], *x[1:]))[:200]
+    assert sorted(((r.shared_count, r.paper_a_id, r.paper_b_id) for r in got), key=lambda x: (-x[0], *x[1:])) == want
+    assert n < 90_000, n
+
+
 def test_large_dictionaries_stay_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(mentions, "PART_BYTES", 200)
     monkeypatch.setattr(mentions, "trie_of", lambda terms: pytest.fail("a part of the dictionary on the driver"))

@@ -487,6 +487,19 @@ def test_graph_tells_claims_with_colliding_short_ids_apart(spark):
     assert nodes.filter("label = 'Claim'").count() == 2 and edges.filter("type = 'MAKES_CLAIM'").count() == 2
 
 
+def test_graph_holds_every_author_claim_mechanism_and_method(spark):
+    names = [f"n{i}" for i in range(45)]
+    papers = spark.createDataFrame([(1, "T", None, names)], "paper_id long, title string, abstract string, authors array<string>")
+    ext = spark.createDataFrame([(1, "x", [(n, "gene") for n in names], [(n, "causal") for n in names], [(n, "binds") for n in names], [(n, "assay") for n in names])],
+                                "paper_id long, extraction_id string, entities array<struct<text:string,entity_type:string>>, "
+                                "claims array<struct<text:string,claim_type:string>>, mechanisms array<struct<description:string,interaction_type:string>>, "
+                                "methods array<struct<name:string,category:string>>")
+    nodes, edges = E.build_graph(papers, ext)
+    of = lambda df, c: {r[c]: r["count"] for r in df.groupBy(c).count().collect()}
+    assert of(nodes, "label") == {"Paper": 1} | dict.fromkeys(("Researcher", "Entity", "Claim", "Mechanism", "Method"), 45)
+    assert of(edges, "type") == dict.fromkeys(("AUTHORED_BY", "HAS_ENTITY", "MAKES_CLAIM", "DESCRIBES_MECHANISM", "USES_METHOD"), 45)
+
+
 def test_citations_by_titles_that_go_on_for_a_few_characters(spark):
     ref = "array<struct<title:string,doi:string>>"
     papers = spark.createDataFrame(

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
-from litgraph.plans.derive import BASE_TABLES
+from litgraph.plans.derive import BASE_TABLES, Tables
 from tools.check_oracle import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +70,18 @@ def test_incremental_refresh_equals_rebuild(spark, duck):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(cols, cur.fetchall())
 
 
+def test_citations_name_titles_that_go_on_for_any_length(spark, tmp_path):
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        spark.read.parquet(f"{SF}/{name}.parquet").filter(F.col(key) < 400).withColumn(key, F.col(key) * 10007 + 1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    t = Tables(spark, str(tmp_path))
+    refs = [(r.me, r.other) for r in t.half.select("me", "other").collect()]
+    papers = [(r.paper_id, r.title.lower(), r.doi) for r in t.papers.select("paper_id", "title", "doi").collect()]
+    want = {(me, p) for me, other in refs for p, title, doi in papers if p != me and (
+        doi == f"10.1000/p{other}" if me % 2 == 0 else title.startswith(f"paper {other}"))}
+    assert any(len(str(p)) - len(str(other)) > 4 for me, other in refs for m, p in want if m == me)
+    assert {tuple(r) for r in queries()["J13_citations"](spark, str(tmp_path)).collect()} == want
+
+
 def test_streams_read_tables_that_are_folders(spark, tmp_path):
     for at in ("a", "b"):
         shutil.copytree(SF, tmp_path / "x", dirs_exist_ok=True)

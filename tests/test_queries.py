@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shutil
+from collections import Counter
 
 import duckdb
 import pytest
@@ -70,6 +71,16 @@ def test_incremental_refresh_equals_rebuild(spark, duck):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(cols, cur.fetchall())
 
 
+def test_mechanism_pairs_agree_in_the_interaction_too(spark, tmp_path):
+    for name in ("lineitem", "part"):
+        spark.read.parquet(f"{SF}/{name}.parquet").filter("l_orderkey < 150" if name == "lineitem" else "true").write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = Tables(spark, str(tmp_path)).mechs.select("paper_id", "upstream_entity", "downstream_entity", "interaction_type").collect()
+    want = Counter((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and (x[1] == y[1] or x[2] == y[2] or x[3] == y[3]))
+    want = sorted(((a, b, n) for (a, b), n in want.items()), key=lambda x: (-x[2], *x[:2]))[:300]
+    got = queries()["G11_shared_mechanism_pairs"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=lambda x: (-x[2], *x[:2])) == want
+
+
 def test_citations_name_titles_that_go_on_for_any_length(spark, tmp_path):
     for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
         spark.read.parquet(f"{SF}/{name}.parquet").filter(F.col(key) < 400).withColumn(key, F.col(key) * 10007 + 1).write.parquet(str(tmp_path / f"{name}.parquet"))

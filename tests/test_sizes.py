@@ -106,6 +106,29 @@ def test_mechanisms_meet_without_shuffling_single_matches(spark):
     assert n < 90_000, n
 
 
+def mechanism_pairs(rows, limit):
+    agree = lambda x, y: any(u and u == v for u, v in zip(x[1:], y[1:]))
+    papers = {}
+    for r in rows:
+        papers.setdefault(r[0], []).append(r)
+    found = ((sum(agree(x, y) for x in papers[a] for y in papers[b]), a, b) for a, b in combinations(sorted(papers), 2))
+    return sorted((x for x in found if x[0]), key=lambda x: (-x[0], *x[1:]))[:limit]
+
+
+@pytest.mark.parametrize("verbs, limit", [(3, 200), (500, 60), (0, 40), (5, 7), (2, 10_000)])
+def test_mechanisms_meet_by_ends_or_interaction(spark, verbs, limit):
+    # With few verbs nearly every two papers share one: 400 papers of up to seven mechanisms, some ends repeated in a paper.
+    deal = random.Random(verbs)
+    rows = [(p, f"u{deal.randrange(60)}", f"d{deal.randrange(60)}", f"v{deal.randrange(verbs)}" if verbs else None)
+            for p in range(400 if limit < 1000 else 60) for _ in range(1 + p % 7)]
+    rows += [(p, "u1", "d1", None) for p in (3, 3, 3, 5, 5, 5)] + [(900, None, None, "v1"), (901, None, None, None)]
+    mechs = spark.createDataFrame(rows, "paper_id long, upstream_entity string, downstream_entity string, interaction_type string")
+    got, n = shuffled(spark, lambda: pairs.shared_mechanism_pairs(mechs, limit, block=40).collect())
+    assert sorted(((r.shared_count, r.paper_a_id, r.paper_b_id) for r in got), key=lambda x: (-x[0], *x[1:])) == mechanism_pairs(rows, limit)
+    if verbs == 3:
+        assert n < 100_000, n
+
+
 def test_large_dictionaries_stay_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(mentions, "PART_BYTES", 200)
     monkeypatch.setattr(mentions, "trie_of", lambda terms: pytest.fail("a part of the dictionary on the driver"))

@@ -8,7 +8,7 @@ from itertools import combinations, product
 
 import pytest
 
-from litgraph.operators import mentions, pairs, paths
+from litgraph.operators import entities, mentions, pairs, paths
 
 
 def shuffled(spark, run):
@@ -129,6 +129,30 @@ def test_mechanisms_meet_by_ends_or_interaction(spark, verbs, limit):
         assert n < 100_000, n
 
 
+def test_facts_are_dealt_by_edge_once(spark):
+    deal = random.Random(4)
+    rows = [(f"t{i}", deal.randrange(300), deal.choice(["blocks", "activates"]), deal.choice(["contradicts", None]), deal.choice(["x", "y", None]), i % 10 / 10)
+            for i in range(3000)] + [("t-", None, "blocks", None, None, None)]
+    said = [(r[0], deal.choice("abc"), role) for r in rows for role in ("subject", "object", "object")]
+    triples = spark.createDataFrame(rows, "triple_id string, paper_id long, predicate_type string, direction string, primary_operation string, confidence double")
+    mentions = spark.createDataFrame(said, "triple_id string, entity_id string, role string")
+    ents = spark.createDataFrame([(e, e.upper(), [], None) for e in "abc"], "entity_id string, canonical_name string, aliases array<string>, primary_operation string")
+    got, n = shuffled(spark, lambda: entities.literature_edges(triples, mentions, ents).collect())
+    ends = {}
+    for t, e, role in said:
+        ends.setdefault((t, role), set()).add(e)
+    want = {}
+    for t, p, kind, way, op, c in rows:
+        for s, o in product(ends[t, "subject"], ends[t, "object"]):
+            if s != o:
+                want.setdefault((s.upper(), o.upper(), kind), []).append((p, kind == "blocks" or way == "contradicts", c))
+    papers = lambda xs: len({p for p, *_ in xs} - {None})
+    assert {(r.source_entity_name, r.target_entity_name, r.predicate_type): (r.support_count, r.contradiction_load, r.max_confidence) for r in got} == {
+        k: (papers(v), papers([x for x in v if x[1]]), max((x[2] for x in v if x[2] is not None), default=None)) for k, v in want.items()}
+    facts = sum(map(len, want.values()))
+    assert n < len(said) + len(rows) + 3 * facts + 500, (n, facts)  # mentions, triples and, past two joins with entities, facts; each once
+
+
 def test_large_dictionaries_stay_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(mentions, "PART_BYTES", 200)
     monkeypatch.setattr(mentions, "trie_of", lambda terms: pytest.fail("a part of the dictionary on the driver"))

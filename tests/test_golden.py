@@ -462,6 +462,25 @@ def test_refresh_over_many_batches_and_a_retried_one(spark, tmp_path):
     assert read(out) == read(whole) and changed == {r["b"] for r in heads} and len(changed) < 4
 
 
+def test_refresh_deals_a_batch_of_one_file_to_all_tasks(spark, tmp_path, monkeypatch):
+    from litgraph.streaming import incremental as T
+    ents = spark.createDataFrame([(str(i), f"N{i}", [], "Defense") for i in range(6)], ENTITIES)
+    claims = spark.createDataFrame([(f"c{i}", f"p{i}", f"N{i % 6}", "activates", f"N{(i + 1) % 6}", [], 0.5) for i in range(400)],
+                                   "claim_id string, paper_id string, subject string, predicate string, object string, operations array<string>, confidence double")
+    ext = spark.createDataFrame([], "extraction_id string, paper_id string, primary_operation string, study_design string, created_at timestamp, "
+                                    "mechanisms array<struct<upstream_entity:string,interaction_type:string,downstream_entity:string,context:string,confidence:double>>")
+    dealt, real = {}, T._write
+    monkeypatch.setattr(T, "_write", lambda df, out, name, *keys: (dealt.setdefault(name, df.rdd.glom().map(len).collect()), real(df, out, name, *keys)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        T.refresh_batch(claims.coalesce(1), ext, 0, ents, str(tmp_path / "out"), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(dealt["claims"]) == 400 and sum(n > 0 for n in dealt["claims"]) > 1, dealt["claims"]  # two buckets, four partitions
+    got = {(r.source_entity_name, r.target_entity_name): r.support_count for r in spark.read.parquet(str(tmp_path / "out/edges")).collect()}
+    assert got == {(f"N{k}", f"N{(k + 1) % 6}"): len(range(k, 400, 6)) for k in range(6)}
+
+
 def test_web_search_syntax():
     from litgraph.operators.search import parse_query
     g = lambda t, p=(), w=(): {"terms": sorted(t), "phrases": [list(x) for x in p], "without": [list(x) for x in w]}

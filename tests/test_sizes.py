@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 from itertools import combinations, product
 
 import pytest
+from pyspark.sql import functions as F
 
 from litgraph.operators import entities, mentions, pairs, paths
 
@@ -75,6 +77,21 @@ def test_ids_with_many_keys_meet_those_with_few(spark, monkeypatch, least, limit
     assert sorted(((r.shared_count, r.a, r.b) for r in got), key=lambda x: (-x[0], *x[1:])) == most_shared(rows, least, limit)
 
 
+def test_cut_lineage_is_compressed_and_equal_hashes_are_told_apart(spark, monkeypatch):
+    from litgraph.runtime import cut_lineage
+
+    kept = cut_lineage(spark.range(1000).selectExpr("id", "repeat('word ', 50) as t"))
+    files = [f.removeprefix("file://").removeprefix("file:") for f in kept.inputFiles()]
+    assert kept.count() == 1000 and sum(map(os.path.getsize, files)) < 50_000  # 250,000 characters
+    assert cut_lineage(spark.range(3).selectExpr("id", "null as n")).count() == 3
+    # All keys of a length have one hash: pairs meet too often, and are counted over the keys themselves.
+    monkeypatch.setattr(pairs.F, "xxhash64", lambda c: F.length(c).cast("long"))
+    deal = random.Random(6)
+    rows = sorted({(p, "k" * deal.randrange(1, 4) + str(deal.randrange(4))) for p in range(30) for _ in range(4)})
+    got = pairs.top_shared(spark.createDataFrame(rows, "paper_id long, entity string"), "entity", "paper_id", 2, 50, block=10_000).collect()
+    assert sorted(((r.shared_count, r.a, r.b) for r in got), key=lambda x: (-x[0], *x[1:])) == most_shared(rows, 2, 50)
+
+
 def test_claim_pairs_leave_small_papers_aside(spark, monkeypatch):
     # 3,000 papers with a claim or two of each of four types; 30 papers with up to nine more. Ids are dealt out of order.
     deal = random.Random(5)
